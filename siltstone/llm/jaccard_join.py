@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bitmap_of, drop_settled, in_bitmap, new_dir, settle, text_chunks
+from siltstone.llm.common import bitmap_of, drop_settled, in_bitmap, settle, text_chunks
 from siltstone.llm.components import connected_components
 from siltstone.llm.wordarrays import BY_SPACE, mix, shingle_sets, span_hashes, spans
 
@@ -67,31 +67,53 @@ def _common(k: int):
     return run
 
 
+def _keys(s: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """The n-grams' places in the global order: 63 bits of hash after the mark of a common one, as sorted longs."""
+    often = in_bitmap(bitmap, s)
+    key = ((s >> U(1)) | (often.astype(U) << U(63))) ^ U(1 << 63)
+    rare = key[~often]
+    return np.concatenate((rare, key[often])).view(np.int64)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)), pa.array(flat))
+
+
 def _prefixes(k: int, percent: int, common: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(common, np.uint8)
         for batch in batches:
             for i, sets in _sets(batch.column(1), k):
-                keys, n, parts = [], [], []
-                for s in sets:
-                    keys.append(_class(s) if len(s) else None)
-                    n.append(len(s))
-                    p = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
-                    often = in_bitmap(bitmap, s)
-                    part = s[~often][:p]
-                    parts.append(part if len(part) == p else np.concatenate((part, s[often][: p - len(part)])))
-                flat = np.concatenate(parts) if parts else np.zeros(0, U)
-                off = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
-                prefix = pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64)))
-                yield pa.record_batch([batch.column(0).slice(i, len(sets)), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), prefix], ["doc_id", "n", "cls", "prefix"])
+                n = [len(s) for s in sets]
+                keys = [_class(s) if len(s) else None for s in sets]
+                parts = [_keys(s, bitmap)[: m - (percent * m + 99) // 100 + 1] if m else np.zeros(0, np.int64) for s, m in zip(sets, n, strict=True)]
+                yield pa.record_batch([batch.column(0).slice(i, len(sets)), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), _lists(parts)], ["doc_id", "n", "cls", "prefix"])
+
+    return run
+
+
+def _shared_only(lists: bytes):
+    """Of prefixes the n-grams that the bitmap holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(lists, np.uint8)
+        for batch in batches:
+            prefix = batch.column(2)
+            flat = prefix.flatten().to_numpy()
+            row = np.repeat(np.arange(len(prefix)), np.diff(prefix.offsets.to_numpy()))
+            good = in_bitmap(bitmap, flat.view(U) << U(1))
+            at = pa.array(row[good])
+            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(flat[good])], ["cls", "n", "h"])
 
     return run
 
 
-def _segments(k: int, wanted: bytes, fragments: int):
+def _segments(k: int, wanted: bytes, common: bytes, fragments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, done = np.frombuffer(wanted, np.uint8), set()
-        edges = np.array([(i << 64) // fragments for i in range(1, fragments)], U)
+        often = np.frombuffer(common, np.uint8)
+        edges = np.array([(i << 63) // (fragments - 1) - (1 << 63) for i in range(1, fragments)], np.int64)
         for batch in batches:
             for _, sets in _sets(batch.column(0), k):
                 keys = np.array([_class(s) if len(s) else 0 for s in sets], np.int64)
@@ -102,9 +124,9 @@ def _segments(k: int, wanted: bytes, fragments: int):
                     if len(done) > 1_000_000:
                         done.clear()
                     done.add(key)
-                    s = sets[j]
+                    s = _keys(sets[j], often)
                     at = np.concatenate(([0], np.searchsorted(s, edges), [len(s)])).astype(np.int32)
-                    yield pa.record_batch([pa.array([key] * fragments), pa.array([len(s)] * fragments, pa.int64()), pa.array(range(fragments), pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(s.view(np.int64)))], ["cls", "n", "frag", "seg"])
+                    yield pa.record_batch([pa.array([key] * fragments), pa.array([len(s)] * fragments, pa.int64()), pa.array(range(fragments), pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(s))], ["cls", "n", "frag", "seg"])
 
     return run
 
@@ -138,16 +160,35 @@ def _common_ngrams(docs: DataFrame, k: int, least: int, bits: int) -> bytes:
     return out
 
 
-def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their prefixes allow. Up to the smaller of the prefixes' last n-grams both sets are known
+    whole; there alone they must not differ in more n-grams than sets of their sizes may in all."""
+    left = reps.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+    right = reps.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
+    both = pairs.join(left, "b").join(right, "a").where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
+    both = both.withColumn("last", F.least(F.element_at("pa", -1), F.element_at("pb", -1)))
+    upto = lambda p: F.size(F.filter(p, lambda v: v <= F.col("last")))
+    differ = upto("pa") + upto("pb") - 2 * F.size(F.array_intersect("pa", "pb"))
+    return both.where(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, common: bytes, percent: int, fragments: int, bits: int) -> DataFrame:
     """Of the pairs (a, b) those whose sets are similar enough: partial overlaps by fragment, summed by pair."""
+    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    ends = settle(ends, "ends")
+    run = _segments(k, bitmap_of(ends, "cls", bits), common, fragments)
+    segments = docs.select("text").mapInArrow(_batched(run), "cls long, n long, frag int, seg array<long>")
+    segments = settle(segments.join(ends, "cls", "left_semi").dropDuplicates(["cls", "frag"]), "segments")
     left = segments.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "frag", F.col("seg").alias("sb"))
     right = segments.select(F.col("cls").alias("a"), F.col("n").alias("na"), "frag", F.col("seg").alias("sa"))
     partial = pairs.join(left, "b").join(right, ["a", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("o"))
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
-    return total.where(F.lit(100) * F.col("o") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
+    out = settle(total.where(F.lit(100) * F.col("o") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b"), "links")
+    drop_settled(segments, ends)
+    return out
 
 
-def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, common_from: int = 32, fragments: int = 4, bits: int = 24) -> DataFrame:
+def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, common_from: int = 16, fragments: int = 5, bits: int = 24) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, n_shingles, cls, component_id), one row for each row of docs.
 
     Two texts link when 100 * |intersection| >= percent * |union| of their sets of k-word runs (words between ASCII
@@ -155,27 +196,24 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, common_from:
     that links reach. A null or empty text has the empty set, links with nothing and keeps its own doc_id. Repeated
     rows link like other equal texts. A null doc_id is never a component_id unless all of the component's are null.
     Other columns are ignored, whatever their names; an empty table gives an empty result. Texts are read three
-    times, whole, and nothing of all texts is gathered: what is broadcast are two bitmaps of 2**bits bits.
+    or four times, whole, and nothing of all texts is gathered: what is broadcast are bitmaps of 2**bits bits.
     Sets and n-grams are told apart by 64-bit hashes.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     common = _common_ngrams(docs, k, common_from, bits)
     slim = settle(docs.mapInArrow(_prefixes(k, percent, common), "doc_id long, n long, cls long, prefix array<long>"), "prefixes")
     some = slim.where("cls is not null")
-    postings = some.select("cls", "n", "prefix").dropDuplicates(["cls"]).select("cls", "n", F.explode("prefix").alias("h"))
-    postings = settle(postings, "postings")
-    lists = postings.groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
-    live = settle(postings.join(lists, "h"), "live")
-    drop_settled(postings)
-    wanted = live.select(F.col("cls")).distinct()
-    marks = settle(wanted.join(some.select("cls").distinct(), "cls", "left_semi"), "wanted")
-    segments = _segments(k, bitmap_of(marks, "cls", bits), fragments)
-    segments = docs.select("text").mapInArrow(_batched(segments), "cls long, n long, frag int, seg array<long>")
-    segments = settle(segments.dropDuplicates(["cls", "frag"]).join(marks, "cls", "left_semi"), "segments")
+    reps = settle(some.select("cls", "n", "prefix").dropDuplicates(["cls"]), "reps")
+    lists = reps.select("cls", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
+    lists = settle(lists, "lists")
+    shared = bitmap_of(lists.select(F.shiftleft("h", 1).alias("h")), "h", bits)
+    live = settle(reps.select("cls", "n", "prefix").mapInArrow(_shared_only(shared), "cls long, n long, h long").join(lists, "h"), "live")
+    drop_settled(lists)
 
     stars = live.select(F.col("lo").alias("a"), F.col("cls").alias("b")).unionByName(live.select(F.col("hi").alias("a"), F.col("cls").alias("b")))
     stars = stars.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = settle(_verified(stars, segments, percent), "links")
+    tried = settle(_possible(stars, reps, percent), "pairs")
+    links = _verified(tried, docs, k, common, percent, fragments, bits)
     roots = settle(connected_components(links), "roots")
 
     members = live.select("h", "cls", "n").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("h", "cls", "n", F.coalesce("root", "cls").alias("comp"))
@@ -187,12 +225,12 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, common_from:
     rest = few.join(mixed.select("h", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy")), "h")
     rest = rest.where("cx <> cy").where(F.lit(100) * F.least("nx", "ny") >= F.lit(percent) * F.greatest("nx", "ny"))
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    more = settle(_verified(rest, segments, percent), "links")
-    if more.limit(1).count():
-        both = links.unionByName(more)
-        roots = settle(connected_components(both), "roots")
-    drop_settled(live, members, mixed, segments)
+    rest = settle(_possible(rest, reps, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    if rest.limit(1).count():
+        more = _verified(rest, docs, k, common, percent, fragments, bits)
+        if more.limit(1).count():
+            roots = settle(connected_components(links.unionByName(more)), "roots")
+    drop_settled(live, members, mixed, reps)
 
     classes = some.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c"))
     named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
