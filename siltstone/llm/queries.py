@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat_format, decontaminate, jaccard_join, license_scan, mixing, quality_classifier, quality_rules, sharding, toxicity
+from siltstone.llm import chat_format, decontaminate, jaccard_join, license_scan, lm_score, mixing, quality_classifier, quality_rules, sharding, toxicity
 from siltstone.llm.common import new_dir, read_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,6 +47,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_turns(turns.unionByName(own))).drop("rewritten")
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.train_and_score(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -55,7 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_mix_sources, op4_shard, op5_ngram_jaccard, op6_quality_rules, op7_chat_format, op9_quality_rank, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_mix_sources, op4_shard, op5_ngram_jaccard, op6_quality_rules, op7_chat_format, op8_lm_score, op9_quality_rank, op10_toxicity)}
 
 SPACED = r"[^\x20\x09-\x0D]+"
 LETTERED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
