@@ -162,14 +162,16 @@ def _common_ngrams(docs: DataFrame, k: int, least: int, bits: int) -> bytes:
 
 def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that their prefixes allow. Up to the smaller of the prefixes' last n-grams both sets are known
-    whole; there alone they must not differ in more n-grams than sets of their sizes may in all."""
+    whole; what either has there and the other lacks must leave enough to share."""
     left = reps.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
     right = reps.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
     both = pairs.join(left, "b").join(right, "a").where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
     both = both.withColumn("last", F.least(F.element_at("pa", -1), F.element_at("pb", -1)))
     upto = lambda p: F.size(F.filter(p, lambda v: v <= F.col("last")))
-    differ = upto("pa") + upto("pb") - 2 * F.size(F.array_intersect("pa", "pb"))
-    return both.where(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+    common = F.size(F.array_intersect("pa", "pb"))
+    # each set's n-grams there that the other lacks bound what they can share in all
+    most = F.least(F.col("na") - upto("pa") + common, F.col("nb") - upto("pb") + common)
+    return both.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, common: bytes, percent: int, fragments: int, bits: int) -> DataFrame:
