@@ -117,7 +117,7 @@ class LabelModel:
             self.on = np.clip((a1 + s1 * (w1 @ x)) / (n1 + s1 * w1.sum() + 0.02), 1e-3, 1 - 1e-3)
             self.off = np.clip((a0 + s0 * (w0 @ x)) / (n0 + s0 * w0.sum() + 0.02), 1e-5, 1 - 1e-3)
             e = x - q[:, None] * self.on - (1 - q)[:, None] * self.off
-            cov = (e * c[:, None]).T @ e / c.sum()
+            cov = (e * c[:, None]).T @ e / max(c.sum(), 1)
             sd = np.sqrt(np.diag(cov)) + 1e-9
             self.correlation = cov / sd / sd[:, None]
             beyond = np.clip(self.correlation - np.eye(m), 0, 1)
