@@ -305,9 +305,13 @@ def test_tokens_probabilities_add_up():
     class Share:
         value = tables.tobytes()
 
+    heads = Counter()
+    for x, n in zip(words, c.tolist()):
+        heads[x[: lm_score.HEAD]] += n
+    seen = lm_score.Heads(lm_score.head_keys(list(heads)), np.array(list(heads.values())))
     w, refine = np.full((lm_score.GATES, lm_score.INPUTS), 0.2), np.zeros((lm_score.GATES, lm_score.APM, 2))
     whole = pa.record_batch([pa.array([x[:4] for x in words], pa.binary()), pa.array(words, pa.binary()), pa.array(c)], ["p", "w", "c"])
-    lp = np.concatenate([b.column("lp").to_numpy() for b in lm_score._token_scores(Share, w, refine)(iter([whole]))])
+    lp = np.concatenate([b.column("lp").to_numpy() for b in lm_score._token_scores(Share, seen, w, refine)(iter([whole]))])
     assert 0 < (10**lp).sum() <= 1
 
 
