@@ -25,7 +25,7 @@ from siltstone.llm.components import connected_components
 from siltstone.llm.wordarrays import BY_SPACE, mix, shingle_sets, span_hashes, spans
 
 #: A local count under this says nothing of an n-gram's being common.
-LOCAL_LEAST = 3
+LOCAL_LEAST = 2
 #: N-grams whose counts are kept before they are sorted and counted.
 FLUSH = 4_000_000
 U = np.uint64
@@ -53,16 +53,19 @@ def _common(k: int):
         return pa.record_batch([pa.array(x[at[many]].view(np.int64)), pa.array(c[many])], ["h", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: dict[int, np.ndarray] = {}  # copies count once
+        size = 0
         for batch in batches:
             for _, sets in _sets(batch.column(0), k):
-                held += sets
-                size += sum(map(len, sets))
+                for s in sets:
+                    if len(s) and (key := _class(s)) not in held:
+                        held[key] = s
+                        size += len(s)
                 if size > FLUSH:
-                    yield count(held)
-                    held, size = [], 0
+                    yield count([*held.values()])
+                    held, size = {}, 0
         if size:
-            yield count(held)
+            yield count([*held.values()])
 
     return run
 
@@ -94,17 +97,18 @@ def _prefixes(k: int, percent: int, common: bytes):
 
 
 def _shared_only(lists: bytes):
-    """Of prefixes the n-grams that the bitmap holds."""
+    """Of prefixes the n-grams that the bitmap holds, and their places in the prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(lists, np.uint8)
         for batch in batches:
             prefix = batch.column(2)
-            flat = prefix.flatten().to_numpy()
-            row = np.repeat(np.arange(len(prefix)), np.diff(prefix.offsets.to_numpy()))
+            flat, edges = prefix.flatten().to_numpy(), prefix.offsets.to_numpy()
+            row = np.repeat(np.arange(len(prefix)), np.diff(edges))
+            place = np.arange(len(flat)) - (edges[:-1] - edges[0])[row]
             good = in_bitmap(bitmap, flat.view(U) << U(1))
             at = pa.array(row[good])
-            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(flat[good])], ["cls", "n", "h"])
+            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(flat[good]), pa.array(place[good].astype(np.int64))], ["cls", "n", "h", "pos"])
 
     return run
 
@@ -160,6 +164,13 @@ def _common_ngrams(docs: DataFrame, k: int, least: int, bits: int) -> bytes:
     return out
 
 
+def _may_begin(nx: str, ny: str, px: str, py: str, percent: int):
+    """Sets of nx and ny n-grams whose first common one is at places px and py can be similar enough. Each similar pair
+    meets in the list of its first common n-gram, where this holds, so no pair is lost by asking it in every list."""
+    left = F.least(F.col(nx) - F.col(px), F.col(ny) - F.col(py))
+    return (F.lit(100 + percent) * left >= F.lit(percent) * (F.col(nx) + F.col(ny))) & (F.lit(100) * F.least(nx, ny) >= F.lit(percent) * F.greatest(nx, ny))
+
+
 def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that their prefixes allow. Up to the smaller of the prefixes' last n-grams both sets are known
     whole; what either has there and the other lacks must leave enough to share."""
@@ -174,6 +185,15 @@ def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
+def _members(live: DataFrame, links: DataFrame) -> DataFrame:
+    """live's rows (h, cls, n, pos) with their component by the links and their number of links."""
+    roots = connected_components(links).withColumnRenamed("node", "cls")
+    degree = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("degree"))
+    known = settle(roots.join(degree, "cls"), "known")
+    out = live.select("h", "cls", "n", "pos").join(known, "cls", "left")
+    return settle(out.select("h", "cls", "n", "pos", F.coalesce("root", "cls").alias("comp"), F.coalesce("degree", F.lit(0)).alias("degree")), "members")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, common: bytes, percent: int, fragments: int, bits: int) -> DataFrame:
     """Of the pairs (a, b) those whose sets are similar enough: partial overlaps by fragment, summed by pair."""
     ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
@@ -209,29 +229,38 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, common_from:
     lists = reps.select("cls", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
     lists = settle(lists, "lists")
     shared = bitmap_of(lists.select(F.shiftleft("h", 1).alias("h")), "h", bits)
-    live = settle(reps.select("cls", "n", "prefix").mapInArrow(_shared_only(shared), "cls long, n long, h long").join(lists, "h"), "live")
+    live = settle(reps.select("cls", "n", "prefix").mapInArrow(_shared_only(shared), "cls long, n long, h long, pos long").join(lists, "h"), "live")
     drop_settled(lists)
-
-    stars = live.select(F.col("lo").alias("a"), F.col("cls").alias("b")).unionByName(live.select(F.col("hi").alias("a"), F.col("cls").alias("b")))
-    stars = stars.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = settle(_possible(stars, reps, percent), "pairs")
-    links = _verified(tried, docs, k, common, percent, fragments, bits)
-    roots = settle(connected_components(links), "roots")
-
-    members = live.select("h", "cls", "n").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("h", "cls", "n", F.coalesce("root", "cls").alias("comp"))
-    members = settle(members, "members")
+    verified = lambda pairs: _verified(pairs, docs, k, common, percent, fragments, bits)
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+    # Links to two members of each list.
+    stars = live.select(F.col("lo").alias("p"), "cls").unionByName(live.select(F.col("hi").alias("p"), "cls")).where("p <> cls")
+    tried = settle(_possible(stars.select(*ordered("p", "cls")).distinct(), reps, percent), "pairs")
+    links = verified(tried)
+
+    # Links to each list's member with the most links so far, from the members that are not in its component.
+    members = _members(live, links)
+    hub = F.max(F.struct("degree", F.col("cls").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"), F.col("pos").alias("pp"))).alias("x")
+    hubs = members.groupBy("h").agg(hub, F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("h", "x.*").drop("degree")
+    stars = members.join(hubs, "h").where("comp <> pc").where(_may_begin("n", "pn", "pos", "pp", percent))
+    again = settle(_possible(stars.select(*ordered("p", "cls")).distinct().join(tried, ["a", "b"], "left_anti"), reps, percent), "pairs")
+    drop_settled(members)
+    if again.limit(1).count():
+        links, tried = links.unionByName(verified(again)), tried.unionByName(again)
+
+    # All pairs across what are still different components, from the members outside a list's largest component.
+    members = _members(live, links)
     sizes = members.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = sizes.groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "major")
     mixed = settle(members.join(mixed, "h"), "mixed")
-    few = mixed.where("comp <> major").select("h", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    rest = few.join(mixed.select("h", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy")), "h")
-    rest = rest.where("cx <> cy").where(F.lit(100) * F.least("nx", "ny") >= F.lit(percent) * F.greatest("nx", "ny"))
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = settle(_possible(rest, reps, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    few = mixed.where("comp <> major").select("h", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("comp").alias("cx"), "major")
+    rest = few.join(mixed.select("h", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("comp").alias("cy")), "h")
+    rest = rest.where("cx <> cy and (cy = major or x < y)").where(_may_begin("nx", "ny", "px", "py", percent))
+    rest = settle(_possible(rest.select(*ordered("x", "y")).distinct().join(tried, ["a", "b"], "left_anti"), reps, percent), "pairs")
     if rest.limit(1).count():
-        more = _verified(rest, docs, k, common, percent, fragments, bits)
-        if more.limit(1).count():
-            roots = settle(connected_components(links.unionByName(more)), "roots")
+        links = links.unionByName(verified(rest))
+    roots = settle(connected_components(links), "roots")
     drop_settled(live, members, mixed, reps)
 
     classes = some.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c"))
