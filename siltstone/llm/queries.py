@@ -121,6 +121,22 @@ l AS (SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b W
 r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id""",
+    "op6_quality_rules": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS ws FROM documents),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(0, len(string_split(t, chr(10))))) AS i FROM d),
+m AS (SELECT doc_id, line, regexp_extract_all(line, '{SPACED}') AS w, length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) AS chars, length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols,
+      length(regexp_replace(line, '[^|>]', '', 'g')) AS pipes, length(regexp_replace(line, '[^!]', '', 'g')) AS shouts, length(regexp_replace(line, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(line, '[^a-z]', '', 'g')) AS lower,
+      regexp_matches(line, '{quality_rules.BOILERPLATE.pattern.decode()}') AS boilerplate, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again FROM l),
+n AS (SELECT *, len(w) AS n, again AND len(w) > 0 AS dup FROM m),
+f AS (SELECT *, n > 0 AND (symbols * 10 > greatest(chars, 1) OR (shouts * 4 > n AND shouts >= 4) OR (upper > 2 * lower AND upper >= 20) OR (pipes >= 2 AND pipes * 4 > n)
+      OR (n <= 2 AND NOT regexp_matches(right(w[n], 1), '[.!?:;"'')\\]}}]|[^\\x00-\\x7F]')) OR (boilerplate AND n <= 40) OR dup) AS fails FROM n),
+g AS (SELECT doc_id, CAST(sum(chars) AS BIGINT) AS word_chars, CAST(sum(symbols) AS BIGINT) AS n_symbols, count(*) FILTER (dup) AS n_dup_lines, count(*) FILTER (fails) AS n_failed_lines, CAST(coalesce(sum(chars) FILTER (fails), 0) AS BIGINT) AS lost_chars FROM f GROUP BY doc_id),
+r AS (SELECT doc_id, ws[p:p + 7] AS g, p FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS p FROM d WHERE len(ws) >= 8)),
+q AS (SELECT doc_id, list(p) AS ps FROM r GROUP BY doc_id, g HAVING count(*) > 1),
+h AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(p, p + 8)) AS x FROM (SELECT doc_id, unnest(ps) AS p FROM q)) GROUP BY doc_id),
+z AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, word_chars, n_symbols, n_dup_lines, CAST(coalesce(h.n, 0) AS BIGINT) AS n_repeat_words, n_failed_lines, lost_chars FROM d JOIN g ON d.doc_id = g.doc_id LEFT JOIN h ON d.doc_id = h.doc_id),
+y AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM z)
+SELECT *, NOT base_failed AND lost_chars <= 0.4::DOUBLE * word_chars AS kept FROM y""",
     "op7_chat_format": """
 WITH c AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
