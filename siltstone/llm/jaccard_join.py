@@ -5,10 +5,9 @@ of their first n - ceil(t * n) + 1 in this order, so only those make candidates.
 last, so that a common passage makes no candidates unless nearly all of a text is common. For candidates the order is
 cut into fragments, the sets' parts in each fragment are intersected apart, and the partial counts are summed by pair.
 
-Texts with one and the same set are one class and are never paired. Within the texts that share an n-gram, first only
-links to the list's smallest and largest member are tried (a line for each member, not each pair). What that joins is
-one component; after it only pairs across components are enumerated. No pair across components is left out, so the
-components are those of all links.
+Texts with one and the same set are one class and are never paired. First each class tries one link, then, twice, one to
+the best linked member of its lists. What that joins is a component; after it only pairs across components are
+enumerated. No pair across components is left out, so the components are those of all links.
 """
 
 from __future__ import annotations
@@ -234,20 +233,24 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, common_from:
     verified = lambda pairs: _verified(pairs, docs, k, common, percent, fragments, bits)
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
-    # Links to two members of each list.
-    stars = live.select(F.col("lo").alias("p"), "cls").unionByName(live.select(F.col("hi").alias("p"), "cls")).where("p <> cls")
-    tried = settle(_possible(stars.select(*ordered("p", "cls")).distinct(), reps, percent), "pairs")
+    # A link for each class: to the smallest or largest member of its lists that it meets in most of them.
+    ends = live.select("cls", F.col("lo").alias("p")).unionByName(live.select("cls", F.col("hi").alias("p"))).where("p <> cls")
+    meets = ends.groupBy("cls", "p").agg(F.count(F.lit(1)).alias("c")).groupBy("cls").agg(F.max_by("p", F.struct("c", "p")).alias("p"))
+    tried = settle(_possible(meets.select(*ordered("p", "cls")).distinct(), reps, percent), "pairs")
     links = verified(tried)
 
-    # Links to each list's member with the most links so far, from the members that are not in its component.
-    members = _members(live, links)
-    hub = F.max(F.struct("degree", F.col("cls").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"), F.col("pos").alias("pp"))).alias("x")
-    hubs = members.groupBy("h").agg(hub, F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("h", "x.*").drop("degree")
-    stars = members.join(hubs, "h").where("comp <> pc").where(_may_begin("n", "pn", "pos", "pp", percent))
-    again = settle(_possible(stars.select(*ordered("p", "cls")).distinct().join(tried, ["a", "b"], "left_anti"), reps, percent), "pairs")
-    drop_settled(members)
-    if again.limit(1).count():
-        links, tried = links.unionByName(verified(again)), tried.unionByName(again)
+    # A link for each class to the member of its lists with the most links so far that is not in its component; twice.
+    for _ in range(2):
+        members = _members(live, links)
+        hub = F.max(F.struct("degree", F.col("cls").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"), F.col("pos").alias("pp"))).alias("x")
+        hubs = members.groupBy("h").agg(hub, F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("h", "x.*").withColumnRenamed("degree", "pd")
+        near = members.join(hubs, "h").where("comp <> pc").where(_may_begin("n", "pn", "pos", "pp", percent))
+        near = near.groupBy("cls").agg(F.max_by("p", F.struct("pd", "p")).alias("p"))
+        again = settle(_possible(near.select(*ordered("p", "cls")).distinct().join(tried, ["a", "b"], "left_anti"), reps, percent), "pairs")
+        drop_settled(members)
+        if not again.limit(1).count():
+            break
+        links, tried = settle(links.unionByName(verified(again)), "links"), settle(tried.unionByName(again), "pairs")
 
     # All pairs across what are still different components, from the members outside a list's largest component.
     members = _members(live, links)
