@@ -1,0 +1,248 @@
+"""A language model over whole texts: logistic mixing of hashed-context bit predictors.
+
+A text is a stream of bytes: its words (A-Z lower-cased), a space after each, and one end. Each byte is eight binary
+decisions. The predictors look at the one to six bytes before it, across word borders; at the beginning of the word; and
+at that beginning together with the word before. All contexts are hashed into tables of bit counts. Mixing weights are
+selected by how often the two word contexts were seen, and learnt online from all training texts with each decision left
+out of its own counts; a last stage refines the mixed probability by how it came true in training.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+
+from siltstone.llm.common import text_chunks
+from siltstone.llm.wordarrays import _BYTE, _INV, _POW, BY_SPACE, mix, spans
+
+U, W = np.uint64, np.uint32
+END, STOP, LEAD = 10, 32, 6
+#: Orders 1 to LEAD, the beginning, and the beginning with the word before; the last input is constant.
+TABLES = LEAD + 2
+INPUTS = TABLES + 1
+GATES, APM = 32, 33
+#: Places whose arrays are held at a time.
+SLICE = 1 << 16
+#: Slots of a table, as powers of two: four a distinct training token, within what each worker can hold.
+LEAST_BITS, MOST_BITS = 16, 20
+_C1, _C2 = W(0x9E3779B1), W(0x85EBCA6B)
+
+
+def bits_for(distinct: int) -> int:
+    return min(max(int(np.ceil(np.log2(4 * distinct + 1))), LEAST_BITS), MOST_BITS)
+
+
+def sizes(bits: int) -> list[int]:
+    return [1 << 16] + [1 << bits] * (TABLES - 1)
+
+
+def flat_texts(data: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts one after another, each after LEAD zeros, and where those begin."""
+    n, lengths = len(first) - 1, e - s
+    text = np.repeat(np.arange(n), np.diff(first))
+    off = np.concatenate(([0], np.cumsum(lengths)))
+    word = off[:-1] + np.arange(len(s)) + (LEAD + 1) * text + LEAD
+    begin = off[first[:-1]] + first[:-1] + (LEAD + 1) * np.arange(n)
+    flat = np.zeros(off[-1] + len(s) + (LEAD + 1) * n, np.uint8)
+    every = np.arange(off[-1])
+    raw = data[np.repeat(s - off[:-1], lengths) + every]
+    flat[np.repeat(word - off[:-1], lengths) + every] = np.where((raw >= 65) & (raw <= 90), raw + 32, raw)
+    flat[word + lengths] = STOP
+    flat[np.append(begin[1:], len(flat)) - 1] = END
+    return flat, begin
+
+
+def slices(flat: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(text, byte, a context hash for each table) of the coded places, SLICE places at a time."""
+    word_in = before_in = U(0)
+    for a in range(0, len(flat), SLICE):
+        x = flat[a : a + SLICE]
+        n = len(x)
+        at = np.arange(a, a + n)
+        text = np.searchsorted(begin, at, "right") - 1
+        coded = at - begin[text] >= LEAD
+        # The start of the word at each place; 0: it began before this slice.
+        start = np.concatenate(([0], np.maximum.accumulate(np.where((x == STOP) | (x == END) | (x == 0), np.arange(1, n + 1), 0))))
+        total = np.concatenate((np.zeros(1, U), np.cumsum(_BYTE[x] * _INV[:n], dtype=U)))
+        word = (total - total[start]) * _POW[: n + 1] + np.where(start == 0, word_in * _POW[: n + 1], U(0))
+        before = np.where(start == 0, before_in, word[np.maximum(start - 1, 0)])
+        word_in, before_in = word[n], before[n]
+        wide = np.concatenate((np.zeros(max(LEAD - a, 0), np.uint8), flat[max(a - LEAD, 0) : a + n])).astype(U)
+        ctx, out = np.zeros(n, U), []
+        for k in range(1, LEAD + 1):
+            ctx = (ctx << U(8)) | wide[LEAD - k : LEAD - k + n]
+            h = ctx[coded]
+            out.append(h.astype(W) if k == 1 else (mix(h + (U(k) << U(56))) >> U(32)).astype(W))
+        w, b = word[:n][coded], before[:n][coded]
+        out.append((mix(w ^ U(0xD6E8FEB86659FD93)) >> U(32)).astype(W))
+        out.append((mix(w + mix(b + U(1))) >> U(32)).astype(W))
+        yield text[coded], x[coded].astype(W), out
+
+
+def slot(o: int, h: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    """The table place of a decision; node: the byte's bits so far, with a leading one."""
+    return (h << W(8)) | node if o == 0 else ((h ^ (node * _C1)) * _C2) >> W(32 - bits)
+
+
+def decision(byte: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return W(1 << k) | (byte >> W(8 - k)), (byte >> W(7 - k)) & W(1)
+
+
+def _flat_batches(texts: pa.Array, train: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    chosen = texts.filter(pa.array(train))
+    for _, _, data, off in text_chunks(chosen, 1 << 20):
+        yield flat_texts(data, *spans(data, off, BY_SPACE))
+
+
+def count(bits: int, blocks: int):
+    """(train, text) -> (block, n): the tables' counts of training texts, cut in blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros(2 * n, np.uint32) for n in sizes(bits)]
+        some = False
+        for batch in batches:
+            for flat, begin in _flat_batches(batch.column(1), batch.column(0).to_numpy(zero_copy_only=False).astype(bool)):
+                some = True
+                for _, byte, contexts in slices(flat, begin):
+                    for k in range(8):
+                        node, bit = decision(byte, k)
+                        for o, h in enumerate(contexts):
+                            np.add.at(total[o], (slot(o, h, node, bits) << W(1)) | bit, W(1))
+        if some:
+            for b, x in enumerate(np.array_split(np.concatenate(total), blocks)):
+                yield pa.record_batch([pa.array([b], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], ["block", "n"])
+
+    return run
+
+
+def squash(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -16, 16)))
+
+
+def bins(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    z = (np.clip(x, -11.99, 11.99) + 12) / 24 * (APM - 1)
+    low = z.astype(np.int64)
+    return low, z - low
+
+
+def levels(word: np.ndarray, most: int) -> np.ndarray:
+    return np.minimum(np.log2(word + 1), most).astype(np.uint8)
+
+
+def gate_of(word: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """From how often the decision's word context (up to 2^7) and its context with the word before (up to 2^3) were seen."""
+    return levels(word, 7) + np.uint8(8) * levels(pair, 3)
+
+
+def starting_weights() -> np.ndarray:
+    w = np.full((GATES, INPUTS), 1.5 / TABLES)
+    w[:, -1] = 0
+    return w
+
+
+def inputs(tables: list[np.ndarray], bits: int, contexts: list[np.ndarray], node: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs, gates) of a decision, of which the outcome bit is left out of its own counts."""
+    x = np.empty((INPUTS, len(node)), np.float32)
+    x[-1] = 0.3
+    one, half, seen = bit.astype(np.float32), np.float32(0.4), []
+    for o, h in enumerate(contexts):
+        n = tables[o][slot(o, h, node, bits)].view(np.float32).reshape(-1, 2)
+        n0, n1 = n[:, 0] - (1 - one), n[:, 1] - one
+        np.log((n1 + half) / (n0 + half), out=x[o])
+        if o >= LEAD:
+            seen.append(n0 + n1)
+    return x, gate_of(*seen)
+
+
+def pairs(tables: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Each table, with the two counts of a slot as one number."""
+    return np.split(tables.view(np.uint64), np.cumsum(sizes(bits))[:-1])
+
+
+def learn(share, bits: int):
+    """(train, text) -> (weights, seen, refinement): online Newton steps over this partition's training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = pairs(np.frombuffer(share.value, np.float32), bits)
+        w = starting_weights()
+        curve = np.tile(np.eye(INPUTS) * 0.5, (GATES, 1, 1))
+        seen, first = np.zeros(GATES), np.zeros(GATES)
+        refine = np.zeros((2, GATES * APM))
+        for batch in batches:
+            for flat, begin in _flat_batches(batch.column(1), batch.column(0).to_numpy(zero_copy_only=False).astype(bool)):
+                for _, byte, contexts in slices(flat, begin):
+                    for k in range(8):
+                        node, bit = decision(byte, k)
+                        x, gate = inputs(tables, bits, contexts, node, bit)
+                        order = np.argsort(gate, kind="stable")
+                        x, gate, y = x[:, order], gate[order], bit[order].astype(np.float32)
+                        edges = np.searchsorted(gate, np.arange(GATES + 1))
+                        own = [(g, i, j) for g, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if j > i]
+                        z = np.concatenate([w[g].astype(np.float32) @ x[:, i:j] for g, i, j in own])
+                        p = squash(z)
+                        low, part = bins(z)
+                        place = (y.astype(np.int64) * GATES + gate) * APM + low
+                        for b, share_of in ((place, 1 - part), (place + 1, part)):
+                            refine += np.bincount(b, share_of, refine.size).reshape(refine.shape)
+                        for g, i, j in own:
+                            n, a, q = j - i, x[:, i:j], p[i:j]
+                            seen[g] += n
+                            first[g] = first[g] or n
+                            rate = n / (seen[g] + 10 * first[g])
+                            curve[g] = (1 - rate) * curve[g] + rate * ((a * (np.maximum(q * (1 - q), 1e-4) / n)) @ a.T + np.eye(INPUTS) * 1e-4)
+                            step = np.linalg.solve(curve[g], a @ ((y[i:j] - q) / n))
+                            w[g] += rate * step / max(1.0, np.abs(step).max() / 0.5)
+        yield pa.record_batch([pa.array([w.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary()), pa.array([refine.tobytes()], pa.binary())], ["w", "seen", "refine"])
+
+    return run
+
+
+def together(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Averages weights by what each gate saw, and adds up the rest."""
+    w, seen, refine = np.zeros((GATES, INPUTS)), np.zeros(GATES), np.zeros((2, GATES * APM))
+    for batch in batches:
+        for a, b, c in zip(batch.column("w").to_pylist(), batch.column("seen").to_pylist(), batch.column("refine").to_pylist(), strict=True):
+            s = np.frombuffer(b)
+            w += np.frombuffer(a).reshape(w.shape) * s[:, None]
+            seen += s
+            refine += np.frombuffer(c).reshape(refine.shape)
+    w = np.where(seen[:, None] > 0, w / np.maximum(seen, 1e-12)[:, None], starting_weights())
+    yield pa.record_batch([pa.array([w.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary()), pa.array([refine.tobytes()], pa.binary()), pa.array([key[0].as_py()], pa.int32())], ["w", "seen", "refine", "one"])
+
+
+class Scorer:
+    """log10 probabilities of whole texts."""
+
+    def __init__(self, tables: np.ndarray, bits: int, w: np.ndarray, refine: np.ndarray):
+        n = tables.reshape(-1, 2)
+        cut = np.cumsum(sizes(bits))[:-1]
+        half = np.float32(0.4)
+        self.bits, self.w = bits, w.T.astype(np.float32).copy()
+        self.stretched = np.split(np.log((n[:, 1] + half) / (n[:, 0] + half)), cut)
+        word, pair = np.split(n, cut)[LEAD:]
+        self.word, self.pair = levels(word.sum(1), 7), np.uint8(8) * levels(pair.sum(1), 3)
+        centres = squash(np.linspace(-12, 12, APM))
+        zeros, ones = refine.reshape(2, GATES, APM)
+        self.known = ((ones + 20 * centres) / (zeros + ones + 20)).ravel()
+
+    def scores(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray) -> np.ndarray:
+        flat, begin = flat_texts(data, s, e, first)
+        out = np.zeros(len(begin))
+        for text, byte, contexts in slices(flat, begin):
+            product = np.ones(len(byte))
+            for k in range(8):
+                node, bit = decision(byte, k)
+                at = [slot(o, h, node, self.bits) for o, h in enumerate(contexts)]
+                gate = self.word[at[LEAD]] + self.pair[at[LEAD + 1]]
+                z = self.w[-1][gate] * np.float32(0.3)
+                for o, place in enumerate(at):
+                    z += self.w[o][gate] * self.stretched[o][place]
+                low, part = bins(z)
+                low += gate.astype(np.int64) * APM
+                p = 0.5 * squash(z.astype(float)) + 0.5 * (self.known[low] * (1 - part) + self.known[low + 1] * part)
+                p = np.clip(p, 1e-7, 1 - 1e-7)
+                product *= np.where(bit == 1, p, 1 - p)
+            out += np.bincount(text, np.log10(product), len(out))
+        return out
