@@ -424,12 +424,12 @@ def encode_pad(spark, d):
 @query()
 def bpe_encode(spark, d):
     docs = _docs(spark, d)
-    return encode.bpe_encode(docs, encode.train_bpe(docs, 60, most_words=2000)).select("id", F.size("tokens").alias("n"), F.slice("tokens", 1, 8).alias("head"))
+    return encode.bpe_encode(docs, encode.train_bpe(docs)).select("id", F.size("tokens").alias("n"), "tokens")
 
 
 @query()
 def bpe_train(spark, d):
-    m = encode.train_bpe(_docs(spark, d), 60, most_words=2000)
+    m = encode.train_bpe(_docs(spark, d))
     return spark.createDataFrame([(i, a, c) for i, (a, c) in enumerate(m)], "rank int, left_part string, right_part string")
 
 
