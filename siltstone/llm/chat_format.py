@@ -19,10 +19,6 @@ Turns = list[tuple[str, str]]
 
 #: The default template's control strings (fixed values).
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ROLE]", "[/ROLE]")
-#: Every prefix of a conversation of up to so many turns is rendered. In a longer one a later turn is rendered after
-#: the WINDOW turns before it only, so that the work stays in proportion to the text.
-PREFIX_TURNS = 256
-WINDOW = 8
 
 
 def escape(text: str) -> str:
@@ -79,13 +75,10 @@ def text_span(template: Callable[[Turns], str], seen: Turns, start: int, now: st
 
 def spans_of(template: Callable[[Turns], str], turns: Iterator[tuple[str, str]]) -> Iterator[tuple[str, str, int, tuple[int, int] | None, bool]]:
     """(role, piece, its start, span of an assistant's text in it, rewritten) of each turn: renders successive prefixes
-    and compares outputs."""
+    and compares outputs. Every prefix is rendered whole, however many turns it has."""
     seen: Turns = []
     before, start, n = template([]), 0, 0
     for role, text in turns:
-        if n >= PREFIX_TURNS:
-            seen = seen[-WINDOW:]
-            before = template(seen)
         seen.append((role, text))
         now = template(seen)
         rewritten = not now.startswith(before)
@@ -155,7 +148,9 @@ def format_turns(conversations: DataFrame, template: Callable[[Turns], str] = in
 
     Turns go by turn (null last), then role and text, so ties and repeated rows have a defined order and are all
     formatted. A null role or text is empty; a null conv_id is a conversation of its own. An empty table gives no
-    rows; other columns are ignored. Rows are streamed in order: a conversation is never held whole.
+    rows; other columns are ignored. Rows are streamed in order, but the turns of one
+    conversation are held while it is formatted, and each of its prefixes is rendered: the work grows with the square of
+    a conversation's length.
     """
     rows = conversations.select(F.col("conv_id").cast("long"), "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text").drop("turn")
