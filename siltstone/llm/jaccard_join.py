@@ -209,6 +209,41 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, common: bytes, percent:
     return out
 
 
+def _prepared(docs: DataFrame, k: int, percent: int, common_from: int, bits: int) -> tuple[DataFrame, bytes, DataFrame, DataFrame, DataFrame]:
+    """(docs, common n-grams, texts with their class, classes, classes in the lists of their prefixes' shared n-grams)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    common = _common_ngrams(docs, k, common_from, bits)
+    slim = settle(docs.mapInArrow(_prefixes(k, percent, common), "doc_id long, n long, cls long, prefix array<long>"), "prefixes")
+    reps = settle(slim.where("cls is not null").select("cls", "n", "prefix").dropDuplicates(["cls"]), "reps")
+    lists = reps.select("cls", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
+    lists = settle(lists, "lists")
+    shared = bitmap_of(lists.select(F.shiftleft("h", 1).alias("h")), "h", bits)
+    live = settle(reps.select("cls", "n", "prefix").mapInArrow(_shared_only(shared), "cls long, n long, h long, pos long").join(lists, "h"), "live")
+    drop_settled(lists)
+    return docs, common, slim, reps, live
+
+
+def similar_pairs(docs: DataFrame, k: int = 5, percent: int = 80, common_from: int = 16, fragments: int = 5, bits: int = 24) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, n_shingles, cls, n_links) of each row of docs, (a, b) of each linked pair of classes, a < b).
+
+    The join itself: every pair of different sets that links as in similar_classes is verified, within components too.
+    Equal sets are one class; n_links counts the other rows that a row links with, its class's own among them. A row
+    with the empty set has no class and no links. A group of n sets that all link has n * (n - 1) / 2 pairs.
+    """
+    docs, common, slim, reps, live = _prepared(docs, k, percent, common_from, bits)
+    left = live.select("h", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    right = live.select("h", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    met = left.join(right, "h").where("a < b").where(_may_begin("na", "nb", "pa", "pb", percent)).select("a", "b").distinct()
+    links = _verified(settle(_possible(met, reps, percent), "pairs"), docs, k, common, percent, fragments, bits)
+    drop_settled(live, reps)
+    sizes = slim.where("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("c"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(sizes.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("c").alias("others"))
+    counts = sizes.join(others, "cls", "left").select("cls", (F.col("c") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    rows = slim.join(counts, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), "cls", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows, links
+
+
 def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, common_from: int = 16, fragments: int = 5, bits: int = 24) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, n_shingles, cls, component_id), one row for each row of docs.
 
@@ -220,16 +255,8 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, common_from:
     or four times, whole, and nothing of all texts is gathered: what is broadcast are bitmaps of 2**bits bits.
     Sets and n-grams are told apart by 64-bit hashes.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    common = _common_ngrams(docs, k, common_from, bits)
-    slim = settle(docs.mapInArrow(_prefixes(k, percent, common), "doc_id long, n long, cls long, prefix array<long>"), "prefixes")
+    docs, common, slim, reps, live = _prepared(docs, k, percent, common_from, bits)
     some = slim.where("cls is not null")
-    reps = settle(some.select("cls", "n", "prefix").dropDuplicates(["cls"]), "reps")
-    lists = reps.select("cls", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
-    lists = settle(lists, "lists")
-    shared = bitmap_of(lists.select(F.shiftleft("h", 1).alias("h")), "h", bits)
-    live = settle(reps.select("cls", "n", "prefix").mapInArrow(_shared_only(shared), "cls long, n long, h long, pos long").join(lists, "h"), "live")
-    drop_settled(lists)
     verified = lambda pairs: _verified(pairs, docs, k, common, percent, fragments, bits)
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
