@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import text_chunks
+from siltstone.llm.common import settle, text_chunks
 from siltstone.llm.features import STYLE, style
 
 #: At most so many labelled rows are fitted on, those of the smallest md5 of doc_id.
@@ -69,6 +69,10 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, l2: float = 1e-4, seed
     return {"w": w, "centre": centre, "scale": scale, "cut": np.array(cut), "slope": np.array(4 / max(1e-6, np.std(s)))}
 
 
+def raw_score(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    return ((expanded(x) - model["centre"]) / model["scale"]) @ model["w"]
+
+
 def score(model: dict[str, np.ndarray], x: np.ndarray, threshold: float) -> np.ndarray:
     """Scores from 0 to 1; the cut quantile is at the threshold."""
     s = ((expanded(x) - model["centre"]) / model["scale"]) @ model["w"]
@@ -94,8 +98,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, off in text_chunks(batch.column(1)):
-                s = score(model, style(data, off)[0], threshold)
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
-
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
-    return scored.select("doc_id", (fold(F.col("doc_id"), parts) == 0).alias("held_out"), "score", "predicted")
+                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(raw_score(model, style(data, off)[0]))], ["doc_id", "s"])
+
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, s double")
+    scored = settle(scored, "raw")
+    # The cut is that quantile of all texts' scores which the fitted rows of label 0 hold of the fitted rows.
+    low = float(np.mean(seen["label"].to_numpy(int) == 0)) if len(seen) and model["w"].any() else 0.0
+    cut = scored.agg(F.percentile_approx("s", low, 100_000)).first()[0] or 0.0
+    z = (F.col("s") - cut) * float(model["slope"]) + float(np.log(threshold / (1 - threshold)))
+    scored = scored.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z)))))
+    # At the cut itself the score is the threshold, up to rounding.
+    return scored.select("doc_id", (fold(F.col("doc_id"), parts) == 0).alias("held_out"), "score", (F.col("s") >= cut).cast("int").alias("predicted"))
