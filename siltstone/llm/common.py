@@ -51,6 +51,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bits_for(rows: int) -> int:
+    """Bits of a bitmap's size that leave seven eighths of it free, within 128 KB and 16 MB; beyond, more keys share one."""
+    return min(max((8 * rows).bit_length(), 20), 27)
+
+
 def bitmap_of(df: DataFrame, key: str, bits: int = 24) -> bytes:
     """A bitmap of 2**bits bits with the top bits of a long key: 2 MB for 24, however many rows there are."""
     at = F.shiftrightunsigned(F.col(key), 64 - bits)

@@ -13,7 +13,7 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(r)
 
 
-def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """links (a, b: long) -> (node, root): root is the smallest node that links reach from node.
 
     Loops, repeated and reversed links count once; null ends are left out; nodes without a link to another are not
@@ -24,7 +24,7 @@ def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .where("a is not null and b is not null and a <> b").distinct(), "edges")
     before = _state(edges)
-    for _ in range(rounds if before[0] else 0):
+    while before[0]:  # until a round changes nothing
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -1,13 +1,16 @@
 """N-gram Jaccard join by vertical partitioning of the global n-gram order.
 
-The global order of n-grams is (in many texts or not, 64-bit hash). Two sets that are similar enough share an n-gram
-of their first n - ceil(t * n) + 1 in this order, so only those make candidates. N-grams that many texts share come
-last, so that a common passage makes no candidates unless nearly all of a text is common. For candidates the order is
-cut into fragments, the sets' parts in each fragment are intersected apart, and the partial counts are summed by pair.
-
-Texts with one and the same set are one class and are never paired. First each class tries one link, then, twice, one to
-the best linked member of its lists. What that joins is a component; after it only pairs across components are
-enumerated. No pair across components is left out, so the components are those of all links.
+The global order of n-grams is (how common, 64-bit hash), common ones last. Two sets that are similar enough share an
+n-gram of their first n - ceil(t * n) + 1 in this order, so only those make candidates, and only where the places of the
+n-gram leave enough to share. For candidates the order is cut into fragments, the sets' parts in each fragment are
+intersected apart, and the partial counts are summed by pair.
+
+Texts with one and the same set are one class and are never paired. Lists of an n-gram with few classes are paired as
+they are. Classes that meet in longer lists are a group, and a group is joined by differences (_within_groups): B are the
+n-grams that most of the group have, D = x ^ B what a set x differs by. As |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|, the pairs
+that need nothing of Dx & Dy are known from sizes alone, and a link to the class nearest to B stands for all of them; the
+others share an element of D, and D is small where sets are near copies. So the work follows the group's size, not its
+square, and no pair that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -16,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bitmap_of, drop_settled, in_bitmap, settle, text_chunks
+from siltstone.llm.common import bitmap_of, bits_for, drop_settled, in_bitmap, settle, text_chunks
 from siltstone.llm.components import connected_components
 from siltstone.llm.wordarrays import BY_SPACE, mix, shingle_sets, span_hashes, spans
 
@@ -27,6 +30,12 @@ from siltstone.llm.wordarrays import BY_SPACE, mix, shingle_sets, span_hashes, s
 LOCAL_LEAST = 2
 #: N-grams whose counts are kept before they are sorted and counted.
 FLUSH = 4_000_000
+#: Classes in a list that are paired directly; longer lists make groups. The same within a group.
+FEW, FEW_WITHIN = 16, 256
+#: A hot group's rows are spread over so many keys where they meet the group's own row.
+SALTS = 32
+#: Bits of a bitmap of common n-grams; one for each step of commonness.
+BITS, STEPS = 24, 3
 U = np.uint64
 
 
@@ -69,12 +78,17 @@ def _common(k: int):
     return run
 
 
-def _keys(s: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    """The n-grams' places in the global order: 63 bits of hash after the mark of a common one, as sorted longs."""
-    often = in_bitmap(bitmap, s)
-    key = ((s >> U(1)) | (often.astype(U) << U(63))) ^ U(1 << 63)
-    rare = key[~often]
-    return np.concatenate((rare, key[often])).view(np.int64)
+def _keys(s: np.ndarray, bitmaps: list[np.ndarray]) -> np.ndarray:
+    """The n-grams' places in the global order, as sorted longs: 62 bits of hash after two bits of how common it is."""
+    step = np.zeros(len(s), U)
+    for b in bitmaps:  # each holds what the next one holds
+        step += in_bitmap(b, s, BITS)
+    key = ((s >> U(2)) | (step << U(62))) ^ U(1 << 63)
+    return np.concatenate([key[step == U(i)] for i in range(STEPS + 1)]).view(np.int64)
+
+
+def _bitmaps(common: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint8) for x in common]
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -82,20 +96,21 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)), pa.array(flat))
 
 
-def _prefixes(k: int, percent: int, common: bytes):
+def _prefixes(k: int, percent: int, common: list[bytes], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(common, np.uint8)
+        bitmaps = _bitmaps(common)
         for batch in batches:
             for i, sets in _sets(batch.column(1), k):
                 n = [len(s) for s in sets]
                 keys = [_class(s) if len(s) else None for s in sets]
-                parts = [_keys(s, bitmap)[: m - (percent * m + 99) // 100 + 1] if m else np.zeros(0, np.int64) for s, m in zip(sets, n, strict=True)]
-                yield pa.record_batch([batch.column(0).slice(i, len(sets)), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), _lists(parts)], ["doc_id", "n", "cls", "prefix"])
+                parts = [_keys(s, bitmaps)[: m - (percent * m + 99) // 100 + 1] if m else np.zeros(0, np.int64) for s, m in zip(sets, n, strict=True)]
+                rest = [c.slice(i, len(sets)) for c in batch.columns[2:]]
+                yield pa.record_batch([batch.column(0).slice(i, len(sets)), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), _lists(parts), *rest], names)
 
     return run
 
 
-def _shared_only(lists: bytes):
+def _shared_only(lists: bytes, bits: int):
     """Of prefixes the n-grams that the bitmap holds, and their places in the prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,29 +120,31 @@ def _shared_only(lists: bytes):
             flat, edges = prefix.flatten().to_numpy(), prefix.offsets.to_numpy()
             row = np.repeat(np.arange(len(prefix)), np.diff(edges))
             place = np.arange(len(flat)) - (edges[:-1] - edges[0])[row]
-            good = in_bitmap(bitmap, flat.view(U) << U(1))
+            good = in_bitmap(bitmap, flat.view(U) << U(2), bits)
             at = pa.array(row[good])
             yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(flat[good]), pa.array(place[good].astype(np.int64))], ["cls", "n", "h", "pos"])
 
     return run
 
 
-def _segments(k: int, wanted: bytes, common: bytes, fragments: int):
+def _segments(k: int, wanted: bytes, bits: int, common: list[bytes], fragments: int):
+    """The wanted classes' sets, cut where the global order's fragments meet."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, done = np.frombuffer(wanted, np.uint8), set()
-        often = np.frombuffer(common, np.uint8)
-        edges = np.array([(i << 63) // (fragments - 1) - (1 << 63) for i in range(1, fragments)], np.int64)
+        bitmaps = _bitmaps(common)
+        edges = np.array([(i << 62) // (fragments - STEPS) - (1 << 63) for i in range(1, fragments - STEPS)] + [(i << 62) - (1 << 63) for i in range(1, STEPS + 1)], np.int64)
         for batch in batches:
             for _, sets in _sets(batch.column(0), k):
                 keys = np.array([_class(s) if len(s) else 0 for s in sets], np.int64)
-                for j in np.flatnonzero((keys != 0) & in_bitmap(bitmap, keys.view(U))).tolist():
+                for j in np.flatnonzero((keys != 0) & in_bitmap(bitmap, keys.view(U), bits)).tolist():
                     key = int(keys[j])
                     if key in done:
                         continue
                     if len(done) > 1_000_000:
                         done.clear()
                     done.add(key)
-                    s = _keys(sets[j], often)
+                    s = _keys(sets[j], bitmaps)
                     at = np.concatenate(([0], np.searchsorted(s, edges), [len(s)])).astype(np.int32)
                     yield pa.record_batch([pa.array([key] * fragments), pa.array([len(s)] * fragments, pa.int64()), pa.array(range(fragments), pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(s))], ["cls", "n", "frag", "seg"])
 
@@ -150,15 +167,15 @@ def _batched(run, rows: int = 512):
     return out
 
 
-def _common_ngrams(docs: DataFrame, k: int, least: int, bits: int) -> bytes:
-    """A bitmap with the n-grams in `least` texts or more; the least count doubles until they fill an eighth of it.
-    A rare n-gram in it only comes later in the order, and so the bitmap changes no result."""
+def _common_ngrams(docs: DataFrame, k: int, least: int) -> list[bytes]:
+    """Bitmaps with the n-grams in `least` texts or more, in 8 times and in 64 times as many; the least count doubles until
+    they fill an eighth of the first. A rare n-gram in one only comes later in the order, so bitmaps change no result."""
     counts = settle(docs.select("text").mapInArrow(_common(k), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least), "common")
     steps = {r.s: r.n for r in counts.groupBy(F.floor(F.log2(F.col("c") / least)).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    step, room = 0, (1 << bits) // 8
+    step, room = 0, (1 << BITS) // 8
     while sum(n for s, n in steps.items() if s >= step) > room:
         step += 1
-    out = bitmap_of(counts.where(F.col("c") >= least << step), "h", bits)
+    out = [bitmap_of(counts.where(F.col("c") >= least << step << 3 * i), "h", BITS) for i in range(STEPS)]
     drop_settled(counts)
     return out
 
@@ -170,72 +187,129 @@ def _may_begin(nx: str, ny: str, px: str, py: str, percent: int):
     return (F.lit(100 + percent) * left >= F.lit(percent) * (F.col(nx) + F.col(ny))) & (F.lit(100) * F.least(nx, ny) >= F.lit(percent) * F.greatest(nx, ny))
 
 
-def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that their prefixes allow. Up to the smaller of the prefixes' last n-grams both sets are known
-    whole; what either has there and the other lacks must leave enough to share."""
-    left = reps.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
-    right = reps.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
-    both = pairs.join(left, "b").join(right, "a").where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
-    both = both.withColumn("last", F.least(F.element_at("pa", -1), F.element_at("pb", -1)))
-    upto = lambda p: F.size(F.filter(p, lambda v: v <= F.col("last")))
-    common = F.size(F.array_intersect("pa", "pb"))
-    # each set's n-grams there that the other lacks bound what they can share in all
-    most = F.least(F.col("na") - upto("pa") + common, F.col("nb") - upto("pb") + common)
-    return both.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+def _met(live: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that meet in a list of live (h, cls, n, pos) where it can be their first."""
+    left = live.select("h", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    right = live.select("h", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    return left.join(right, "h").where("a < b").where(_may_begin("na", "nb", "pa", "pb", percent)).select("a", "b").distinct()
 
 
-def _members(live: DataFrame, links: DataFrame) -> DataFrame:
-    """live's rows (h, cls, n, pos) with their component by the links and their number of links."""
-    roots = connected_components(links).withColumnRenamed("node", "cls")
-    degree = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("degree"))
-    known = settle(roots.join(degree, "cls"), "known")
-    out = live.select("h", "cls", "n", "pos").join(known, "cls", "left")
-    return settle(out.select("h", "cls", "n", "pos", F.coalesce("root", "cls").alias("comp"), F.coalesce("degree", F.lit(0)).alias("degree")), "members")
+def _fetched(classes: DataFrame, docs: DataFrame, k: int, common: list[bytes], fragments: int) -> DataFrame:
+    """(cls, n, frag, seg) of the classes, each fragment once."""
+    ends = settle(classes.distinct(), "ends")
+    bits = bits_for(ends.count())
+    found = docs.select("text").mapInArrow(_batched(_segments(k, bitmap_of(ends, "cls", bits), bits, common, fragments)), "cls long, n long, frag int, seg array<long>")
+    out = settle(found.join(ends, "cls", "left_semi").dropDuplicates(["cls", "frag"]), "segments")
+    drop_settled(ends)
+    return out
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, common: bytes, percent: int, fragments: int, bits: int) -> DataFrame:
+def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) those whose sets are similar enough: partial overlaps by fragment, summed by pair."""
-    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    ends = settle(ends, "ends")
-    run = _segments(k, bitmap_of(ends, "cls", bits), common, fragments)
-    segments = docs.select("text").mapInArrow(_batched(run), "cls long, n long, frag int, seg array<long>")
-    segments = settle(segments.join(ends, "cls", "left_semi").dropDuplicates(["cls", "frag"]), "segments")
     left = segments.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "frag", F.col("seg").alias("sb"))
     right = segments.select(F.col("cls").alias("a"), F.col("n").alias("na"), "frag", F.col("seg").alias("sa"))
     partial = pairs.join(left, "b").join(right, ["a", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("o"))
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
-    out = settle(total.where(F.lit(100) * F.col("o") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b"), "links")
-    drop_settled(segments, ends)
-    return out
+    return settle(total.where(F.lit(100) * F.col("o") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b"), "links")
 
 
-def _prepared(docs: DataFrame, k: int, percent: int, common_from: int, bits: int) -> tuple[DataFrame, bytes, DataFrame, DataFrame, DataFrame]:
-    """(docs, common n-grams, texts with their class, classes, classes in the lists of their prefixes' shared n-grams)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    common = _common_ngrams(docs, k, common_from, bits)
-    slim = settle(docs.mapInArrow(_prefixes(k, percent, common), "doc_id long, n long, cls long, prefix array<long>"), "prefixes")
+def _prepared(docs: DataFrame, k: int, percent: int, common_from: int, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[bytes], DataFrame, DataFrame]:
+    """(docs, common n-grams, rows with their class, classes in the lists (h, c classes) of their prefixes' n-grams)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in keep])
+    common = _common_ngrams(docs, k, common_from)
+    schema = ", ".join(["doc_id long, n long, cls long, prefix array<long>", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)])
+    slim = settle(docs.mapInArrow(_prefixes(k, percent, common, ["doc_id", "n", "cls", "prefix", *keep]), schema), "prefixes")
     reps = settle(slim.where("cls is not null").select("cls", "n", "prefix").dropDuplicates(["cls"]), "reps")
-    lists = reps.select("cls", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
-    lists = settle(lists, "lists")
-    shared = bitmap_of(lists.select(F.shiftleft("h", 1).alias("h")), "h", bits)
-    live = settle(reps.select("cls", "n", "prefix").mapInArrow(_shared_only(shared), "cls long, n long, h long, pos long").join(lists, "h"), "live")
-    drop_settled(lists)
-    return docs, common, slim, reps, live
+    lists = settle(reps.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "lists")
+    bits = bits_for(lists.count())
+    shared = bitmap_of(lists.select(F.shiftleft("h", 2).alias("h")), "h", bits)
+    live = settle(reps.mapInArrow(_shared_only(shared, bits), "cls long, n long, h long, pos long").join(lists, "h"), "live")
+    drop_settled(lists, reps)
+    return docs, common, slim, live
+
 
+def _grouped(lists: DataFrame) -> DataFrame:
+    """lists (key, cls) -> (grp, cls) distinct: lists that a class links are one group."""
+    first = lists.groupBy("cls").agg(F.min("key").alias("first"))
+    roots = connected_components(lists.join(first, "cls").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b")).distinct())
+    named = lists.join(roots.withColumnRenamed("node", "key"), "key", "left")
+    return named.select(F.coalesce("root", "key").alias("grp"), "cls").distinct()
 
-def similar_pairs(docs: DataFrame, k: int = 5, percent: int = 80, common_from: int = 16, fragments: int = 5, bits: int = 24) -> tuple[DataFrame, DataFrame]:
+
+def _by_group(left: DataFrame, right: DataFrame, salt: str = "cls") -> DataFrame:
+    """left join right by grp; right has a row a group, or none. A hot group's rows are spread by a salt."""
+    every = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(every, ["grp", "salt"], "left").drop("salt")
+
+
+def _within_groups(items: DataFrame, percent: int) -> list[DataFrame]:
+    """items (grp, cls, n, s: set) -> links (a, b) that join, in each group, all that its pairs' links join.
+
+    With q = 100 + percent and f(x) = q |Dx| - (100 - percent) |x|, x and y link iff f(x) + f(y) <= 2 q |Dx & Dy|. m has
+    the least f; x is near if f(x) + f(m) <= 0. Near ones link with m, whatever they share, so pairs of two near ones add
+    nothing. A pair with a far one shares (f(x) + f(y)) / 2q elements of D or more, at least one; it is found by prefixes
+    of D in the order of their counts within the group. Lists of more than FEW_WITHIN make groups again, one level down
+    with D for the sets, until no element is in most of a group's sets.
+    """
+    q, found = 100 + percent, []
+    while True:
+        counts = items.select("grp", F.explode("s").alias("e")).groupBy("grp", "e").agg(F.count(F.lit(1)).alias("c"))
+        sizes = items.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+        base = _by_group(counts, sizes, "e").where("2 * c > size").groupBy("grp").agg(F.collect_list("e").alias("b"))
+        moved = F.when(F.col("b").isNull(), F.col("s")).otherwise(F.concat(F.array_except("s", "b"), F.array_except("b", "s")))
+        apart = _by_group(items, base).select("grp", "cls", "n", moved.alias("d"), F.col("b").isNull().alias("stuck")).withColumn("nd", F.size("d").cast("long"))
+        apart = settle(apart.withColumn("f", F.lit(q) * F.col("nd") - F.lit(100 - percent) * F.col("n")), "apart")
+        hubs = settle(apart.groupBy("grp").agg(F.min(F.struct("f", "cls")).alias("m")).select("grp", F.col("m.f").alias("fm"), F.col("m.cls").alias("m")), "hubs")
+        near = settle(_by_group(apart.drop("d", "n"), hubs).withColumn("far", F.col("f") + F.col("fm") > 0), "near")
+        found.append(settle(near.where("not far and cls <> m").select(F.least("cls", "m").alias("a"), F.greatest("cls", "m").alias("b")), "stars"))
+
+        least = near.where("far").groupBy("grp").agg(F.min("f").alias("ff"))
+        bound = _by_group(near, least).where("ff is not null").withColumn("o", F.greatest(F.lit(1), F.ceil((F.col("f") + F.when(F.col("far"), F.col("fm")).otherwise(F.col("ff"))) / F.lit(2 * q))))
+        bound = bound.withColumn("upto", F.col("nd") - F.col("o") + 1).where("upto > 0").select("grp", "cls", "nd", "f", "far", "stuck", "upto")
+        whole = bound.join(apart.select("grp", "cls", "d"), ["grp", "cls"])
+        flat = settle(whole.select("grp", "cls", "nd", "f", "far", "stuck", "upto", F.explode("d").alias("e")), "flat")
+        often = flat.groupBy("grp", "e").agg(F.count(F.lit(1)).alias("df"), F.max("far").alias("some")).where("df > 1 and some").select("grp", "e", "df")
+        own = Window.partitionBy("grp", "cls")
+        # What no other set has, or only near ones, comes first.
+        placed = flat.join(often, ["grp", "e"]).withColumns({"r": F.row_number().over(own.orderBy("df", "e")), "shared": F.count(F.lit(1)).over(own)})
+        placed = placed.withColumn("pos", F.col("nd") - F.col("shared") + F.col("r") - 1).where("pos < upto").select("grp", "e", "cls", "nd", "f", "far", "stuck", "pos")
+        placed = settle(placed, "placed")
+        lists = placed.groupBy("grp", "e").agg(F.count(F.lit(1)).alias("c"), F.max("far").alias("some")).where("c > 1 and some").select("grp", "e", "c")
+        placed = settle(placed.join(lists, ["grp", "e"]), "placed")
+        drop_settled(flat, near, hubs)
+
+        few = placed.where(F.col("stuck") | (F.col("c") <= FEW_WITHIN))
+        left = few.select("grp", "e", F.col("cls").alias("a"), F.col("nd").alias("na"), F.col("f").alias("fa"), F.col("far").alias("ra"), F.col("pos").alias("pa"))
+        right = few.select("grp", "e", F.col("cls").alias("b"), F.col("nd").alias("nb"), F.col("f").alias("fb"), F.col("far").alias("rb"), F.col("pos").alias("pb"))
+        enough = F.lit(2 * q) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= F.col("fa") + F.col("fb")
+        pairs = left.join(right, ["grp", "e"]).where("a < b and (ra or rb)").where(enough).select("grp", "a", "b", "fa", "fb").distinct()
+        both = pairs.join(apart.select("grp", F.col("cls").alias("a"), F.col("d").alias("da")), ["grp", "a"]).join(apart.select("grp", F.col("cls").alias("b"), F.col("d").alias("db")), ["grp", "b"])
+        found.append(settle(both.where(F.lit(2 * q) * F.size(F.array_intersect("da", "db")) >= F.col("fa") + F.col("fb")).select("a", "b"), "links"))
+
+        many = placed.where(~F.col("stuck") & (F.col("c") > FEW_WITHIN)).select(F.xxhash64("grp", "e").alias("key"), "cls", "grp")
+        if many.isEmpty():
+            drop_settled(apart, placed)
+            return found
+        again = _grouped(many.select("key", "cls")).withColumnRenamed("grp", "sub")
+        parent = many.select("cls", "grp").distinct()
+        below = again.join(parent, "cls").join(apart.select("grp", "cls", "n", "d"), ["grp", "cls"])
+        items = settle(below.select(F.xxhash64("grp", "sub").alias("grp"), "cls", "n", F.col("d").alias("s")), "items")
+        drop_settled(apart, placed)
+
+
+def similar_pairs(docs: DataFrame, k: int = 5, percent: int = 80, common_from: int = 4, fragments: int = 8) -> tuple[DataFrame, DataFrame]:
     """((doc_id, n_shingles, cls, n_links) of each row of docs, (a, b) of each linked pair of classes, a < b).
 
     The join itself: every pair of different sets that links as in similar_classes is verified, within components too.
     Equal sets are one class; n_links counts the other rows that a row links with, its class's own among them. A row
     with the empty set has no class and no links. A group of n sets that all link has n * (n - 1) / 2 pairs.
     """
-    docs, common, slim, reps, live = _prepared(docs, k, percent, common_from, bits)
-    left = live.select("h", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    right = live.select("h", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    met = left.join(right, "h").where("a < b").where(_may_begin("na", "nb", "pa", "pb", percent)).select("a", "b").distinct()
-    links = _verified(settle(_possible(met, reps, percent), "pairs"), docs, k, common, percent, fragments, bits)
-    drop_settled(live, reps)
+    docs, common, slim, live = _prepared(docs, k, percent, common_from)
+    pairs = settle(_met(live, percent), "pairs")
+    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
+    segments = _fetched(ends, docs, k, common, fragments)
+    links = _verified(pairs, segments, percent)
+    drop_settled(live, pairs, segments)
     sizes = slim.where("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("c"))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = both.join(sizes.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("c").alias("others"))
@@ -244,59 +318,39 @@ def similar_pairs(docs: DataFrame, k: int = 5, percent: int = 80, common_from: i
     return rows, links
 
 
-def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, common_from: int = 16, fragments: int = 5, bits: int = 24) -> DataFrame:
-    """docs (doc_id, text, ...) -> (doc_id, n_shingles, cls, component_id), one row for each row of docs.
+def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, common_from: int = 4, fragments: int = 8, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, text, ...) -> (doc_id, n_shingles, cls, root, component_id, *keep), one row for each row of docs.
 
     Two texts link when 100 * |intersection| >= percent * |union| of their sets of k-word runs (words between ASCII
-    white space, A-Z lower-cased; of fewer words the whole text is the one run). component_id is the smallest doc_id
-    that links reach. A null or empty text has the empty set, links with nothing and keeps its own doc_id. Repeated
-    rows link like other equal texts. A null doc_id is never a component_id unless all of the component's are null.
-    Other columns are ignored, whatever their names; an empty table gives an empty result. Texts are read three
-    or four times, whole, and nothing of all texts is gathered: what is broadcast are bitmaps of 2**bits bits.
-    Sets and n-grams are told apart by 64-bit hashes.
+    white space, A-Z lower-cased; of fewer words the whole text is the one run). root is a key of what links reach, the
+    same for all of a component; component_id is the smallest doc_id there. A null or empty text has the empty set, links
+    with nothing, keeps its own doc_id and has null for cls and root. Repeated rows link like other equal texts. A null
+    doc_id is never a component_id unless all of the component's are null. Columns that are not in keep are ignored,
+    whatever their names; keep may not name one of the result's own or `n`, `prefix`, `text`. An empty table gives an
+    empty result. Texts are read three times, whole, and nothing of all texts is gathered: what is broadcast are bitmaps
+    of bounded size. Sets and n-grams are told apart by 64-bit hashes (n-grams by 62 bits where they are paired).
     """
-    docs, common, slim, reps, live = _prepared(docs, k, percent, common_from, bits)
-    some = slim.where("cls is not null")
-    verified = lambda pairs: _verified(pairs, docs, k, common, percent, fragments, bits)
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-
-    # A link for each class: to the smallest or largest member of its lists that it meets in most of them.
-    ends = live.select("cls", F.col("lo").alias("p")).unionByName(live.select("cls", F.col("hi").alias("p"))).where("p <> cls")
-    meets = ends.groupBy("cls", "p").agg(F.count(F.lit(1)).alias("c")).groupBy("cls").agg(F.max_by("p", F.struct("c", "p")).alias("p"))
-    tried = settle(_possible(meets.select(*ordered("p", "cls")).distinct(), reps, percent), "pairs")
-    links = verified(tried)
-
-    # A link for each class to the member of its lists with the most links so far that is not in its component; twice.
-    for _ in range(2):
-        members = _members(live, links)
-        hub = F.max(F.struct("degree", F.col("cls").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"), F.col("pos").alias("pp"))).alias("x")
-        hubs = members.groupBy("h").agg(hub, F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("h", "x.*").withColumnRenamed("degree", "pd")
-        near = members.join(hubs, "h").where("comp <> pc").where(_may_begin("n", "pn", "pos", "pp", percent))
-        near = near.groupBy("cls").agg(F.max_by("p", F.struct("pd", "p")).alias("p"))
-        again = settle(_possible(near.select(*ordered("p", "cls")).distinct().join(tried, ["a", "b"], "left_anti"), reps, percent), "pairs")
-        drop_settled(members)
-        if not again.limit(1).count():
-            break
-        links, tried = settle(links.unionByName(verified(again)), "links"), settle(tried.unionByName(again), "pairs")
-
-    # All pairs across what are still different components, from the members outside a list's largest component.
-    members = _members(live, links)
-    sizes = members.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = sizes.groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "major")
-    mixed = settle(members.join(mixed, "h"), "mixed")
-    few = mixed.where("comp <> major").select("h", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("comp").alias("cx"), "major")
-    rest = few.join(mixed.select("h", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("comp").alias("cy")), "h")
-    rest = rest.where("cx <> cy and (cy = major or x < y)").where(_may_begin("nx", "ny", "px", "py", percent))
-    rest = settle(_possible(rest.select(*ordered("x", "y")).distinct().join(tried, ["a", "b"], "left_anti"), reps, percent), "pairs")
-    if rest.limit(1).count():
-        links = links.unionByName(verified(rest))
-    roots = settle(connected_components(links), "roots")
-    drop_settled(live, members, mixed, reps)
-
-    classes = some.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c"))
+    docs, common, slim, live = _prepared(docs, k, percent, common_from, keep)
+    pairs = settle(_met(live.where(F.col("c") <= FEW), percent), "pairs")
+    grouped = settle(_grouped(live.where(F.col("c") > FEW).select(F.col("h").alias("key"), "cls")), "groups")
+    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")), ).unionByName(grouped.select("cls"))
+    segments = _fetched(ends, docs, k, common, fragments)
+    links = [_verified(pairs, segments, percent)]
+    if not grouped.isEmpty():
+        whole = segments.join(grouped, "cls").groupBy("grp", "cls", "n").agg(F.flatten(F.collect_list("seg")).alias("s"))
+        items = settle(whole, "items")
+        links += _within_groups(items, percent)
+        drop_settled(items)
+    every = links[0]
+    for x in links[1:]:
+        every = every.unionByName(x)
+    roots = settle(connected_components(every), "roots")
+    drop_settled(live, pairs, grouped, segments, *links)
+
+    classes = slim.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    comps = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = settle(named.where("c > 1 or root <> cls or least is null").unionByName(named.join(roots.select(F.col("root").alias("cls")).distinct(), "cls", "left_semi").where("c = 1 and root = cls and least is not null")).join(comps, "root").select("cls", "component"), "named")
-    out = slim.join(named, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "cls", F.coalesce("component", "doc_id").alias("component_id"))
-
+    named = settle(named, "named")
+    least = named.groupBy("root").agg(F.min("least").alias("component"))
+    named = named.select("cls", "root").join(least, "root")
+    out = slim.drop("prefix").join(named, "cls", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "cls", "root", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), *[F.col(f"`{c}`") for c in keep])

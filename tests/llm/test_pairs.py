@@ -31,3 +31,59 @@ def test_every_link_is_returned(spark):
     kinds = sorted(set(every) - {frozenset()}, key=sorted)
     pairs = sum(linked(x, y) for i, x in enumerate(kinds) for y in kinds[:i])
     assert links.count() == pairs > len(kinds)
+
+
+def roots_by_force(rows, k, percent):
+    every, parent = [sets(t, k) for _, t in rows], list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, x in enumerate(every):
+        for j in range(i):
+            y = every[j]
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(d, least.get(root(i), d))
+    return {d: least[root(i)] for i, (d, _) in enumerate(rows)}
+
+
+def near_copies(rng, n, words, most, at):
+    """n texts, each with up to `most` changes of one text that is not among them."""
+    base, rows = rng.choices(words, k=200), []
+    for i in range(n):
+        t = list(base)
+        for _ in range(rng.randint(2, most)):
+            t[rng.randrange(200)] = rng.choice(words)
+        rows.append((at + i, " ".join(t)))
+    return rows
+
+
+def test_near_copies_of_an_absent_text(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    rows = near_copies(rng, 300, words, 6, 1000)
+    want = roots_by_force(rows, 5, 80)
+    assert 3 < len(set(want.values())) < 300  # many of them do not link with each other
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pick = lambda: {r.doc_id: r.component_id for r in jaccard_join.similar_classes(docs, k=5, percent=80).collect()}
+    assert pick() == want
+    monkeypatch.setattr(jaccard_join, "FEW_WITHIN", 5)  # several levels of groups
+    assert pick() == want
+
+
+def test_two_groups_that_share_a_passage(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    shared = " ".join(rng.choices(words, k=40))
+    rows = [(d, t + " " + shared) for d, t in near_copies(rng, 60, words, 6, 0) + near_copies(rng, 60, words, 6, 500)] + [(900, shared), (901, shared), (902, None)]
+    want = roots_by_force(rows, 5, 80)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "FEW", 4)
+    monkeypatch.setattr(jaccard_join, "FEW_WITHIN", 8)
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_classes(docs, k=5, percent=80, common_from=1000).collect()}
+    assert got == want and max(Counter(want.values()).values()) > 10
