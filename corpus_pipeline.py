@@ -18,13 +18,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingle Jaccard of 0.8 or more, the one with the smallest doc_id.
-    Documents without words are no one's copies. Rows without a doc_id, which cannot be told apart, stay only where no
-    row of their group has one."""
-    found = jaccard_join.similar_classes(docs, k=5, percent=80)
-    keep = found.where("doc_id is not null and doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    """One row of each group linked by five-word shingle Jaccard of 0.8 or more: that with the smallest doc_id (null
+    last), of several the one with the smallest hash of all its columns; of rows equal in every column one. Rows
+    without words are no one's copies and stay. Different texts under one doc_id are different rows."""
+    columns = docs.columns
+    key = "row_key"
+    while key in {c.lower() for c in columns}:
+        key += "_"
+    named = docs.withColumn(key, F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
+    found = jaccard_join.similar_classes(named, k=5, percent=80, keep=(key,)).where("cls is not null")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key)).alias("first"))
+    kept = named.join(first.select(F.col(f"first.{key}").alias(key)), key, "left_semi").dropDuplicates([key])
+    wordless = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return kept.select(*[F.col(f"`{c}`") for c in columns]).unionByName(docs.where(wordless))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
