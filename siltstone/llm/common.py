@@ -51,6 +51,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Keys up to which a bitmap of 16 MB has seven eighths of it free.
+MOST_KEYS = 1 << 24
+
+
 def bits_for(rows: int) -> int:
     """Bits of a bitmap's size that leave seven eighths of it free, within 128 KB and 16 MB; beyond, more keys share one."""
     return min(max((8 * rows).bit_length(), 20), 27)

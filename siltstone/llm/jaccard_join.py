@@ -22,20 +22,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bitmap_of, bits_for, drop_settled, in_bitmap, settle, text_chunks
+from siltstone.llm.common import MOST_KEYS, bitmap_of, bits_for, drop_settled, in_bitmap, settle, text_chunks
 from siltstone.llm.components import connected_components
 from siltstone.llm.wordarrays import BY_SPACE, mix, shingle_sets, span_hashes, spans
 
-#: A local count under this says nothing of an n-gram's being common.
-LOCAL_LEAST = 2
 #: N-grams whose counts are kept before they are sorted and counted.
 FLUSH = 4_000_000
 #: Classes in a list that are paired directly; longer lists make groups. The same within a group.
 FEW, FEW_WITHIN = 16, 256
 #: A hot group's rows are spread over so many keys where they meet the group's own row.
 SALTS = 32
-#: Bits of a bitmap of common n-grams; one for each step of commonness.
-BITS, STEPS = 24, 3
+#: Steps of commonness; a bitmap for each.
+STEPS = 3
+#: Bytes of text to a range of n-grams that are counted together; from WIDE bytes on they are told apart by longer keys.
+RANGE_BYTES, WIDE = 32 << 20, 1 << 40
 U = np.uint64
 
 
@@ -52,13 +52,21 @@ def _class(s: np.ndarray) -> int:
     return int(x.view(np.int64)[0]) or 1
 
 
-def _common(k: int):
-    def count(held: list[np.ndarray]) -> pa.RecordBatch:
+def _counted(k: int, range_bits: int, key: type):
+    """Texts -> (r, keys, c): n-grams of different sets with their counts, dealt by the first range_bits of the hash; a
+    key is the bits that follow. Sorted and counted after some megabytes each time."""
+
+    def dealt(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         x = np.sort(np.concatenate(held))
         at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-        c = np.diff(np.append(at, len(x)))
-        many = c >= LOCAL_LEAST
-        return pa.record_batch([pa.array(x[at[many]].view(np.int64)), pa.array(c[many])], ["h", "c"])
+        c = np.minimum(np.diff(np.append(at, len(x))), 255).astype(np.uint8)
+        x = x[at]
+        r = np.arange(1 << range_bits)
+        edges = np.append(np.searchsorted(x, r.astype(U) << U(64 - range_bits)), len(x))
+        keys = ((x << U(range_bits)) >> U(64 - 8 * np.dtype(key).itemsize)).astype(key)
+        for i in range(0, len(r), 64):
+            part = [j for j in r[i : i + 64].tolist() if edges[j + 1] > edges[j]]
+            yield pa.record_batch([pa.array(part, pa.int32()), pa.array([keys[edges[j] : edges[j + 1]].tobytes() for j in part], pa.binary()), pa.array([c[edges[j] : edges[j + 1]].tobytes() for j in part], pa.binary())], ["r", "keys", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}  # copies count once
@@ -66,14 +74,35 @@ def _common(k: int):
         for batch in batches:
             for _, sets in _sets(batch.column(0), k):
                 for s in sets:
-                    if len(s) and (key := _class(s)) not in held:
-                        held[key] = s
+                    if len(s) and (name := _class(s)) not in held:
+                        held[name] = s
                         size += len(s)
                 if size > FLUSH:
-                    yield count([*held.values()])
+                    yield from dealt([*held.values()])
                     held, size = {}, 0
         if size:
-            yield count([*held.values()])
+            yield from dealt([*held.values()])
+
+    return run
+
+
+def _often(least: int, range_bits: int, key: type):
+    """The n-grams of a range (their first bits as a long) in `least` sets or more."""
+
+    def run(group: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = [], []
+        for batch in batches:
+            keys += [np.frombuffer(x, key) for x in batch.column("keys").to_pylist()]
+            counts += [np.frombuffer(x, np.uint8) for x in batch.column("c").to_pylist()]
+        x, c = np.concatenate(keys), np.concatenate(counts)
+        keys.clear()
+        order = np.argsort(x)
+        x = x[order]
+        at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+        total = np.add.reduceat(c[order].astype(np.int64), at)
+        many = total >= least
+        h = (x[at[many]].astype(U) << U(64 - 8 * np.dtype(key).itemsize) >> U(range_bits)) | (U(group[0].as_py()) << U(64 - range_bits))
+        yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(total[many])], ["h", "c"])
 
     return run
 
@@ -82,7 +111,7 @@ def _keys(s: np.ndarray, bitmaps: list[np.ndarray]) -> np.ndarray:
     """The n-grams' places in the global order, as sorted longs: 62 bits of hash after two bits of how common it is."""
     step = np.zeros(len(s), U)
     for b in bitmaps:  # each holds what the next one holds
-        step += in_bitmap(b, s, BITS)
+        step += in_bitmap(b, s, (8 * len(b)).bit_length() - 1)
     key = ((s >> U(2)) | (step << U(62))) ^ U(1 << 63)
     return np.concatenate([key[step == U(i)] for i in range(STEPS + 1)]).view(np.int64)
 
@@ -168,14 +197,18 @@ def _batched(run, rows: int = 512):
 
 
 def _common_ngrams(docs: DataFrame, k: int, least: int) -> list[bytes]:
-    """Bitmaps with the n-grams in `least` texts or more, in 8 times and in 64 times as many; the least count doubles until
-    they fill an eighth of the first. A rare n-gram in one only comes later in the order, so bitmaps change no result."""
-    counts = settle(docs.select("text").mapInArrow(_common(k), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least), "common")
+    """Bitmaps with the n-grams in `least` sets or more, in 8 times and in 64 times as many. All n-grams are counted, by
+    ranges of their hash. Where there are too many for a bitmap the least count doubles until they fill an eighth of it;
+    what is taken for rarer or more common than it is only changes its place in the order, and so no result."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    range_bits, key = min(max(int(size // RANGE_BYTES).bit_length(), 4), 16), np.uint32 if size < WIDE else np.uint64
+    counted = docs.select("text").mapInArrow(_counted(k, range_bits, key), "r int, keys binary, c binary")
+    counts = settle(counted.groupBy("r").applyInArrow(_often(least, range_bits, key), "h long, c long"), "common")
     steps = {r.s: r.n for r in counts.groupBy(F.floor(F.log2(F.col("c") / least)).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    step, room = 0, (1 << BITS) // 8
-    while sum(n for s, n in steps.items() if s >= step) > room:
+    step = 0
+    while (n := sum(m for s, m in steps.items() if s >= step)) > MOST_KEYS:
         step += 1
-    out = [bitmap_of(counts.where(F.col("c") >= least << step << 3 * i), "h", BITS) for i in range(STEPS)]
+    out = [bitmap_of(counts.where(F.col("c") >= least << step << 3 * i), "h", bits_for(n)) for i in range(STEPS)]
     drop_settled(counts)
     return out
 
@@ -242,22 +275,35 @@ def _by_group(left: DataFrame, right: DataFrame, salt: str = "cls") -> DataFrame
     return left.withColumn("salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(every, ["grp", "salt"], "left").drop("salt")
 
 
+def _apart(items: DataFrame) -> DataFrame:
+    """items (grp, cls, n, s) with d, s's difference from what most of the group have, and whether that is of use: where
+    it does not halve the sets (few or no elements are in most of them), d is s and stuck is true."""
+    counts = items.select("grp", F.explode("s").alias("e")).groupBy("grp", "e").agg(F.count(F.lit(1)).alias("c"))
+    sizes = items.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.sum(F.size("s")).alias("all"))
+    # What the differences have in all, from counts alone.
+    split = F.col("c") * 2 > F.col("size")
+    known = settle(_by_group(counts, sizes, "e").withColumn("most", split), "counts")
+    total = known.groupBy("grp", "all").agg(F.sum(F.when(F.col("most"), F.col("size") - F.col("c")).otherwise(F.col("c"))).alias("rest"))
+    base = _by_group(known.where("most").select("grp", "e"), total.where("2 * rest <= all").select("grp", F.lit(True).alias("use")), "e").where("use").groupBy("grp").agg(F.collect_list("e").alias("b"))
+    moved = F.when(F.col("b").isNull(), F.col("s")).otherwise(F.concat(F.array_except("s", "b"), F.array_except("b", "s")))
+    out = settle(_by_group(items, base).select("grp", "cls", "n", moved.alias("d"), F.col("b").isNull().alias("stuck")), "apart")
+    drop_settled(known)
+    return out
+
+
 def _within_groups(items: DataFrame, percent: int) -> list[DataFrame]:
-    """items (grp, cls, n, s: set) -> links (a, b) that join, in each group, all that its pairs' links join.
+    """items (grp, cls, n, d: difference from a base, stuck: there is none, and d is the set) -> links (a, b) that join, in
+    each group, all that its pairs' links join.
 
     With q = 100 + percent and f(x) = q |Dx| - (100 - percent) |x|, x and y link iff f(x) + f(y) <= 2 q |Dx & Dy|. m has
     the least f; x is near if f(x) + f(m) <= 0. Near ones link with m, whatever they share, so pairs of two near ones add
     nothing. A pair with a far one shares (f(x) + f(y)) / 2q elements of D or more, at least one; it is found by prefixes
     of D in the order of their counts within the group. Lists of more than FEW_WITHIN make groups again, one level down
-    with D for the sets, until no element is in most of a group's sets.
+    with D for the sets, until there is no base.
     """
     q, found = 100 + percent, []
     while True:
-        counts = items.select("grp", F.explode("s").alias("e")).groupBy("grp", "e").agg(F.count(F.lit(1)).alias("c"))
-        sizes = items.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
-        base = _by_group(counts, sizes, "e").where("2 * c > size").groupBy("grp").agg(F.collect_list("e").alias("b"))
-        moved = F.when(F.col("b").isNull(), F.col("s")).otherwise(F.concat(F.array_except("s", "b"), F.array_except("b", "s")))
-        apart = _by_group(items, base).select("grp", "cls", "n", moved.alias("d"), F.col("b").isNull().alias("stuck")).withColumn("nd", F.size("d").cast("long"))
+        apart = items.withColumn("nd", F.size("d").cast("long"))
         apart = settle(apart.withColumn("f", F.lit(q) * F.col("nd") - F.lit(100 - percent) * F.col("n")), "apart")
         hubs = settle(apart.groupBy("grp").agg(F.min(F.struct("f", "cls")).alias("m")).select("grp", F.col("m.f").alias("fm"), F.col("m.cls").alias("m")), "hubs")
         near = settle(_by_group(apart.drop("d", "n"), hubs).withColumn("far", F.col("f") + F.col("fm") > 0), "near")
@@ -293,7 +339,7 @@ def _within_groups(items: DataFrame, percent: int) -> list[DataFrame]:
         again = _grouped(many.select("key", "cls")).withColumnRenamed("grp", "sub")
         parent = many.select("cls", "grp").distinct()
         below = again.join(parent, "cls").join(apart.select("grp", "cls", "n", "d"), ["grp", "cls"])
-        items = settle(below.select(F.xxhash64("grp", "sub").alias("grp"), "cls", "n", F.col("d").alias("s")), "items")
+        items = _apart(settle(below.select(F.xxhash64("grp", "sub").alias("grp"), "cls", "n", F.col("d").alias("s")), "items"))
         drop_settled(apart, placed)
 
 
@@ -333,14 +379,19 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, common_from:
     docs, common, slim, live = _prepared(docs, k, percent, common_from, keep)
     pairs = settle(_met(live.where(F.col("c") <= FEW), percent), "pairs")
     grouped = settle(_grouped(live.where(F.col("c") > FEW).select(F.col("h").alias("key"), "cls")), "groups")
-    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")), ).unionByName(grouped.select("cls"))
+    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(grouped.select("cls"))
     segments = _fetched(ends, docs, k, common, fragments)
     links = [_verified(pairs, segments, percent)]
     if not grouped.isEmpty():
         whole = segments.join(grouped, "cls").groupBy("grp", "cls", "n").agg(F.flatten(F.collect_list("seg")).alias("s"))
         items = settle(whole, "items")
-        links += _within_groups(items, percent)
-        drop_settled(items)
+        apart = _apart(items)
+        # Groups without a base: their lists are paired as they are, where an n-gram can be a pair's first.
+        alone = apart.where("stuck").select("cls").distinct()
+        rest = settle(_met(live.where(F.col("c") > FEW).join(alone, "cls", "left_semi"), percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        links.append(_verified(rest, segments, percent))
+        links += _within_groups(apart.where("not stuck"), percent)
+        drop_settled(items, apart, rest)
     every = links[0]
     for x in links[1:]:
         every = every.unionByName(x)
