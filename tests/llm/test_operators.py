@@ -292,29 +292,6 @@ def test_lm(spark):
     assert lm_score.train_and_score(frame(spark, [])).count() == 0
 
 
-def test_tokens_probabilities_add_up():
-    import numpy as np
-    import pyarrow as pa
-
-    rng = random.Random(0)
-    words = sorted({"".join(rng.choices("abc", k=rng.randint(1, 9))).encode() for _ in range(400)})
-    c = np.array([rng.randint(0, 5) for _ in words])
-    batch = pa.record_batch([pa.array(words, pa.binary()), pa.array(c)], ["w", "c"])
-    tables = np.frombuffer(b"".join(b.column("n")[0].as_py() for b in lm_score._tables(iter([batch]))), np.float32)
-
-    class Share:
-        value = tables.tobytes()
-
-    heads = Counter()
-    for x, n in zip(words, c.tolist()):
-        heads[x[: lm_score.HEAD]] += n
-    seen = lm_score.Heads(lm_score.head_keys(list(heads)), np.array(list(heads.values())))
-    w, refine = np.full((lm_score.GATES, lm_score.INPUTS), 0.2), np.zeros((lm_score.GATES, lm_score.APM, 2))
-    whole = pa.record_batch([pa.array([x[:4] for x in words], pa.binary()), pa.array(words, pa.binary()), pa.array(c)], ["p", "w", "c"])
-    lp = np.concatenate([b.column("lp").to_numpy() for b in lm_score._token_scores(Share, seen, w, refine)(iter([whole]))])
-    assert 0 < (10**lp).sum() <= 1
-
-
 def labelled(spark, name, seed=11):
     rng = random.Random(seed)
     rows, labels = [], []
