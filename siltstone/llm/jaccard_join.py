@@ -27,7 +27,7 @@ from siltstone.llm.components import connected_components
 from siltstone.llm.wordarrays import BY_SPACE, mix, shingle_sets, span_hashes, spans
 
 #: N-grams whose counts are kept before they are sorted and counted.
-FLUSH = 4_000_000
+FLUSH = 1 << 20
 #: Classes in a list that are paired directly; longer lists make groups. The same within a group.
 FEW, FEW_WITHIN = 16, 256
 #: A hot group's rows are spread over so many keys where they meet the group's own row.
