@@ -28,37 +28,59 @@ def first_by(df: DataFrame, key: str, position: str) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(F.struct(*rest), position).alias("r")).select(key, "r.*")
 
 
-def greedy_dedup(rows: DataFrame, rounds: int = 1000) -> DataFrame:
+#: Rounds' results are written together after so many, so that plans stay small.
+MERGE = 16
+
+
+class _Parts:
+    """The union of what rounds found."""
+
+    def __init__(self):
+        self.parts: list[DataFrame] = []
+
+    def add(self, df: DataFrame) -> None:
+        self.parts.append(df)
+        if len(self.parts) >= MERGE:
+            self.parts = [settle(self.all(), "merged")]
+
+    def all(self) -> DataFrame | None:
+        out = None
+        for x in self.parts:
+            out = x if out is None else out.unionByName(x)
+        return out
+
+
+def greedy_dedup(rows: DataFrame) -> DataFrame:
     """rows (pos, id, fp) -> (pos, outcome): kept, id_duplicate (a kept row before has the id) or fp_duplicate. pos tells
     rows apart and orders them; an empty or null id is no one's duplicate. Rows that were dropped register nothing."""
     rows = rows.select("pos", F.when(F.col("id") != "", F.concat(F.lit("i"), F.col("id"))).otherwise(F.concat(F.lit("p"), F.col("pos"))).alias("id"), "fp")
     rows = settle(rows.withColumn("id", F.coalesce("id", F.concat(F.lit("p"), F.col("pos")))), "rows")
-    left, kept = rows, None
-    for _ in range(rounds):
+    left, found = rows, _Parts()
+    while True:  # each round keeps at least the first row that is left
         ids, fps = left.groupBy("id").agg(F.min("pos").alias("mi")), left.groupBy("fp").agg(F.min("pos").alias("mf"))
         now = settle(left.join(ids, "id").join(fps, "fp").where("pos = mi and pos = mf").select("pos", "id", "fp"), "kept")
-        kept = now if kept is None else kept.unionByName(now)
+        found.add(now)
         left = settle(left.join(now.select("id"), "id", "left_anti").join(now.select("fp"), "fp", "left_anti").select("pos", "id", "fp"), "left")
         if left.isEmpty():
             break
+    kept = found.all()
     by_id = kept.select("id", F.col("pos").alias("ki"))
     out = rows.join(kept.select("pos", F.lit(True).alias("k")), "pos", "left").join(by_id, "id", "left")
     return out.select("pos", F.when(F.col("k"), "kept").when(F.col("ki") < F.col("pos"), "id_duplicate").otherwise("fp_duplicate").alias("outcome"))
 
 
-def greedy_independent(nodes: DataFrame, pairs: DataFrame, rounds: int = 1000) -> DataFrame:
+def greedy_independent(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """nodes (pos), pairs (a, b) of similar ones -> (pos, kept): in order, a node is kept unless similar to a kept one."""
     edges = settle(pairs.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
-    left, dropped = edges, None
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    left, found = edges, _Parts()
+    while not left.isEmpty():  # each round settles at least the first node that is left
         blocked = left.select(F.col("hi").alias("lo")).distinct()
         free = left.select("lo").distinct().join(blocked, "lo", "left_anti")
         gone = settle(left.join(free, "lo", "left_semi").select(F.col("hi").alias("pos")).distinct(), "gone")
-        dropped = gone if dropped is None else dropped.unionByName(gone)
+        found.add(gone)
         left = settle(left.join(gone.select(F.col("pos").alias("lo")), "lo", "left_anti").join(gone.select(F.col("pos").alias("hi")), "hi", "left_anti"), "edges")
         left = left.join(free, "lo", "left_anti").select("lo", "hi")
+    dropped = found.all()
     if dropped is None:
         return nodes.select("pos", F.lit(True).alias("kept"))
     return nodes.join(dropped.withColumn("gone", F.lit(True)), "pos", "left").select("pos", F.col("gone").isNull().alias("kept"))

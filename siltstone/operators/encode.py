@@ -42,11 +42,33 @@ def word_vocab(docs: DataFrame, most: int | None = None) -> DataFrame:
     return out.where(F.col("index") < most) if most else out
 
 
+#: Words of a vocabulary that encode_pad sends to every task; a larger one is joined.
+VOCAB_ROWS = 200_000
+
+
 def encode_pad(docs: DataFrame, vocab: DataFrame, length: int = 400) -> DataFrame:
-    """docs (id, text) -> (id, ids): the first `length` words' indexes, zeros after them."""
+    """docs (id, text) -> (id, ids): the first `length` words' indexes, zeros after them. A vocabulary of VOCAB_ROWS words
+    or fewer is looked up where the texts are, without a shuffle."""
     first = docs.select("id", F.slice(words("text"), 1, length).alias("w"))
-    rows = first.select("id", F.posexplode("w").alias("place", "word")).join(vocab.select("word", "index"), "word", "left")
-    ids = rows.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", F.coalesce("index", F.lit(OOV)).cast("int").alias("i")))), lambda x: x["i"]).alias("ids"))
+    known = vocab.select("word", F.col("index").cast("int").alias("index"))
+    few = known.limit(VOCAB_ROWS + 1).toArrow()
+    if few.num_rows <= VOCAB_ROWS:
+        names, index = few.column("word").combine_chunks(), few.column("index").combine_chunks().to_numpy()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                w = batch.column(1)
+                at = pc.fill_null(pc.index_in(w.flatten(), value_set=names), -1).to_numpy()
+                n = np.diff(w.offsets.to_numpy())
+                out = np.full(batch.num_rows * length, PAD, np.int32)
+                row = np.repeat(np.arange(len(n)), n)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                out[row * length + place] = np.where(at >= 0, np.append(index, OOV)[at], OOV)
+                yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * length), pa.array(out))], ["id", "ids"])
+
+        return first.mapInArrow(run, f"id {first.schema['id'].dataType.simpleString()}, ids array<int>")
+    rows = first.select("id", F.posexplode("w").alias("place", "word")).join(known, "word", "left")
+    ids = rows.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", F.coalesce("index", F.lit(OOV)).alias("i")))), lambda x: x["i"]).alias("ids"))
     full = F.coalesce("ids", F.array().cast("array<int>"))
     return first.select("id").join(ids, "id", "left").select("id", F.concat(full, F.array_repeat(F.lit(PAD), F.lit(length) - F.size(full))).alias("ids"))
 

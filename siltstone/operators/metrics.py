@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.sources.tables import running
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0)), F.lit(0.0))
@@ -91,15 +93,20 @@ def _by_score(df: DataFrame) -> DataFrame:
 
 def roc_auc(df: DataFrame) -> DataFrame:
     """df (y: 0 or 1, score) -> roc_auc, ties counting half; null if one class is missing."""
-    upto = F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
-    s = _by_score(df).withColumn("under", F.coalesce(upto, F.lit(0)))
+    s = running(_by_score(df), ["score"], {"upto": "neg"}).withColumn("under", F.col("upto") - F.col("neg"))
     pairs = F.sum("pos").cast("double") * F.sum("neg")
     return s.agg((F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2.0)) / F.nullif(pairs, F.lit(0.0))).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame) -> DataFrame:
     """df (y, score) -> the step-wise area under precision and recall; null if one class is missing."""
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    s = _by_score(df).withColumns({"tp": F.sum("pos").over(w), "n": F.sum(F.col("pos") + F.col("neg")).over(w)})
+    s = running(_by_score(df).withColumn("every", F.col("pos") + F.col("neg")), [F.desc("score")], {"tp": "pos", "n": "every"})
     area = F.sum(F.col("pos") * F.col("tp").cast("double") / F.col("n")) / F.nullif(F.sum("pos").cast("double"), F.lit(0.0))
     return s.agg(F.when(F.sum("neg") > 0, area).alias("average_precision"))
+
+
+def series(df: DataFrame, history: str, splits: dict[str, tuple[str, ...]]) -> DataFrame:
+    """df with an array of epochs (epoch, one struct of metrics a split) -> (epoch, split, metric, value), a row each."""
+    each = df.select(F.explode(history).alias("_e"))
+    parts = [F.struct(F.lit(s).alias("split"), F.lit(m).alias("metric"), F.col(f"_e.{s}.{m}").cast("double").alias("value")) for s, ms in splits.items() for m in ms]
+    return each.select(F.col("_e.epoch").cast("long").alias("epoch"), F.inline(F.array(*parts)))

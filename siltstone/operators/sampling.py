@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.sources.tables import numbered
+from siltstone.sources.tables import numbered, running, settle
 
 
 def hash_order(seed: int, key: Column | str) -> Column:
@@ -83,13 +83,17 @@ def round_robin(df: DataFrame, bucket: str, total: int) -> DataFrame:
     """(bucket, quota): total spread over the buckets in order, one each in turn, as far as their rows go. A bucket gets
     its min(n, r) with r the last full turn, and one more for the first buckets of the turn in which total ends."""
     n = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
-    n = n.withColumn("levels", F.transform(F.sequence(F.lit(0), F.lit(total)), lambda r: F.least(F.col("n"), r.cast("long"))))
-    sums = n.select(bucket, "n", F.posexplode("levels").alias("r", "m")).groupBy("r").agg(F.sum("m").alias("s"))
-    full = sums.where(F.col("s") <= total).agg(F.max("r").alias("r"), F.max("s").alias("s"))
-    out = n.drop("levels").join(F.broadcast(full))
+    n = settle(n, "buckets")
+    upto = lambda r: n.agg(F.coalesce(F.sum(F.least(F.col("n"), F.lit(r).cast("long"))), F.lit(0))).first()[0]
+    low, high = 0, total + 1  # the last full turn is found by halving
+    while high - low > 1:
+        r = (low + high) // 2
+        low, high = (r, high) if upto(r) <= total else (low, r)
+    left = total - upto(low)
+    out = n.withColumn("r", F.lit(low).cast("long"))
     more = F.when(F.col("n") > F.col("r"), 1).otherwise(0)
-    turn = F.sum(more).over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0))
-    return out.select(bucket, (F.least("n", "r") + F.when((more == 1) & (turn <= F.lit(total) - F.col("s")), 1).otherwise(0)).cast("long").alias("quota"))
+    out = running(out.withColumn("more", more), [bucket], {"turn": "more"})
+    return out.select(bucket, (F.least("n", "r") + F.when((F.col("more") == 1) & (F.col("turn") <= left), 1).otherwise(0)).cast("long").alias("quota"))
 
 
 def top_n(df: DataFrame, group: str, order: list, n: int) -> DataFrame:

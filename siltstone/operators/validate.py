@@ -163,3 +163,13 @@ def gold_errors(c: dict[str, Column], allow_pending: bool) -> Column:
     ]
     asked = F.lit(not allow_pending) | (normalize_text(c["status"]) != "pending")
     return F.array_compact(F.array(*[F.when(cond, m) for cond, m in base], *[F.when(asked & cond, m) for cond, m in rest]))
+
+
+def pair_reason(pair_id: Column, text_a: Column, text_b: Column, label: Column, kind: Column | None = None) -> Column:
+    """A pair record that a reader takes: no key missing, known label and, if there is one, known inconsistency type."""
+    missing = F.array_compact(F.array(*[F.when(c.isNull(), F.lit(n)) for n, c in (("pair_id", pair_id), ("text_a", text_a), ("text_b", text_b), ("label", label))]))
+    return F.coalesce(_first(
+        (F.size(missing) > 0, _says("Missing keys: ", F.array_join(missing, ", "))),
+        (~normalize_text(label).isin(*RELATION_IDS), _says("Unknown label: ", label)),
+        *([(kind.isNotNull() & ~normalize_text(kind).isin(*INCONSISTENCY_IDS), _says("Unknown inconsistency type: ", kind))] if kind is not None else []),
+    ), F.lit("ok"))

@@ -249,6 +249,14 @@ def theme_hit(spark, d):
     return x.select("doc_id", labels.theme_hit("e", "l").alias("hit"))
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 AND doc_id % 5 = 0 THEN 'Missing keys: text_a, label' WHEN doc_id % 7 = 0 THEN 'Missing keys: text_a' WHEN doc_id % 5 = 0 THEN 'Missing keys: label' WHEN doc_id % 3 = 0 THEN 'Unknown label: maybe' WHEN doc_id % 11 = 0 THEN 'Unknown inconsistency type: odd' ELSE 'ok' END AS reason FROM documents")
+def validate_pair(spark, d):
+    n = F.col("doc_id")
+    label = F.when(n % 5 != 0, F.when(n % 3 == 0, "maybe").otherwise(" Supports "))
+    kind = F.when(n % 11 == 0, "odd").when(n % 2 == 0, "none")
+    return table(spark, d, "documents").select("doc_id", validate.pair_reason(n.cast("string"), F.when(n % 7 != 0, F.col("text")), F.col("text"), label, kind).alias("reason"))
+
+
 @query(with_(b.R) + "SELECT id, CASE label WHEN 'supports' THEN 0 WHEN 'neutral' THEN 1 ELSE 2 END AS label_id, CASE inconsistency_type WHEN 'none' THEN 0 WHEN 'damage_mismatch' THEN 1 WHEN 'dynamics_mismatch' THEN 2 ELSE 3 END AS type_id FROM r")
 def label_ids(spark, d):
     return b.relations(spark, d).select("id", labels.name_id(F.concat(F.lit(" "), F.upper("label")), labels.RELATION_IDS).alias("label_id"), labels.name_id("inconsistency_type", labels.INCONSISTENCY_IDS).alias("type_id"))

@@ -32,17 +32,17 @@ def concat_sources(spark, d):
     return both.groupBy("origin").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)) WHERE n >= 5 AND n < 105")
+@query("SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_custkey % 4 <> 0)) WHERE n >= 5 AND n < 105")
 def resume_anti_join(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.concat(F.lit(" "), F.col("c_custkey").cast("string")).alias("key"))
-    done = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("key"))
+    done = table(spark, d, "orders").where("o_custkey % 4 <> 0").select(F.col("o_custkey").cast("string").alias("key"))
     return tables.unseen(c, done, "key", "c_custkey", start=5, most=100).select("c_custkey")
 
 
-@query("SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS n FROM customer) WHERE n >= 5 AND n < 105 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS n FROM customer) WHERE n >= 5 AND n < 105 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_custkey % 4 <> 0)")
 def resume_slice_first(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("key"))
-    done = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("key"))
+    done = table(spark, d, "orders").where("o_custkey % 4 <> 0").select(F.col("o_custkey").cast("string").alias("key"))
     return tables.unseen(c, done, "key", "c_custkey", start=5, most=100, slice_first=True).select("c_custkey")
 
 
@@ -323,6 +323,14 @@ def best_epoch(spark, d):
     return h.orderBy(F.desc("f1"), "epoch").limit(1)
 
 
+@query("WITH e AS (SELECT doc_id AS epoch, (doc_id * 37 % 101) / 100.0::DOUBLE AS a, (doc_id * 53 % 97) / 100.0::DOUBLE AS b FROM labels) SELECT epoch, 'train' AS split, 'loss' AS metric, a AS value FROM e UNION ALL SELECT epoch, 'train', 'accuracy', b FROM e UNION ALL SELECT epoch, 'validation', 'loss', b FROM e UNION ALL SELECT epoch, 'validation', 'accuracy', a FROM e")
+def series_extraction(spark, d):
+    a, c = F.pmod(F.col("doc_id") * 37, F.lit(101)) / 100.0, F.pmod(F.col("doc_id") * 53, F.lit(97)) / 100.0
+    split = lambda x, y: F.struct(x.alias("loss"), y.alias("accuracy"))
+    runs = table(spark, d, "labels").select(F.array(F.struct(F.col("doc_id").alias("epoch"), split(a, c).alias("train"), split(c, a).alias("validation"))).alias("history"))
+    return metrics.series(runs, "history", {"train": ("loss", "accuracy"), "validation": ("loss", "accuracy")})
+
+
 @query("SELECT sum(l_discount * l_quantity) / sum(l_quantity) AS loss FROM lineitem")
 def weighted_loss_mean(spark, d):
     return table(spark, d, "lineitem").agg((F.sum(F.col("l_discount") * F.col("l_quantity")) / F.sum("l_quantity")).alias("loss"))

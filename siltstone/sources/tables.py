@@ -88,6 +88,21 @@ def numbered(df: DataFrame, *order: str, name: str = "_n", start: int = 0) -> Da
     return spread.join(F.broadcast(known), "_part").withColumn(name, (F.col("_before") + own).cast("long")).drop("_part", "_before")
 
 
+def running(df: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
+    """df with, for each (name: column), the sum of the column over all rows up to and with each, in order; no rows meet in
+    one task: range partitions are summed, and each adds up its own rows on top of those before it."""
+    spread = settle(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "running")
+    before, offsets = [0] * len(sums), []
+    for r in sorted(spread.groupBy("_part").agg(*[F.sum(c).alias(k) for k, c in sums.items()]).collect(), key=lambda r: r["_part"]):
+        offsets.append((r["_part"], *before))
+        before = [x + (r[k] or 0) for x, k in zip(before, sums, strict=True)]
+    kind = ", ".join(["_part int", *(f"_{k} long" for k in sums)])
+    known = df.sparkSession.createDataFrame(offsets, kind)
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = spread.join(F.broadcast(known), "_part")
+    return out.withColumns({k: (F.sum(c).over(own) + F.col(f"_{k}")).cast("long") for k, c in sums.items()}).drop("_part", *(f"_{k}" for k in sums))
+
+
 def unseen(df: DataFrame, done: DataFrame, key: str, position: str, start: int = 0, most: int | None = None, slice_first: bool = False) -> DataFrame:
     """Rows whose trimmed key is not in done, then rows from start on, at most `most`; or the slice before the skip."""
     def sliced(x: DataFrame) -> DataFrame:
@@ -124,6 +139,6 @@ def ledger(outcomes: DataFrame, asked: int, target: int) -> DataFrame:
     kinds = ("accepted", "rejected", "duplicate", "similar")
     per = outcomes.groupBy("batch").agg(*[F.count_if(F.col("verdict") == k).alias(k) for k in kinds], F.count(F.lit(1)).alias("got"))
     per = per.withColumn("missing", F.greatest(F.lit(0).cast("long"), F.lit(asked) - F.col("got")))
-    total = F.sum("accepted").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0))
-    per = per.withColumn("before", total - F.col("accepted")).where(F.col("before") < target)
+    per = running(per, ["batch"], {"upto": "accepted"})
+    per = per.withColumn("before", F.col("upto") - F.col("accepted")).drop("upto").where(F.col("before") < target)
     return per.withColumn("kept", F.least(F.col("accepted"), F.lit(target) - F.col("before"))).drop("before", "got")
