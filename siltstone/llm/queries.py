@@ -87,10 +87,12 @@ FROM d LEFT JOIN hw ON d.doc_id = hw.doc_id LEFT JOIN hi ON d.doc_id = hi.doc_id
 WITH t(tid, license, bigram) AS (VALUES {", ".join(f"({i}, '{n}', '{b}')" for i, (n, bs) in enumerate(license_scan.template_bigrams()) for b in bs)}),
 m AS (SELECT tid, count(*) AS m FROM t GROUP BY tid),
 d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^a-z0-9\\n]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g')) AS x FROM documents),
+parted AS (SELECT doc_id, string_split_regex(x, '\\n+') AS parts FROM d UNION ALL SELECT doc_id, string_split_regex(x, '\\n\\n+') AS parts FROM d),
 u AS (SELECT DISTINCT doc_id, regexp_replace(u, '\\n+', ' ', 'g') AS u FROM (
-      SELECT doc_id, unnest(string_split_regex(x, '\\n+')) AS u FROM d UNION ALL SELECT doc_id, unnest(string_split_regex(x, '\\n\\n+')) AS u FROM d UNION ALL SELECT doc_id, x AS u FROM d)),
+      SELECT doc_id, array_to_string(parts[p:p + k - 1], ' ') AS u FROM (SELECT doc_id, parts, k, unnest(range(1, len(parts) - k + 2)) AS p FROM parted, range(1, {license_scan.RUNS + 1}) AS r(k) WHERE len(parts) >= k) UNION ALL SELECT doc_id, x AS u FROM d)),
 w AS (SELECT doc_id, u, string_split(u, ' ') AS w FROM u),
-b AS (SELECT DISTINCT doc_id, u, len(w) - 1 AS n, w[p] || ' ' || w[p + 1] AS bigram FROM (SELECT doc_id, u, w, unnest(range(1, len(w))) AS p FROM w WHERE len(w) BETWEEN 2 AND 400)),
+c AS (SELECT DISTINCT doc_id, u, w[p] || ' ' || w[p + 1] AS bigram FROM (SELECT doc_id, u, w, unnest(range(1, len(w))) AS p FROM w WHERE len(w) >= 2)),
+b AS (SELECT *, count(*) OVER (PARTITION BY doc_id, u) AS n FROM c),
 s AS (SELECT doc_id, u, n, license, m, count(*) AS shared FROM b JOIN t USING (bigram) JOIN m USING (tid) GROUP BY doc_id, u, n, tid, license, m),
 g AS (SELECT doc_id, license, 2.0::DOUBLE * shared / (n + m) AS dice FROM s WHERE 200 * shared >= {license_scan.THRESHOLD_PERCENT} * (n + m)),
 p AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, max(dice) AS best_dice FROM g GROUP BY doc_id),
