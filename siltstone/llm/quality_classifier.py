@@ -37,11 +37,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, most: int) -> DataFrame:
     """Labelled rows outside the held-out fold, one for each doc_id, at most `most`: (doc_id, text, label). Of several
-    labels the largest counts, of several texts of an id one; null ids, labels and texts are not fitted on."""
+    labels of an id the largest counts, of several texts the one with the smallest hash; null ids, labels and texts are
+    not fitted on. Only hashes of an id's texts meet, however many rows it has."""
     marks = labels.select("doc_id", F.col(label).cast("int").alias("label")).where((fold(F.col("doc_id"), parts) != 0) & F.col("doc_id").isNotNull() & F.col("label").isNotNull())
     marks = marks.groupBy("doc_id").agg(F.max("label").alias("label"))
     marks = marks.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).limit(most)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "doc_id").where("text is not null").select("doc_id", "text", "label")
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").withColumn("text_key", F.xxhash64("text")).join(F.broadcast(marks), "doc_id")
+    first = own.groupBy("doc_id").agg(F.min("text_key").alias("text_key"))
+    return own.join(F.broadcast(first), ["doc_id", "text_key"]).groupBy("doc_id", "label").agg(F.first("text").alias("text")).select("doc_id", "text", "label")
 
 
 def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, l2: float = 1e-4, seed: int = 7) -> dict[str, np.ndarray]:

@@ -99,6 +99,46 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(frame(spark, [])).count() == 0
 
 
+def test_licenses_against_brute_force(spark):
+    rng = random.Random(3)
+    templates = {"A": ("alpha beta gamma delta epsilon zeta eta theta iota kappa",), "B": ("alpha beta gamma delta epsilon zeta eta theta iota lambda", "one two three four five six"), "C": ("one two three four five six",)}
+    words = sorted({w for ts in templates.values() for t in ts for w in t.split()}) + ["x", "y"]
+    rows = [(0, None), (1, ""), (2, "One, two three! FOUR five six"), (3, "one two three four five six " * 3), (4, "alpha beta gamma\ndelta epsilon zeta eta\ntheta iota kappa\nx"), (5, "alpha beta gamma delta\n\n\nepsilon zeta\n\neta theta iota kappa\n\nx y x"), (2, "alpha " * 3000)]
+    for i in range(10, 90):
+        base = rng.choice([t for ts in templates.values() for t in ts]).split() * rng.choice([1, 1, 2])
+        for _ in range(rng.randint(0, 4)):
+            base.insert(rng.randrange(len(base)), rng.choice([*words, "\n", "\n\n"]))
+        rows.append((i, " ".join(base)))
+    want = []
+    for i, t in rows:
+        lines = [re.findall("[a-z0-9]+", x) for x in (t or "").lower().split("\n")]
+        plain = "\n".join(" ".join(x) for x in lines).strip("\n")
+        units = {" ".join(plain.split())}
+        for parts in (re.split("\n+", plain), re.split("\n\n+", plain)):
+            units |= {" ".join(" ".join(parts[p : p + k]).split()) for k in (1, 2, 3) for p in range(len(parts) - k + 1)}
+        found = []
+        for u in units:
+            grams = lambda w: set(zip(w, w[1:]))
+            n = grams(u.split())
+            for name, ts in templates.items():
+                for m in (grams(x.split()) for x in ts):
+                    d = 2 * len(n & m) / (len(n) + len(m))
+                    if 100 * d >= 80 - 1e-9:
+                        found.append((-d, name))
+        best = min(found, default=(None, None))
+        want.append((str(i), ",".join(sorted({x for _, x in found})), str(best[1]), best[0] and round(-best[0], 9)))
+    got = [(str(r.doc_id), ",".join(r.licenses), str(r.best_license), r.best_dice and round(r.best_dice, 9)) for r in license_scan.scan_licenses(frame(spark, rows), templates=templates).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len({x[1] for x in want}) > 3
+
+
+def test_fitting_takes_one_text_an_id(spark):
+    docs = spark.createDataFrame([(3, f"text {i}") for i in range(40)] + [(3, "text 1"), (4, "a"), (None, "b"), (8, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1), (3, 0), (4, 0), (8, 1), (None, 1)], "doc_id long, quality int")
+    rows = quality_classifier.fit_rows(docs, labels, "quality", 10**6, 5).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) == 2 and {r.doc_id: r.label for r in rows} == {3: 1, 4: 0}
+    assert quality_classifier.fit_rows(docs, labels, "quality", 10**6, 1).count() <= 1
+
+
 def fill(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s))
     w = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
