@@ -24,6 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Texts go to Python 1,000 rows at a time where the session still has Spark's default of 10,000: a batch is held
+    several times over (by the JVM, by Python, as arrays), and texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import MOST_KEYS, bitmap_of, bits_for, drop_settled, in_bitmap, settle, text_chunks
+from siltstone.llm.common import MOST_KEYS, bitmap_of, bits_for, drop_settled, in_bitmap, modest_batches, settle, text_chunks
 from siltstone.llm.components import connected_components
 from siltstone.llm.wordarrays import BY_SPACE, mix, shingle_sets, span_hashes, spans
 
@@ -180,16 +180,17 @@ def _segments(k: int, wanted: bytes, bits: int, common: list[bytes], fragments:
     return run
 
 
-def _batched(run, rows: int = 512):
-    """Joins small record batches into larger ones."""
+def _batched(run, rows: int = 512, most: int = 4 << 20):
+    """Joins small record batches into larger ones, up to so many of them or bytes."""
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held, size = [], 0
         for b in run(batches):
             held.append(b)
-            if len(held) >= rows:
+            size += b.nbytes
+            if len(held) >= rows or size > most:
                 yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held = []
+                held, size = [], 0
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
@@ -248,6 +249,7 @@ def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 
 def _prepared(docs: DataFrame, k: int, percent: int, common_from: int, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[bytes], DataFrame, DataFrame]:
     """(docs, common n-grams, rows with their class, classes in the lists (h, c classes) of their prefixes' n-grams)."""
+    modest_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in keep])
     common = _common_ngrams(docs, k, common_from)
     schema = ", ".join(["doc_id long, n long, cls long, prefix array<long>", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)])

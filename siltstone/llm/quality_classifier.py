@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import settle, text_chunks
+from siltstone.llm.common import modest_batches, settle, text_chunks
 from siltstone.llm.features import STYLE, style
 
 #: At most so many labelled rows are fitted on, those of the smallest md5 of doc_id.
@@ -92,6 +92,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, pa
     columns are ignored. Fitting gathers fit_most rows of features, whatever the tables' size.
     """
     kind = "doc_id long, x array<double>"
+    modest_batches(docs.sparkSession)
     rows = fit_rows(docs, labels, "quality", parts, fit_most)
     seen = rows.select("doc_id", "text").mapInArrow(_features, kind).join(F.broadcast(rows.select("doc_id", "label").distinct()), "doc_id").select("x", "label")
     seen = seen.toPandas()
