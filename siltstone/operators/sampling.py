@@ -106,15 +106,33 @@ def page(df: DataFrame, order: list, start: int, most: int) -> DataFrame:
 
 
 def diverse(df: DataFrame, bucket: str, diversity: str, key: str, total: int, seed: int = 42) -> DataFrame:
-    """total rows, spread over the buckets by round_robin, no two of one diversity key; what is short is filled up from
-    all rows in hash order. A key's first row by (bucket, hash) is its candidate, so at most one row a key is ranked,
-    and of each bucket only its first `total` candidates can be taken: at most buckets * total rows meet."""
-    h = df.withColumn("h", hash_order(seed, key))
-    rest = [c for c in h.columns if c != diversity]
-    firsts = h.groupBy(diversity).agg(F.min_by(F.struct(*rest), F.struct(bucket, "h", key)).alias("r")).select(diversity, "r.*")
-    quota = round_robin(df, bucket, total).withColumnRenamed(bucket, "_b")
-    place = F.row_number().over(Window.partitionBy(bucket).orderBy("h", key))
-    near = firsts.withColumn("_r", place).where(F.col("_r") <= total).join(F.broadcast(quota), F.col(bucket).eqNullSafe(F.col("_b"))).drop("_b")
-    first = (F.col("_r") <= F.col("quota")).cast("int")
-    out = near.orderBy(F.desc(first), "h", key).limit(total)
-    return out.drop("_r", "quota", "h")
+    """total rows, spread over the buckets by round_robin, no two of one diversity key. Buckets are taken in order, each
+    in hash order; a row whose key was taken is passed over. What is short is filled up from all rows in another hash
+    order; if that is too little, ValueError. key must tell rows apart; null buckets come first.
+
+    Only what can be taken is gathered: `total` keys at most are taken, so of each bucket its first 2 * total keys, and as
+    many of all rows, are enough. Both are bounds by the sample's own size and the number of buckets."""
+    h = df.select(F.col(bucket).alias("_b"), F.col(diversity).alias("_d"), F.col(key).alias("_k"), hash_order(seed, key).alias("h"), hash_order(seed + 1, key).alias("h2"))
+
+    def firsts(by: list[str], at: str) -> list:
+        one = h.groupBy(*by, "_d").agg(F.min(F.struct(at, "_k")).alias("f")).select(*by, "_d", f"f.{at}", "f._k")
+        if by:
+            return one.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(at, "_k"))).where(F.col("_r") <= 2 * total).drop("_r").collect()
+        return one.orderBy(at, "_k").limit(2 * total).collect()
+
+    quota = {r[0]: r.quota for r in round_robin(df, bucket, total).collect()}
+    seen, taken, room = set(), [], dict(quota)
+    for r in sorted(firsts(["_b"], "h"), key=lambda r: (r._b is not None, r._b, r.h, r._k)):
+        if room[r._b] > 0 and r._d not in seen:
+            seen.add(r._d)
+            taken.append(r._k)
+            room[r._b] -= 1
+    if len(taken) < total:
+        for r in firsts([], "h2"):
+            if len(taken) < total and r._d not in seen:
+                seen.add(r._d)
+                taken.append(r._k)
+    if len(taken) < total:
+        raise ValueError(f"{total} diverse rows wanted, {len(taken)} found")
+    chosen = df.sparkSession.createDataFrame([(k,) for k in taken], f"`{key}` {df.schema[key].dataType.simpleString()}")
+    return df.join(F.broadcast(chosen), key, "left_semi")

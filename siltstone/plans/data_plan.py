@@ -86,18 +86,27 @@ def dedup_exact(spark, d):
     return dedup.first_by(_doc_claims(spark, d).select("pos", "fp"), "fp", "pos")
 
 
-@query()
+#: The greedy rule row by row: what was kept goes along in two lists.
+_GREEDY = """c AS MATERIALIZED (SELECT row_number() OVER (ORDER BY pos) AS i, pos, id, location, %s AS fp FROM d),
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS fps, CAST(NULL AS VARCHAR) AS outcome
+UNION ALL SELECT x.i, CASE WHEN o = 'kept' THEN list_append(ids, x.id) ELSE ids END, CASE WHEN o = 'kept' THEN list_append(fps, x.fp) ELSE fps END, o
+FROM (SELECT c.i, c.id, c.fp, g.ids, g.fps, CASE WHEN list_contains(g.ids, c.id) THEN 'id_duplicate' WHEN list_contains(g.fps, c.fp) THEN 'fp_duplicate' ELSE 'kept' END AS o FROM g JOIN c ON c.i = g.i + 1) x),
+out AS (SELECT c.pos, c.location AS source, g.outcome FROM g JOIN c ON c.i = g.i)""" % _FP
+_RECURSIVE = with_(D, _GREEDY).replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(_RECURSIVE + "SELECT pos, outcome FROM out")
 def clean_dedup(spark, d):
     return dedup.greedy_dedup(_doc_claims(spark, d))
 
 
-@query()
+@query(_RECURSIVE + "SELECT source, count(*) AS loaded, count(*) FILTER (outcome = 'id_duplicate') AS id_duplicates, count(*) FILTER (outcome = 'fp_duplicate') AS fp_duplicates, count(*) FILTER (outcome = 'kept') AS final FROM out GROUP BY source")
 def cleaning_report(spark, d):
     out = dedup.greedy_dedup(_doc_claims(spark, d)).join(b.document_claims(spark, d).select("pos", F.col("location").alias("source")), "pos")
     return out.groupBy("source").agg(F.count(F.lit(1)).alias("loaded"), F.count_if(F.col("outcome") == "id_duplicate").alias("id_duplicates"), F.count_if(F.col("outcome") == "fp_duplicate").alias("fp_duplicates"), F.count_if(F.col("outcome") == "kept").alias("final"))
 
 
-@query()
+@query(_RECURSIVE + "SELECT pos, outcome = 'kept' AS kept FROM out")
 def dedup_any(spark, d):
     return dedup.greedy_dedup(_doc_claims(spark, d)).select("pos", (F.col("outcome") == "kept").alias("kept"))
 
@@ -126,7 +135,15 @@ def jaccard_pairs(spark, d):
     return dedup.similar_sets(_sets(spark, d))
 
 
-@query()
+#: Classes in order of their first row; those before that are similar go along as a list.
+_REJECT = """m AS MATERIALIZED (SELECT id_b AS id, list(id_a) AS before FROM o WHERE common >= 0.82::DOUBLE * (s - common) - 1e-9::DOUBLE GROUP BY id_b),
+c AS MATERIALIZED (SELECT row_number() OVER (ORDER BY cl.id) AS i, cl.id, coalesce(m.before, CAST([] AS BIGINT[])) AS before FROM cl LEFT JOIN m ON m.id = cl.id),
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS id, CAST([] AS BIGINT[]) AS kept
+UNION ALL SELECT c.i, c.id, CASE WHEN list_has_any(c.before, g.kept) THEN g.kept ELSE list_append(g.kept, c.id) END FROM g JOIN c ON c.i = g.i + 1),
+last AS (SELECT unnest(kept) AS id FROM (SELECT kept FROM g ORDER BY i DESC LIMIT 1))"""
+
+
+@query(with_(_SH, _PAIRS, _REJECT).replace("WITH", "WITH RECURSIVE", 1) + "SELECT doc_id, len(sh) = 0 OR doc_id IN (SELECT id FROM last) AS kept FROM sh")
 def near_dup_reject(spark, d):
     return dedup.near_duplicates(_sets(spark, d)).select(F.col("id").alias("doc_id"), "kept")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -36,10 +37,31 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType | str) ->
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, strict: bool = True) -> DataFrame:
-    """A JSON object a line, blank lines skipped. A bad line stops the query, or, not strict, gives a row of nulls."""
+    """A JSON object a line, blank lines skipped. A bad line stops the query, or, not strict, gives a row of nulls;
+    bad_lines says where they are."""
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 
 
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of the lines, numbered from 1 in their file, that are not blank and no JSON object. Lines are
+    counted by block of a file, so no file is read in one piece and only blocks' counts are put in order."""
+    at = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    lines = spark.read.text(path).select("value", *at, F.monotonically_increasing_id().alias("m"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first"))
+    blocks = blocks.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    kind = F.schema_of_variant(F.try_parse_json("value"))
+    bad = lines.where((F.trim("value") != "") & ~F.coalesce(kind.startswith("OBJECT"), F.lit(False)))
+    return bad.join(blocks, ["file", "block"]).select("file", (F.col("before") + F.col("m") - F.col("first") + 1).alias("line"), "value")
+
+
+def require_objects(spark: SparkSession, path: str) -> None:
+    """Raises ValueError with file and number of the first line that is no JSON object."""
+    first = bad_lines(spark, path).agg(F.min(F.struct("file", "line")).alias("f")).first().f
+    if first is not None:
+        raise ValueError(f"no JSON object at line {first.line} in {first.file}")
+
+
 def read_records(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """By suffix: .jsonl is a line each, everything else a JSON list."""
     return read_jsonl(spark, path, schema) if path.endswith(".jsonl") else read_json_array(spark, path, schema)
@@ -63,11 +85,54 @@ def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def read_appended(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """What append_json wrote. A path that is not there is empty, and so is a line that is no JSON."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def response_records(df: DataFrame, response: str, schema: str) -> DataFrame:
+    """Rows of the objects (a struct's fields by `schema`) in texts that are a JSON list of them or one object, which
+    counts as a list of one; other texts have none."""
+    found = F.from_json(F.col(response), f"array<struct<{schema}>>")
+    return df.select(F.inline(F.filter(found, lambda x: x.isNotNull())))
+
+
+def write_stats(spark: SparkSession, stats: dict, path: str) -> None:
+    """A small JSON file beside a job's outputs, in whatever file system the path names; folders are made."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(at, True)
+    try:
+        out.write(bytearray(json.dumps(stats, ensure_ascii=False, indent=2).encode()))
+    finally:
+        out.close()
+
+
+#: Rows that json_list puts into one value.
+LIST_ROWS = 100_000
+
+
 def json_list(df: DataFrame, order: str) -> DataFrame:
-    """A group's rows as one JSON list, for files that must be a list."""
+    """A small table's rows as one JSON list; more than LIST_ROWS are refused: write_json_list takes any number."""
+    if df.limit(LIST_ROWS + 1).count() > LIST_ROWS:
+        raise ValueError(f"more than {LIST_ROWS} rows in one value; write_json_list writes them in parts")
     return df.groupBy().agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*df.columns).alias("r")))), lambda x: x["r"])).alias("value"))
 
 
+def write_json_list(df: DataFrame, path: str, *order: str) -> None:
+    """Text files that, one after another by name, are one JSON list of the rows in order; no rows are an empty list."""
+    rows = numbered(df, *order, name="_n")
+    last = rows.agg(F.max("_n")).first()[0]
+    if last is None:
+        df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
+    value = F.concat(F.when(F.col("_n") == 0, "[").otherwise(""), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])), F.when(F.col("_n") == last, "]").otherwise(","))
+    rows.select("_n", value.alias("value")).repartitionByRange("_n").sortWithinPartitions("_n").select("value").write.mode("overwrite").text(path)
+
+
 def last_by_key(df: DataFrame, key: str, position: str) -> DataFrame:
     """Of each key's rows the one with the last position."""
     return df.groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), position).alias("r")).select(key, "r.*")
@@ -133,6 +198,11 @@ def dead_letters(df: DataFrame, ok: str, reason: str, payload: list[str]) -> tup
     return df.where(F.col(ok)), df.where(~F.coalesce(F.col(ok), F.lit(False))).select(F.col(reason).alias("reason"), F.to_json(F.struct(*payload)).alias("payload"))
 
 
+def write_dead_letters(failed: DataFrame, path: str) -> None:
+    """Adds failed rows (reason, prompt, response and what else there is) to the dead letters at path, with the time."""
+    failed.withColumn("failed_at", F.current_timestamp()).write.mode("append").json(path)
+
+
 def ledger(outcomes: DataFrame, asked: int, target: int) -> DataFrame:
     """outcomes (batch, verdict: accepted, rejected, duplicate or similar) -> a row a batch with counts, missing (asked
     less what came), the running total of accepted rows and whether the target was reached before the batch."""
