@@ -8,6 +8,7 @@ an item that length is known to be 0 or 1 without asking, so only the other stre
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,60 +21,88 @@ from siltstone.llm.wordarrays import BY_LETTER, span_hashes, spans
 
 U = np.uint64
 #: Bytes of item texts in one automaton; more items are taken in further passes.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 class Automaton:
-    """Suffix automaton of several word sequences; words are numbered from 1."""
+    """Suffix automaton of several word sequences; words are numbered from 1, state 0 is where every walk begins. States
+    are places in flat arrays: a state's first way on is one of them, only states with several have a dictionary."""
 
     def __init__(self, items: list[tuple[str | None, np.ndarray]], window: int):
         """items: (id, hashes of its words)."""
         words = [h for _, h in items if len(h)]
         self.window = window
+        self.ids = [i for i, h in items if len(h)]
         self.vocab = np.unique(np.concatenate(words)) if words else np.zeros(0, U)
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        sequences = [(i, (np.searchsorted(self.vocab, h) + 1).tolist()) for i, h in items if len(h)]
-        for _, s in sequences:
-            self._add(s)
+        self.word, self.to, self.more = array("i", [0]), array("i", [0]), {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        sequences = [(np.searchsorted(self.vocab, h) + 1).astype(np.int32) for h in words]
+        for s in sequences:
+            self._add(s.tolist())
         base = len(self.vocab) + 1
-        pairs = [np.array(s[:-1], np.int64) * base + np.array(s[1:], np.int64) for _, s in sequences if len(s) > 1]
+        pairs = [s[:-1].astype(np.int64) * base + s[1:] for s in sequences if len(s) > 1]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-        self.least = min([window, *(len(s) for _, s in sequences)])
-        self.full: dict[int, set] = {}  # state of a window's words: items
+        self.least = min([window, *(len(s) for s in sequences)])
         self.short: dict[int, list] = {}  # state of a whole short item: (words, items)
-        for i, s in sequences:
+        states, owners = array("q"), array("q")  # a window's state, item
+        for k, s in enumerate(sequences):
             if len(s) < window:
                 v = 0
-                for w in s:
-                    v = self.next[v][w]
+                for w in s.tolist():
+                    v = self.step(v, w)
                 old = self.short.setdefault(v, [])
                 same = next((x for x in old if x[0] == len(s)), None)
                 if same:
-                    same[1].add(i)
+                    same[1].add(self.ids[k])
                 else:
-                    old.append((len(s), {i}))
+                    old.append((len(s), {self.ids[k]}))
             else:
-                for _, v, n in self.walk(s):
+                for _, v, n in self.walk(s.tolist()):
                     if n >= window:
-                        self.full.setdefault(self.cut(v), set()).add(i)
+                        states.append(self.cut(v))
+                        owners.append(k)
+        # Items by state: those of state v lie between owned[full[v]] and owned[full[v] + 1] in owners.
+        both = np.unique(np.frombuffer(states, np.int64) * max(len(sequences), 1) + np.frombuffer(owners, np.int64)) if len(states) else np.zeros(0, np.int64)
+        state, self.owners = both // max(len(sequences), 1), (both % max(len(sequences), 1)).astype(np.int32)
+        first = np.flatnonzero(np.concatenate(([True], state[1:] != state[:-1]))) if len(state) else np.zeros(0, np.int64)
+        self.owned = np.append(first, len(state)).astype(np.int32)
+        full = np.full(len(self.link), -1, np.int32)
+        full[state[first]] = np.arange(len(first))
+        self.full = array("i", full.tobytes())
         if self.short:  # a suffix's marks hold too
-            order = sorted(range(1, len(self.link)), key=self.length.__getitem__)
-            for v in order:
+            for v in np.argsort(np.frombuffer(self.length, np.int32), kind="stable").tolist()[1:]:
                 if above := self.short.get(self.link[v]):
                     self.short[v] = self.short.get(v, []) + above
 
-    def _new(self, length: int, link: int, follow: dict[int, int]) -> int:
+    def step(self, v: int, w: int) -> int:
+        """The state after word w, or 0."""
+        if self.word[v] == w:
+            return self.to[v]
+        more = self.more.get(v)
+        return more.get(w, 0) if more else 0
+
+    def _put(self, v: int, w: int, u: int) -> None:
+        if self.word[v] in (0, w):
+            self.word[v], self.to[v] = w, u
+        else:
+            self.more.setdefault(v, {})[w] = u
+
+    def _new(self, length: int, link: int, like: int = -1) -> int:
+        """A state; like: with the ways on of that one."""
+        new = len(self.link)
         self.length.append(length)
         self.link.append(link)
-        self.next.append(follow)
-        return len(self.link) - 1
+        self.word.append(self.word[like] if like >= 0 else 0)
+        self.to.append(self.to[like] if like >= 0 else 0)
+        if like in self.more:
+            self.more[new] = dict(self.more[like])
+        return new
 
     def _split(self, p: int, w: int, q: int) -> int:
         """A state for q's runs that are no longer than p's and w."""
-        c = self._new(self.length[p] + 1, self.link[q], dict(self.next[q]))
-        while p >= 0 and self.next[p].get(w) == q:
-            self.next[p][w] = c
+        c = self._new(self.length[p] + 1, self.link[q], q)
+        while p >= 0 and self.step(p, w) == q:
+            self._put(p, w, c)
             p = self.link[p]
         self.link[q] = c
         return c
@@ -81,16 +110,15 @@ class Automaton:
     def _add(self, sequence: list[int]) -> None:
         last = 0
         for w in sequence:
-            q = self.next[last].get(w)
-            if q is not None:
+            if q := self.step(last, w):
                 last = q if self.length[q] == self.length[last] + 1 else self._split(last, w, q)
                 continue
-            new, p = self._new(self.length[last] + 1, 0, {}), last
-            while p >= 0 and w not in self.next[p]:
-                self.next[p][w] = new
+            new, p = self._new(self.length[last] + 1, 0), last
+            while p >= 0 and not self.step(p, w):
+                self._put(p, w, new)
                 p = self.link[p]
             if p >= 0:
-                q = self.next[p][w]
+                q = self.step(p, w)
                 self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, w, q)
             last = new
 
@@ -100,18 +128,23 @@ class Automaton:
             v = self.link[v]
         return v
 
+    def windows(self, v: int) -> list:
+        """The items with the window whose state is v."""
+        at = self.full[v]
+        return [self.ids[k] for k in self.owners[self.owned[at] : self.owned[at + 1]].tolist()] if at >= 0 else []
+
     def walk(self, words: list[int]) -> Iterator[tuple[int, int, int]]:
         """(place, state, longest matching length) at each word."""
+        word, to, more, link, length = self.word, self.to, self.more, self.link, self.length
         v = n = 0
         for i, w in enumerate(words):
-            while v and w not in self.next[v]:
-                v = self.link[v]
-                n = self.length[v]
-            u = self.next[v].get(w)
-            if u is None:
-                v = n = 0
-            else:
-                v, n = u, n + 1
+            while True:
+                u = to[v] if word[v] == w else more[v].get(w, 0) if v in more else 0
+                if u or not v:
+                    break
+                v = link[v]
+                n = length[v]
+            v, n = (u, n + 1) if u else (0, 0)
             yield i, v, n
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
@@ -143,7 +176,7 @@ class Automaton:
         for a, b in zip(begins[long].tolist(), ends[long].tolist(), strict=True):
             for i, v, m in self.walk(ids[a:b].tolist()):
                 i += a
-                if m >= self.window and (owners := self.full.get(self.cut(v))):
+                if m >= self.window and (owners := self.windows(self.cut(v))):
                     yield i - self.window + 1, i + 1, m, owners
                 for k, owners in self.short.get(v, ()):
                     if k <= m:
