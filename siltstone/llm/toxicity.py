@@ -30,9 +30,9 @@ LEXICONS: dict[str, tuple[str, ...]] = {
 }
 #: Kinds whose words are also harmless: they need company to count.
 WEAK = ("threat", "contempt")
-#: Words mined from labelled rows: at most so many, each in at least this share of the toxic rows (and in three) and
-#: this many times likelier there. The first bytes that STEM_WORDS of them share are a stem.
-MINED, MINED_SHARE, MINED_LIFT = 4000, 0.004, 25.0
+#: Words mined from the fitted rows: each in at least this share of the toxic rows (and in three) and this many times
+#: likelier there. The first bytes that STEM_WORDS of them share are a stem.
+MINED_SHARE, MINED_LIFT = 0.004, 25.0
 STEM_BYTES, STEM_WORDS = 6, 3
 FIT_ROWS = 20_000
 VOTERS = (*LEXICONS, "mined", "mined_often", "stems", "two_kinds", "dense", "shouted", "pointed")
@@ -171,7 +171,7 @@ def _mined(rows: DataFrame) -> list[bytes]:
         return []
     words = rows.select("text", "label").mapInArrow(run, "w binary, bad long, good long").groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     found = words.where((F.col("bad") >= max(3, MINED_SHARE * n1)) & (F.col("bad") / n1 >= MINED_LIFT * (F.col("good") + 0.5) / (n0 + 1)))
-    return sorted(bytes(r.w) for r in found.orderBy(F.desc("bad"), "w").limit(MINED).collect())
+    return sorted(bytes(r.w) for r in found.select("w").collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame, parts: int, fit_most: int):
