@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that an operator turns into arrays at a time.
 CHUNK_BYTES = 2 << 20
@@ -55,6 +56,13 @@ def drop_settled(*frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def with_columns(kept: Iterable[StructField], own: str, kept_first: bool = True) -> StructType:
+    """A result's schema: columns that are kept, whatever their names and types, and those of its own."""
+    own_fields = StructType.fromDDL(own).fields
+    kept_fields = [StructField(f.name, f.dataType) for f in kept]
+    return StructType([*kept_fields, *own_fields] if kept_first else [*own_fields, *kept_fields])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

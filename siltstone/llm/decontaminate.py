@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import settle, text_chunks
+from siltstone.llm.common import settle, text_chunks, with_columns
 from siltstone.llm.wordarrays import BY_LETTER, span_hashes, spans
 
 U = np.uint64
@@ -283,7 +283,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, with
         automaton = Automaton(list(zip([r.i for r in rows], _item_hashes([r.t for r in rows]), strict=True)), window)
         share = spark.sparkContext.broadcast(automaton)
         names = [*docs.columns, *FOUND]
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{k} {v}" for k, v in FOUND.items())])
+        schema = with_columns(docs.schema, ", ".join(f"{k} {v}" for k, v in FOUND.items()))
         carried = out if b == 0 else settle(out.select(*docs.columns, "hits", "items"), "passes")
         out = carried.mapInArrow(_scan(share, docs.columns.index("text"), None if b == 0 else len(docs.columns), with_text, names), schema)
     return out
@@ -291,12 +291,22 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, with
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
     """docs, whatever their columns, without the hit stretches in their texts, and without the documents of which more
-    than max_coverage of the words were hit; n_chars, if there, is counted anew. Cases as in find_contamination."""
+    than max_coverage of the words were hit; n_chars, if there, is counted anew. Cases as in find_contamination, but
+    columns of docs stay whatever their names."""
     columns = docs.columns
-    found = find_contamination(docs.withColumn("text", F.col("text").cast("string")), items, window, with_text=True)
+    known, held = {c.lower() for c in columns} | set(FOUND), {}
+    for c in columns:  # a column named as one of the results is set aside
+        if c.lower() in FOUND:
+            name = f"own_{c}"
+            while name.lower() in known:
+                name += "_"
+            known.add(name.lower())
+            held[c] = name
+    named = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`").alias(held.get(c, c)) for c in columns])
+    found = find_contamination(named, items, window, with_text=True)
     found = found.where((F.col("n_words") == 0) | (F.col("n_hit") <= F.lit(max_coverage) * F.col("n_words")))
     changed = {"text": F.col("clean_text")} | ({"n_chars": F.when(F.col("n_hit") > 0, F.length("clean_text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in columns else {})
-    return found.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in columns])
+    return found.select(*[changed.get(c, F.col(f"`{held.get(c, c)}`")).alias(c) for c in columns])
 
 
 def digest(ids: list[str]) -> str:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import MOST_KEYS, bitmap_of, bits_for, drop_settled, in_bitmap, modest_batches, settle, text_chunks
+from siltstone.llm.common import MOST_KEYS, bitmap_of, bits_for, drop_settled, in_bitmap, modest_batches, settle, text_chunks, with_columns
 from siltstone.llm.components import connected_components
 from siltstone.llm.wordarrays import BY_SPACE, mix, shingle_sets, span_hashes, spans
 
@@ -252,7 +252,7 @@ def _prepared(docs: DataFrame, k: int, percent: int, common_from: int, keep: tup
     modest_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in keep])
     common = _common_ngrams(docs, k, common_from)
-    schema = ", ".join(["doc_id long, n long, cls long, prefix array<long>", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)])
+    schema = with_columns([docs.schema[c] for c in keep], "doc_id long, n long, cls long, prefix array<long>", kept_first=False)
     slim = settle(docs.mapInArrow(_prefixes(k, percent, common, ["doc_id", "n", "cls", "prefix", *keep]), schema), "prefixes")
     reps = settle(slim.where("cls is not null").select("cls", "n", "prefix").dropDuplicates(["cls"]), "reps")
     lists = settle(reps.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "lists")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import text_chunks
+from siltstone.llm.common import text_chunks, with_columns
 from siltstone.llm.wordarrays import BY_SPACE, run_hashes, span_hashes, spans
 
 BOILERPLATE = re.compile(
@@ -141,5 +141,5 @@ def clean_lines(docs: DataFrame, max_lost: float = 0.4, with_text: bool = True)
     long texts and words are whole. Columns of docs stay, but those with the names above are replaced.
     """
     docs = docs.drop(*RESULT).withColumn("text", F.col("text").cast("string"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{k} {v}" for k, v in RESULT.items())])
+    schema = with_columns(docs.schema, ", ".join(f"{k} {v}" for k, v in RESULT.items()))
     return docs.mapInArrow(_clean(docs.columns.index("text"), max_lost, with_text, [*docs.columns, *RESULT]), schema)

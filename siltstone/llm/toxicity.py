@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import modest_batches, text_chunks
+from siltstone.llm.common import modest_batches, text_chunks, with_columns
 from siltstone.llm.features import STYLE, style
 from siltstone.llm.quality_classifier import fit_rows, fold
 from siltstone.llm.wordarrays import BY_LETTER, span_hashes, spans
@@ -228,5 +228,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, p
                 rest = [c.slice(i, j - i) for c in batch.columns[2:]]
                 yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(s), pa.array((s >= threshold).astype(np.int32)), *rest], ["doc_id", "score", "predicted", *keep])
 
-    schema = ", ".join(["doc_id long", "score double", "predicted int", *(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep)])
+    schema = with_columns([src.schema[c] for c in keep], "doc_id long, score double, predicted int", kept_first=False)
     return src.mapInArrow(run, schema).select("doc_id", (fold(F.col("doc_id"), parts) == 0).alias("held_out"), "score", "predicted", *[F.col(f"`{c}`") for c in keep])
