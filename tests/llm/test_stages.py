@@ -1,4 +1,5 @@
-"""The pipeline's stages against brute force, on rows with nulls, repeated ids, equal rows and clashing names."""
+"""The pipeline's stages on rows with nulls, repeated ids, equal rows and clashing names: near copies and decontamination
+against brute force, the mix against its targets, shards by ids, toxicity against its own classifier's verdicts."""
 
 import random
 import re
