@@ -56,7 +56,8 @@ STAGES = [
     ("sharding", sharded),
 ]
 
-#: A classifier that is learnt is not SQL; tests hold the stages against brute force.
+#: A classifier that is learnt is not SQL; tests hold near copies and decontamination against brute force, the mix against
+#: its targets.
 ORACLE_SQL = None
 
 
