@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat_format, decontaminate, jaccard_join, license_scan, lm_score, mixing, quality_classifier, quality_rules, sharding, toxicity
+from siltstone.llm import bpe_automaton, chat_format, decontaminate, jaccard_join, license_scan, lm_score, mixing, quality_classifier, quality_rules, sharding, toxicity
 from siltstone.llm.common import new_dir, read_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,7 +59,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_mix_sources, op4_shard, op5_ngram_jaccard, op6_quality_rules, op7_chat_format, op8_lm_score, op9_quality_rank, op10_toxicity)}
+def op13_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_automaton.encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_mix_sources, op4_shard, op5_ngram_jaccard, op6_quality_rules, op7_chat_format, op8_lm_score, op9_quality_rank, op10_toxicity, op13_bpe_automaton)}
 
 SPACED = r"[^\x20\x09-\x0D]+"
 LETTERED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
