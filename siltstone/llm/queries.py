@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe_automaton, chat_format, decontaminate, jaccard_join, license_scan, lm_score, mixing, quality_classifier, quality_rules, sharding, toxicity
+from siltstone.llm import bpe_automaton, chat_format, decontaminate, importance_resampling, jaccard_join, license_scan, lm_score, mixing, periodic_runs, quality_classifier, quality_rules, sharding, toxicity
 from siltstone.llm.common import new_dir, read_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,13 +59,41 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """docs with the words from the a-th on made periodic in the texts whose crc32 of doc_id divides by 10."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), h.alias("h"), F.floor(h / 10).alias("g"))
+    words = docs.withColumn("w", F.when(F.col("h") % 10 == 0, F.expr(rf"regexp_extract_all(text, r'{SPACED}', 0)")))
+    sized = words.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    sized = sized.withColumn("p", F.expr("int(1 + (n - a) div (3 + g % 8))"))
+    planted = F.expr("array_join(concat(slice(w, 1, a), slice(flatten(array_repeat(slice(w, a + 1, p), int((n - a) div p + 1))), 1, n - a)), ' ')")
+    return sized.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(planted_runs(read_table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    text = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    text = F.when(F.size("runs") > 0, F.concat(text, F.lit("\n"))).otherwise(F.lit(""))
+    found = found.withColumn("m", longest)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("m.start")).alias("start"), F.col("m.length").alias("length"), (-F.col("m.period")).alias("period"),
+        F.expr("(1000 * m.length) div -m.period").alias("exponent_milli"), F.sha2(text.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe_automaton.encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_mix_sources, op4_shard, op5_ngram_jaccard, op6_quality_rules, op7_chat_format, op8_lm_score, op9_quality_rank, op10_toxicity, op13_bpe_automaton)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_mix_sources, op4_shard, op5_ngram_jaccard, op6_quality_rules, op7_chat_format, op8_lm_score, op9_quality_rank, op10_toxicity, op11_importance_resampling, op12_periodic_runs, op13_bpe_automaton)}
 
 SPACED = r"[^\x20\x09-\x0D]+"
 LETTERED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -75,6 +103,12 @@ def _lettered(column: str) -> str:
     return f"regexp_extract_all(translate(coalesce({column}, ''), '{UPPER}', '{LOWER}'), '{LETTERED}')"
 
 
+#: The table of CRC-32 and the CRC-32 of a list of bytes `b`, in SQL; `t` is the row with the table.
+CRC_TABLE = "SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) ORDER BY n) AS t FROM range(256) AS r(n)"
+CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c // 256, t[1 + xor(c % 256, x)])), 4294967295)"
+#: The bytes of a string `s`, as numbers.
+BYTES = "list_transform(range(CAST(strlen(s) AS BIGINT)), lambda i: CAST((strpos('0123456789ABCDEF', substr(hex(encode(s)), 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(hex(encode(s)), 2 * i + 2, 1)) - 1 AS BIGINT))"
+
 ORACLES = {
     "op1_decontaminate": f"""
 WITH d AS (SELECT doc_id, {_lettered("text")} AS w FROM documents),
@@ -155,4 +189,33 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(n + CASE role WHEN 'user' THEN 16 WHEN 'assistant' THEN 4 WHEN 'system' THEN 11 ELSE 17 + nr END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op11_importance_resampling": f"""
+WITH c AS ({CRC_TABLE}),
+w AS (SELECT false AS own, doc_id, {_lettered("text")} AS w FROM documents UNION ALL SELECT true, NULL, {_lettered("text")} FROM benchmark),
+k AS (SELECT row_number() OVER () AS k, * FROM w),
+f AS (SELECT k, own, unnest(w) AS f FROM k UNION ALL SELECT k, own, w[p] || ' ' || w[p + 1] FROM (SELECT k, own, w, unnest(range(1, len(w))) AS p FROM k WHERE len(w) >= 2)),
+b AS (SELECT s, {CRC} % {importance_resampling.BUCKETS} AS bucket FROM (SELECT s, t, {BYTES} AS b FROM (SELECT DISTINCT f AS s FROM f), c)),
+n AS (SELECT bucket, count(*) FILTER (NOT own) AS s, count(*) FILTER (own) AS t FROM f JOIN b ON f = s GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000.0::DOUBLE * ln(((t + 1.0::DOUBLE) * ((SELECT sum(s) FROM n) + {importance_resampling.BUCKETS}.0::DOUBLE)) / ((s + 1.0::DOUBLE) * ((SELECT sum(t) FROM n) + {importance_resampling.BUCKETS}.0::DOUBLE)))) AS BIGINT) AS gain FROM n),
+m AS (SELECT k, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM f JOIN b ON f = s JOIN g USING (bucket) WHERE NOT own GROUP BY k),
+d AS (SELECT doc_id, len(w) AS words, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (total - ((total % n) + n) % n) // n ELSE 0 END AS weight,
+      CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM k LEFT JOIN m USING (k) WHERE NOT own),
+e AS (SELECT *, weight + CAST(floor(-1000.0::DOUBLE * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (words >= 20) OVER () * 25 // 100 AS drawn FROM e)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN words >= 20 AND place <= drawn THEN place END AS rank FROM r""",
+    "op12_periodic_runs": f"""
+WITH c AS ({CRC_TABLE}),
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w, {CRC} AS h FROM (SELECT doc_id, text, t, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT)) AS b FROM documents, c)),
+a AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS own, CASE WHEN len(w) > 0 THEN h // 10 % len(w) END AS a, h // 10 % 8 + 3 AS k FROM d),
+p AS (SELECT doc_id, n, CASE WHEN own THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // k) END]) ELSE w END AS w FROM a),
+u AS (SELECT doc_id, n, unnest(w) AS x, unnest(range(n)) AS i FROM p),
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM u x JOIN u y ON x.doc_id = y.doc_id AND x.x = y.x AND x.i < y.i AND 4 * (y.i - x.i) <= x.n),
+l AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM m) GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, s, len, min(q) AS q FROM l GROUP BY doc_id, s, len),
+b AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM r),
+t AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM u ANTI JOIN b USING (doc_id, i) GROUP BY doc_id),
+v AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM r GROUP BY doc_id),
+z AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, s, q) AS k FROM r)
+SELECT p.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, len AS length, q AS period, 1000 * len // q AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM p LEFT JOIN t ON p.doc_id = t.doc_id LEFT JOIN v ON p.doc_id = v.doc_id LEFT JOIN z ON p.doc_id = z.doc_id AND z.k = 1""",
 }
