@@ -29,7 +29,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.placed(sharding.shard(read_table(spark, sf_dir, "documents"), new_dir(spark, "shards")))
+    return sharding.audit(sharding.shard(read_table(spark, sf_dir, "documents"), new_dir(spark, "shards")))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +153,7 @@ g AS (SELECT s.doc_id, s.size, f.source_size, f.target, f.whole, f.target - f.wh
       sum(size) OVER (PARTITION BY s.source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
       FROM s JOIN f ON s.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN rest > 0 AND 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM g""",
+    "op4_shard": "SELECT doc_id, count(*) AS copies, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars, true AS compacted FROM documents GROUP BY doc_id",
     "op5_ngram_jaccard": f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SPACED}') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, w[p:p + 3] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS p FROM d WHERE len(w) >= 4)

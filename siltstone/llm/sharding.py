@@ -1,7 +1,9 @@
 """Sharding by size-tiered compaction under a versioned manifest; DataFrame functions and file operations only.
 
-Arrivals are appended as runs of small immutable shards. Runs of a like size (one tier) are merged, as soon as there
-are `fanout` of them, into one run of target-sized shards; a run that has reached the target size is never rewritten.
+Arrivals are appended as runs of immutable shards. A shard of half the target size or more is full and is never rewritten;
+an arrival's full shards are a run of their own. Runs of small shards are merged, as soon as there are `fanout` of a like
+size (one tier) or one of them reaches the target size, into files of half the target to the whole of it. Two small shards
+always fit into one file, so every merge leaves fewer of them.
 A run has an id of its own; its name is a label that may repeat. A version's manifest lists runs; each run's shards are
 listed in a file of its own that never changes. A manifest is written aside and then takes its number in one step that
 fails if another writer has taken it, so readers see one version or the other; the writer then tries again on the new
@@ -18,6 +20,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: File systems on which a version is taken by one writer only: a hard link on local files, a rename on the others.
 ATOMIC = ("file", "hdfs", "viewfs", "webhdfs", "ofs")
@@ -35,6 +38,7 @@ class ShardStore:
         self._jvm = spark.sparkContext._jvm
         self._conf = spark._jsparkSession.sessionState().newHadoopConf()
         self._fs = self._path("").getFileSystem(self._conf)
+        self.kinds: dict = {}
         self._scheme = self._fs.getUri().getScheme()
         if self._scheme not in ATOMIC and not single_writer:
             raise ValueError(f"no atomic commit on {self._scheme}:// is known; single_writer=True promises that no other writer is there")
@@ -69,7 +73,7 @@ class ShardStore:
         return max([0, *(int(n[1:9]) for n, _ in self._files("manifests") if n.startswith("v"))])
 
     def manifest(self, version: int | None = None) -> dict:
-        """{version, schema, runs: [{id, run, level, bytes, shards, folder}]}; of version 0, no runs."""
+        """{version, schema, runs: [{id, run, level, bytes, shards, folder, full}]}; of version 0, no runs."""
         version = self.version() if version is None else version
         return self._read_json(f"manifests/v{version:08d}.json") if version else {"version": 0, "schema": None, "runs": []}
 
@@ -99,27 +103,34 @@ class ShardStore:
         return base + 1
 
     def tier(self, size: int) -> int:
-        """Runs of a tier are within a factor `fanout` of each other; -1: large enough, never merged again."""
+        """Small runs of a tier are within a factor `fanout` of each other; -1: enough to be merged at once."""
         if size >= self.target:
             return -1
         return max(0, math.floor(math.log(max(1, size) / (self.target / self.fanout**3), self.fanout)) + 1)
 
-    def _run(self, name: str, folder: str, level: int) -> dict | None:
-        """Lists a written folder's shards as a run; None if there are none. Nothing reads it before a commit."""
-        files = [{"file": f"{folder}/{n}", "bytes": b} for n, b in self._files(folder)]
-        if not files:
-            return None
-        run = {"id": uuid.uuid4().hex, "run": name, "level": level, "bytes": sum(f["bytes"] for f in files), "shards": len(files), "folder": folder}
+    def full(self, size: int) -> bool:
+        """A shard of this size is never rewritten."""
+        return 2 * size >= self.target
+
+    def _listed_run(self, name: str, folder: str, level: int, files: list[dict], full: bool) -> dict:
+        run = {"id": uuid.uuid4().hex, "run": name, "level": level, "bytes": sum(f["bytes"] for f in files), "shards": len(files), "folder": folder, "full": full}
         self._fs.mkdirs(self._path("runs"))
         self._write_json(f"runs/{run['id']}.json", files)
         return run
 
-    def _added(self, run: dict, schema: str) -> int:
-        """Commits one more run on whatever version is the last."""
+    def _runs(self, name: str, folder: str, level: int) -> list[dict]:
+        """Lists a written folder's shards as a run of full ones and a run of small ones; without shards, none. Nothing
+        reads them before a commit."""
+        files = [{"file": f"{folder}/{n}", "bytes": b} for n, b in self._files(folder)]
+        kinds = [(kind, [f for f in files if self.full(f["bytes"]) == kind]) for kind in (True, False)]
+        return [self._listed_run(name, folder, level, some, kind) for kind, some in kinds if some]
+
+    def _added(self, runs: list[dict], schema: str) -> int:
+        """Commits more runs on whatever version is the last."""
         while True:
             now = self.manifest()
             try:
-                return self.commit(now | {"schema": schema, "runs": [*now["runs"], run]}, now["version"])
+                return self.commit(now | {"schema": schema, "runs": [*now["runs"], *runs]}, now["version"])
             except Conflict:
                 continue
 
@@ -130,61 +141,78 @@ class ShardStore:
         writer = docs.write.option("compression", "zstd")
         (writer.partitionBy(by) if by else writer).parquet(f"{self.root}/{base}")
         schema = docs.drop(by).schema.json() if by else docs.schema.json()
+        self.kinds = {f.name: f.dataType for f in docs.schema}
         parts = [s.getPath().getName() for s in self._listed(base) if s.isDirectory()] if by else [""]
         version = self.version()
         for part in sorted(parts, key=lambda p: (len(p), p)):
-            run = self._run(part.partition("=")[2] or "arrival", f"{base}/{part}".rstrip("/"), 0)
-            if run:
-                version = self._added(run, schema)
+            runs = self._runs(part.partition("=")[2] or "arrival", f"{base}/{part}".rstrip("/"), 0)
+            if runs:
+                version = self._added(runs, schema)
         return version
 
     def _due(self, runs: list[dict], everything: bool) -> list[dict]:
+        """The runs that are merged next. Versions written before runs were told apart by `full` list some without it:
+        they count as small, and are rewritten where that leaves fewer shards."""
         tiers: dict[int, list[dict]] = {}
         for r in runs:
-            if (t := self.tier(r["bytes"])) >= 0:
-                tiers.setdefault(t, []).append(r)
-        due = next((tiers[t] for t in sorted(tiers) if len(tiers[t]) >= self.fanout), [])
+            if not r.get("full"):
+                tiers.setdefault(self.tier(r["bytes"]), []).append(r)
+        large = [r for r in tiers.pop(-1, []) if r["shards"] > 1]
+        due = large or next((tiers[t] for t in sorted(tiers) if len(tiers[t]) >= self.fanout), [])
         if not due and everything:
-            due = [r for t in tiers for r in tiers[t]]
-            due = due if len(due) > 1 or due and due[0]["shards"] > 1 and due[0]["level"] == 0 else []
+            due = [r for t in sorted(tiers) for r in tiers[t]]
+            due = due if sum(r["shards"] for r in due) > 1 else []
         return due
 
-    def _swapped(self, gone: list[dict], run: dict) -> bool:
-        """Commits run in place of the runs that it merges, unless another writer has merged one of them."""
+    def _swapped(self, gone: list[dict], runs: list[dict]) -> bool:
+        """Commits runs in place of those that they merge, unless another writer has merged one of them."""
         ids = {r["id"] for r in gone}
         while True:
             now = self.manifest()
             if not ids <= {r["id"] for r in now["runs"]}:
                 return False
             try:
-                self.commit(now | {"runs": [r for r in now["runs"] if r["id"] not in ids] + [run]}, now["version"])
+                self.commit(now | {"runs": [r for r in now["runs"] if r["id"] not in ids] + runs}, now["version"])
                 return True
             except Conflict:
                 continue
 
+    def _packed(self, schema: str, runs: list[dict]) -> DataFrame:
+        """The runs' rows with a partition for each file to write: whole small files, largest first, up to the target size.
+        Packing is that of Spark's file scan, in a session of its own with the target as its bound; where that bound does
+        not hold, as many partitions as the target asks for."""
+        own = self.spark.newSession()
+        for key, value in {"maxPartitionBytes": self.target, "openCostInBytes": 0, "minPartitionNum": 1}.items():
+            own.conf.set(f"spark.sql.files.{key}", str(value))
+        rows = self._read(schema, runs, own)
+        wanted = max(1, math.ceil(sum(r["bytes"] for r in runs) / self.target))
+        return rows if rows.rdd.getNumPartitions() <= 2 * wanted else rows.coalesce(wanted)
+
     def compact(self, everything: bool = False) -> int:
-        """Merges until no tier holds `fanout` runs; everything: at last also what is left under the target size. Files
-        of the runs that were merged stay, for readers of earlier versions, until vacuum(). Returns the version."""
+        """Merges until no run of small shards reaches the target and no tier holds `fanout` runs; everything: until one
+        small shard is left at most. Files of the runs that were merged stay, for readers of earlier versions, until
+        vacuum(). Returns the version."""
         while True:
             now = self.manifest()
             due = self._due(now["runs"], everything)
             if not due:
                 return now["version"]
-            folder, size = f"data/m-{uuid.uuid4().hex}", sum(r["bytes"] for r in due)
-            merged = self._read(now["schema"], due).coalesce(max(1, math.ceil(size / self.target)))
-            merged.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
-            names = sorted({r["run"] for r in due}, key=lambda x: (len(x), x))
-            run = self._run("+".join(names), folder, 1 + max(r["level"] for r in due))
-            if not self._swapped(due, run):
+            folder = f"data/m-{uuid.uuid4().hex}"
+            self._packed(now["schema"], due).write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
+            names = sorted({x for r in due for x in r["run"].split("+")}, key=lambda x: (len(x), x))
+            runs = self._runs("+".join(names), folder, 1 + max(r["level"] for r in due))
+            if not self._swapped(due, runs):
                 self._fs.delete(self._path(folder), True)
-                self._fs.delete(self._path(f"runs/{run['id']}.json"), False)
+                for r in runs:
+                    self._fs.delete(self._path(f"runs/{r['id']}.json"), False)
 
     def vacuum(self, versions: int = 2, older_than_s: float = 7 * 86400.0) -> list[str]:
-        """Removes folders that none of the last `versions` versions lists and whose last change is older than the given
-        age, which must exceed the longest write before its commit and the longest read. Returns what it removed."""
+        """Removes folders and files that none of the last `versions` versions lists and whose last change is older than the
+        given age, which must exceed the longest write before its commit and the longest read. Returns what it removed."""
         last, before = self.version(), (time.time() - older_than_s) * 1000
         known = [r for v in range(max(1, last - versions + 1), last + 1) for r in self.manifest(v)["runs"]]
         folders, ids = {r["folder"] for r in known}, {r["id"] for r in known}
+        listed = {f["file"] for r in {r["id"]: r for r in known}.values() for f in self.files(r)}
         gone = []
 
         def newest(status) -> int:
@@ -197,17 +225,22 @@ class ShardStore:
                 if folder not in folders and not (folder == name and any(f.startswith(f"{name}/") for f in folders)) and newest(status) <= before:
                     self._fs.delete(self._path(folder), True)
                     gone.append(folder)
+        for folder in folders:  # a folder's full shards stay when its small ones were merged
+            for status in self._listed(folder):
+                name = f"{folder}/{status.getPath().getName()}"
+                if not status.isDirectory() and name not in listed and status.getModificationTime() <= before:
+                    self._fs.delete(status.getPath(), False)
+                    gone.append(name)
         for status in self._listed("runs"):
             if status.getPath().getName()[:-5] not in ids and status.getModificationTime() <= before:
                 self._fs.delete(status.getPath(), False)
         return gone
 
-    def _read(self, schema: str, runs: list[dict]) -> DataFrame:
-        from pyspark.sql.types import StructType
-
+    def _read(self, schema: str, runs: list[dict], spark: SparkSession | None = None) -> DataFrame:
+        spark = spark or self.spark
         paths = [f"{self.root}/{f['file']}" for r in runs for f in self.files(r)]
         kind = StructType.fromJson(json.loads(schema))
-        return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
+        return spark.read.schema(kind).parquet(*paths) if paths else spark.createDataFrame([], kind)
 
     def read(self, version: int | None = None) -> DataFrame:
         m = self.manifest(version)
@@ -247,8 +280,20 @@ def placed(store: ShardStore, column: str = "doc_id") -> DataFrame:
     """(column, run, level, shard, shard_bytes, version) of each stored row, read back from the committed shards."""
     m = store.manifest()
     if not m["version"]:
-        return store.spark.createDataFrame([], "doc_id long, run string, level int, shard string, shard_bytes long, version long")
+        own = StructType.fromDDL("run string, level int, shard string, shard_bytes long, version long").fields
+        return store.spark.createDataFrame([], StructType([StructField(column, store.kinds.get(column, LongType())), *own]))
     rows = store.read(m["version"]).select(F.col(f"`{column}`"), F.regexp_extract(F.col("_metadata.file_path"), r"(data/[am]-.*)$", 1).alias("shard"))
     at = store.shards(m["version"])
     at = F.broadcast(at) if sum(r["shards"] for r in m["runs"]) <= BROADCAST_SHARDS else at
-    return rows.join(at, "shard").select(column, "run", "level", "shard", "shard_bytes", "version")
+    return rows.join(at, "shard").select(f"`{column}`", "run", "level", "shard", "shard_bytes", "version")
+
+
+def audit(store: ShardStore, target_bytes: int = 128 << 20) -> DataFrame:
+    """(doc_id, copies, chars, compacted): the stored rows and their texts' characters by doc_id, read back, and whether
+    one committed shard at most is under half the target size."""
+    m = store.manifest()
+    if not m["version"]:
+        return store.spark.createDataFrame([], "doc_id long, copies long, chars long, compacted boolean")
+    small = store.shards(m["version"]).where(F.col("shard_bytes") * 2 < target_bytes).count()
+    rows = store.read(m["version"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"), F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("chars"))
+    return rows.withColumn("compacted", F.lit(small <= 1))
