@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -11,12 +12,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: Temporary folders of local applications.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; an own one only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary folder in local
+    mode, in which all is one process; an error on a cluster. No setting is changed."""
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-        spark.sparkContext.setCheckpointDir(at)
+        at = _OWN.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="siltstone-"))
     return at.rstrip("/")
 
 
