@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,25 +12,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from siltstone.sources.tables import shared_dir
+
 #: Bytes of text that an operator turns into arrays at a time.
 CHUNK_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; an own one only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def modest_batches(spark: SparkSession) -> None:
-    """Texts go to Python 1,000 rows at a time where the session still has Spark's default of 10,000: a batch is held
-    several times over (by the JVM, by Python, as arrays), and texts are long."""
+@contextmanager
+def modest_batches(spark: SparkSession) -> Iterator[None]:
+    """While this holds, texts go to Python 1,000 rows at a time where the session has Spark's default of 10,000: a batch
+    is held several times over (by the JVM, by Python, as arrays), and texts are long. The setting is put back after."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "1000")
+    own = spark.conf.get(key, None)
+    if own not in (None, "10000"):
+        yield
+        return
+    spark.conf.set(key, "1000")
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, own)
 
 
 def new_dir(spark: SparkSession, name: str) -> str:

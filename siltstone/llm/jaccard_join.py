@@ -11,6 +11,11 @@ n-grams that most of the group have, D = x ^ B what a set x differs by. As |x ^
 that need nothing of Dx & Dy are known from sizes alone, and a link to the class nearest to B stands for all of them; the
 others share an element of D, and D is small where sets are near copies. So the work follows the group's size, not its
 square, and no pair that could join two components is left out.
+
+A group in which nothing is in most sets (clusters that texts between them link) is parted: each long list has a hub, and
+each class goes with the hub that most of its lists have (_parted). Pairs within a part are joined as above, by the part's
+own B. For pairs of two parts |x ^ y| >= |B1 ^ B2| - |Dx| - |Dy|: where members of like distance from their B cannot come
+near enough by this, none of them are paired (_between_parts).
 """
 
 from __future__ import annotations
@@ -30,6 +35,10 @@ from siltstone.llm.wordarrays import BY_SPACE, mix, shingle_sets, span_hashes, s
 FLUSH = 1 << 20
 #: Classes in a list that are paired directly; longer lists make groups. The same within a group.
 FEW, FEW_WITHIN = 16, 256
+#: Hubs that a class tries before it is a part of its own.
+HUBS = 3
+#: Classes of a list to a key, where lists are joined with themselves.
+LIST_ROWS = 1024
 #: A hot group's rows are spread over so many keys where they meet the group's own row.
 SALTS = 32
 #: Steps of commonness; a bitmap for each.
@@ -222,10 +231,20 @@ def _may_begin(nx: str, ny: str, px: str, py: str, percent: int):
 
 
 def _met(live: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that meet in a list of live (h, cls, n, pos) where it can be their first."""
-    left = live.select("h", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    right = live.select("h", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    return left.join(right, "h").where("a < b").where(_may_begin("na", "nb", "pa", "pb", percent)).select("a", "b").distinct()
+    """The pairs (a, b) of classes that meet in a list of live (h, c, cls, n, pos) where it can be their first."""
+    left = _spread(live.select("h", "c", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")), "a")
+    right = _every(live.select("h", "c", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")))
+    return left.join(right, ["h", "salt"]).where("a < b").where(_may_begin("na", "nb", "pa", "pb", percent)).select("a", "b").distinct()
+
+
+def _spread(rows: DataFrame, by: str) -> DataFrame:
+    """rows of lists (h) of c rows, with one of the salts that a list of c has."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.floor(F.col("c") / LIST_ROWS) + 1).cast("int")).drop("c")
+
+
+def _every(rows: DataFrame) -> DataFrame:
+    """rows of lists (h) of c rows, with each of the salts that a list of c has."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.floor(F.col("c") / LIST_ROWS).cast("int")))).drop("c")
 
 
 def _fetched(classes: DataFrame, docs: DataFrame, k: int, common: list[bytes], fragments: int) -> DataFrame:
@@ -249,7 +268,6 @@ def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 
 def _prepared(docs: DataFrame, k: int, percent: int, common_from: int, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[bytes], DataFrame, DataFrame]:
     """(docs, common n-grams, rows with their class, classes in the lists (h, c classes) of their prefixes' n-grams)."""
-    modest_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in keep])
     common = _common_ngrams(docs, k, common_from)
     schema = with_columns([docs.schema[c] for c in keep], "doc_id long, n long, cls long, prefix array<long>", kept_first=False)
@@ -277,9 +295,10 @@ def _by_group(left: DataFrame, right: DataFrame, salt: str = "cls") -> DataFrame
     return left.withColumn("salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(every, ["grp", "salt"], "left").drop("salt")
 
 
-def _apart(items: DataFrame) -> DataFrame:
-    """items (grp, cls, n, s) with d, s's difference from what most of the group have, and whether that is of use: where
-    it does not halve the sets (few or no elements are in most of them), d is s and stuck is true."""
+def _apart(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items (grp, cls, n, s) with d, s's difference from what most of the group have, and whether that is of use: where
+    it does not halve the sets (few or no elements are in most of them), d is s and stuck is true; the groups' bases
+    (grp, b))."""
     counts = items.select("grp", F.explode("s").alias("e")).groupBy("grp", "e").agg(F.count(F.lit(1)).alias("c"))
     sizes = items.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.sum(F.size("s")).alias("all"))
     # What the differences have in all, from counts alone.
@@ -287,9 +306,98 @@ def _apart(items: DataFrame) -> DataFrame:
     known = settle(_by_group(counts, sizes, "e").withColumn("most", split), "counts")
     total = known.groupBy("grp", "all").agg(F.sum(F.when(F.col("most"), F.col("size") - F.col("c")).otherwise(F.col("c"))).alias("rest"))
     base = _by_group(known.where("most").select("grp", "e"), total.where("2 * rest <= all").select("grp", F.lit(True).alias("use")), "e").where("use").groupBy("grp").agg(F.collect_list("e").alias("b"))
+    base = settle(base, "bases")
     moved = F.when(F.col("b").isNull(), F.col("s")).otherwise(F.concat(F.array_except("s", "b"), F.array_except("b", "s")))
     out = settle(_by_group(items, base).select("grp", "cls", "n", moved.alias("d"), F.col("b").isNull().alias("stuck")), "apart")
     drop_settled(known)
+    return out, base
+
+
+def _parted(live: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """live (h, c, cls, ...) of long lists, items (cls, n, s) of groups without a base -> (classes (grp, cls, n, d), bases
+    (grp, b)) of parts that have one: in turns, each with other hubs, classes go with the hub that most of their lists
+    have; what is in no part with a base after HUBS turns is a part of its own."""
+    lists = settle(live.select("h", "c", "cls").join(items.select("cls"), "cls", "left_semi"), "lists")
+    done, bases = [], []
+    for turn in range(HUBS):
+        hubs = _every(lists.groupBy("h", "c").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "cls"), "cls")).getField("cls").alias("hub")))
+        votes = _spread(lists, "cls").join(hubs, ["h", "salt"]).groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("v"))
+        homes = votes.groupBy("cls").agg(F.max(F.struct("v", "hub")).getField("hub").alias("hub"))
+        apart, base = _apart(settle(items.join(homes, "cls").select(F.xxhash64(F.lit(turn), "hub").alias("grp"), "cls", "n", "s"), "items"))
+        done.append(apart.where("not stuck").select("grp", "cls", "n", "d"))
+        bases.append(base)
+        rest = apart.where("stuck").select("cls")
+        items = items.join(rest, "cls", "left_semi")
+        if rest.isEmpty():
+            break
+        lists = settle(lists.join(rest, "cls", "left_semi"), "lists")
+    own = F.xxhash64(F.lit(HUBS), "cls").alias("grp")
+    done.append(items.select(own, "cls", "n", F.array().cast("array<long>").alias("d")))
+    bases.append(items.select(own, F.col("s").alias("b")))
+    every, all_bases = done[0], bases[0]
+    for x, b in zip(done[1:], bases[1:], strict=True):
+        every, all_bases = every.unionByName(x), all_bases.unionByName(b)
+    return settle(every, "parts"), settle(all_bases, "bases")
+
+
+def _merged(live: DataFrame, items: DataFrame, parts: DataFrame, bases: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """parts and bases, where parts that meet in a list and whose bases would link are one part: each goes to the largest
+    such part that is larger than itself, if that stays and the two have a base together."""
+    homes = settle(live.select("h", "cls").join(parts.select("cls", "grp"), "cls").select("h", "grp").distinct(), "homes")
+    counted = homes.join(homes.groupBy("h").agg(F.count(F.lit(1)).alias("c")), "h")
+    met = _spread(counted.withColumnRenamed("grp", "grp1"), "grp1").join(_every(counted.withColumnRenamed("grp", "grp2")), ["h", "salt"])
+    far = _far(met.where("grp1 < grp2").select("grp1", "grp2").distinct(), bases)
+    near = settle(far.where(F.lit(100 + percent) * F.col("far") <= F.lit(100 - percent) * F.col("both")).select("grp1", "grp2"), "near")
+    sizes = parts.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+    ways = near.unionByName(near.select(F.col("grp2").alias("grp1"), F.col("grp1").alias("grp2")))
+    best = ways.join(sizes.withColumnRenamed("grp", "grp2"), "grp2").groupBy(F.col("grp1").alias("grp")).agg(F.max(F.struct("size", F.col("grp2").alias("to"))).alias("best"))
+    moves = settle(best.join(sizes, "grp").where("best > named_struct('size', size, 'to', grp)").select("grp", F.col("best.to").alias("to")), "moves")
+    moves = moves.join(moves.select(F.col("grp").alias("to")), "to", "left_anti")
+    moves = settle(moves.unionByName(moves.select(F.col("to").alias("grp"), "to").distinct()), "moves")
+    drop_settled(homes, near)
+    if moves.isEmpty():
+        return parts, bases
+    moved = parts.select("cls", "grp").join(moves, "grp").select("cls", F.col("to").alias("grp"))
+    apart, base = _apart(settle(items.join(moved, "cls").select("grp", "cls", "n", "s"), "items"))
+    good = apart.where("not stuck").select("grp", "cls", "n", "d")
+    gone = moves.join(base.select(F.col("grp").alias("to")), "to", "left_semi").select("grp")
+    every = settle(parts.join(good.select("cls"), "cls", "left_anti").unionByName(good), "parts")
+    return every, settle(bases.join(gone, "grp", "left_anti").unionByName(base), "bases")
+
+
+def _far(pairs: DataFrame, bases: DataFrame) -> DataFrame:
+    """pairs (grp1, grp2) with far = |B1 ^ B2| and both = |B1| + |B2|."""
+    named = [bases.select(F.col("grp").alias(f"grp{k}"), F.col("b").alias(f"b{k}")) for k in "12"]
+    both = (F.size("b1") + F.size("b2")).cast("long")
+    return pairs.join(named[0], "grp1").join(named[1], "grp2").select("grp1", "grp2", (both - 2 * F.size(F.array_intersect("b1", "b2"))).alias("far"), both.alias("both"))
+
+
+def _between_parts(live: DataFrame, parts: DataFrame, bases: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes of two parts that meet in a list of live (h, c, cls, n, pos) and can be near enough.
+
+    q |x ^ y| <= (100 - percent) (|x| + |y|) with q = 100 + percent is a link, so v(x) + v(y) >= q |B1 ^ B2| with v(x) =
+    q |Dx| + (100 - percent) |x| must hold. Members of a part in a list are cells by their distance from B; cells are
+    compared first, by the most that any of theirs has, and only members of cells that pass are paired.
+    """
+    q, slack = 100 + percent, 100 - percent
+    own = parts.select("cls", "grp", F.size("d").cast("long").alias("nd"))
+    rows = live.join(own, "cls").withColumn("v", F.lit(q) * F.col("nd") + F.lit(slack) * F.col("n"))
+    rows = settle(rows.withColumn("cell", F.floor(F.log2(F.lit(1) + F.lit(64) * F.col("nd") / F.col("n"))).cast("int")), "members")
+    cells = rows.groupBy("h", "grp", "cell").agg(F.max("v").alias("v"), F.max(F.col("n") - F.col("pos")).alias("left"), F.min("n").alias("least"), F.max("n").alias("most"))
+    cells = settle(cells, "cells")
+    counted = cells.join(cells.groupBy("h").agg(F.count(F.lit(1)).alias("c")), "h")
+    x, y = (counted.select("h", "c", *[F.col(c).alias(f"{c}{k}") for c in ("grp", "cell", "v", "left", "least", "most")]) for k in "12")
+    met = _spread(x, "grp1").join(_every(y), ["h", "salt"]).where("grp1 < grp2")
+    met = met.where(F.lit(q) * F.least("left1", "left2") >= F.lit(percent) * (F.col("least1") + F.col("least2")))
+    met = met.where((100 * F.col("most1") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least1")))
+    met = settle(met.select("h", "grp1", "cell1", "v1", "grp2", "cell2", "v2"), "cells_met")
+    far = _far(met.select("grp1", "grp2").distinct(), bases)
+    far = settle(far.select("grp1", "grp2", (F.lit(q) * F.col("far")).alias("far")), "far")
+    able = met.join(far, ["grp1", "grp2"]).where("v1 + v2 >= far").select("h", "grp1", "cell1", "grp2", "cell2", "far")
+    x, y = (rows.select("h", *[F.col(c).alias(f"{c}{k}") for c in ("grp", "cell", "cls", "n", "pos", "v")]) for k in "12")
+    pairs = able.join(x, ["h", "grp1", "cell1"]).join(y, ["h", "grp2", "cell2"]).where("v1 + v2 >= far").where(_may_begin("n1", "n2", "pos1", "pos2", percent))
+    out = settle(pairs.select(F.least("cls1", "cls2").alias("a"), F.greatest("cls1", "cls2").alias("b")).distinct(), "pairs")
+    drop_settled(rows, cells, met, far)
     return out
 
 
@@ -341,7 +449,7 @@ def _within_groups(items: DataFrame, percent: int) -> list[DataFrame]:
         again = _grouped(many.select("key", "cls")).withColumnRenamed("grp", "sub")
         parent = many.select("cls", "grp").distinct()
         below = again.join(parent, "cls").join(apart.select("grp", "cls", "n", "d"), ["grp", "cls"])
-        items = _apart(settle(below.select(F.xxhash64("grp", "sub").alias("grp"), "cls", "n", F.col("d").alias("s")), "items"))
+        items, _ = _apart(settle(below.select(F.xxhash64("grp", "sub").alias("grp"), "cls", "n", F.col("d").alias("s")), "items"))
         drop_settled(apart, placed)
 
 
@@ -352,6 +460,11 @@ def similar_pairs(docs: DataFrame, k: int = 5, percent: int = 80, common_from: i
     Equal sets are one class; n_links counts the other rows that a row links with, its class's own among them. A row
     with the empty set has no class and no links. A group of n sets that all link has n * (n - 1) / 2 pairs.
     """
+    with modest_batches(docs.sparkSession):
+        return _similar_pairs(docs, k, percent, common_from, fragments)
+
+
+def _similar_pairs(docs: DataFrame, k: int, percent: int, common_from: int, fragments: int) -> tuple[DataFrame, DataFrame]:
     docs, common, slim, live = _prepared(docs, k, percent, common_from)
     pairs = settle(_met(live, percent), "pairs")
     ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
@@ -378,6 +491,11 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, common_from:
     empty result. Texts are read three times, whole, and nothing of all texts is gathered: what is broadcast are bitmaps
     of bounded size. Sets and n-grams are told apart by 64-bit hashes (n-grams by 62 bits where they are paired).
     """
+    with modest_batches(docs.sparkSession):
+        return _similar_classes(docs, k, percent, common_from, fragments, keep)
+
+
+def _similar_classes(docs: DataFrame, k: int, percent: int, common_from: int, fragments: int, keep: tuple[str, ...]) -> DataFrame:
     docs, common, slim, live = _prepared(docs, k, percent, common_from, keep)
     pairs = settle(_met(live.where(F.col("c") <= FEW), percent), "pairs")
     grouped = settle(_grouped(live.where(F.col("c") > FEW).select(F.col("h").alias("key"), "cls")), "groups")
@@ -387,13 +505,17 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, common_from:
     if not grouped.isEmpty():
         whole = segments.join(grouped, "cls").groupBy("grp", "cls", "n").agg(F.flatten(F.collect_list("seg")).alias("s"))
         items = settle(whole, "items")
-        apart = _apart(items)
-        # Groups without a base: their lists are paired as they are, where an n-gram can be a pair's first.
-        alone = apart.where("stuck").select("cls").distinct()
-        rest = settle(_met(live.where(F.col("c") > FEW).join(alone, "cls", "left_semi"), percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        links.append(_verified(rest, segments, percent))
+        apart, _ = _apart(items)
         links += _within_groups(apart.where("not stuck"), percent)
-        drop_settled(items, apart, rest)
+        mixed = items.join(apart.where("stuck").select("cls"), "cls", "left_semi").select("cls", "n", "s")
+        if not mixed.isEmpty():
+            lists = live.where(F.col("c") > FEW).join(mixed.select("cls"), "cls", "left_semi")
+            parts, bases = _merged(lists, mixed, *_parted(lists, mixed), percent)
+            between = _between_parts(lists, parts, bases, percent)
+            links.append(_verified(between.join(pairs, ["a", "b"], "left_anti"), segments, percent))
+            links += _within_groups(parts.withColumn("stuck", F.lit(False)), percent)
+            drop_settled(parts, bases, between)
+        drop_settled(items, apart)
     every = links[0]
     for x in links[1:]:
         every = every.unionByName(x)

@@ -216,8 +216,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, p
     each on its own; without labels the lexicons' built-in rates hold. Empty tables give no rows; columns that are not in
     keep are ignored, and keep may name a column as a result only if it is not one of the result's own.
     """
-    modest_batches(docs.sparkSession)
-    lexicon, _, w = fit(docs, labels, parts, fit_most)
+    with modest_batches(docs.sparkSession):
+        lexicon, _, w = fit(docs, labels, parts, fit_most)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("scored_text"), *[F.col(f"`{c}`") for c in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

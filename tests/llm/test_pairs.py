@@ -87,3 +87,68 @@ def test_two_groups_that_share_a_passage(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "FEW_WITHIN", 8)
     got = {r.doc_id: r.component_id for r in jaccard_join.similar_classes(docs, k=5, percent=80, common_from=1000).collect()}
     assert got == want and max(Counter(want.values()).values()) > 10
+
+
+def linked_clusters(rng, each, k=5):
+    """k clusters of `each` near copies of a 60-word base, with three texts between each two: half of either base."""
+    words = [f"w{i}" for i in range(2000)]
+    bases, rows = [rng.choices(words, k=60) for _ in range(k)], []
+    for base in bases:
+        for _ in range(each):
+            t = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                t[rng.randrange(60)] = rng.choice(words)
+            rows.append(t)
+    for x, y in zip(bases, bases[1:]):
+        for j in range(3):
+            rows.append([*x[:30], f"own{j}", *y[30:]])
+    rng.shuffle(rows)
+    return [(i, " ".join(t)) for i, t in enumerate(rows)]
+
+
+def compared(monkeypatch):
+    """Counts the pairs whose sets are compared, and the pairs of bases."""
+    counts = Counter()
+    verified, within, between = jaccard_join._verified, jaccard_join._within_groups, jaccard_join._between_parts
+
+    def count_verified(pairs, *rest):
+        counts["pairs"] += pairs.count()
+        return verified(pairs, *rest)
+
+    def count_within(*args):
+        found = within(*args)
+        counts["links"] += sum(x.count() for x in found)
+        return found
+
+    monkeypatch.setattr(jaccard_join, "_verified", count_verified)
+    monkeypatch.setattr(jaccard_join, "_within_groups", count_within)
+    return counts
+
+
+def test_linked_clusters_are_joined_without_their_square(spark, monkeypatch):
+    found = {}
+    for each in (40, 160):
+        rows = linked_clusters(random.Random(each), each)
+        counts = compared(monkeypatch)
+        got = jaccard_join.similar_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), k=4, percent=85)
+        assert {r.doc_id: r.component_id for r in got.collect()} == roots_by_force(rows, 4, 85)
+        monkeypatch.undo()
+        found[each] = counts["pairs"] + counts["links"]
+    assert found[160] <= 4.5 * found[40] and found[160] < 12 * 5 * 160
+
+
+def test_clusters_that_chain_across_parts(spark):
+    """Bases at rising distance of each other, so that members of different parts link."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    base, rows = rng.choices(words, k=120), []
+    for _ in range(6):
+        for _ in range(25):
+            t = list(base)
+            for _ in range(rng.randint(0, 3)):
+                t[rng.randrange(120)] = rng.choice(words)
+            rows.append(t)
+        base = [*base[:80], *rng.choices(words, k=40)] if rng.random() < 0.5 else [rng.choice(words) if i % 23 == 0 else w for i, w in enumerate(base)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(rows)]
+    got = jaccard_join.similar_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), k=4, percent=80)
+    assert {r.doc_id: r.component_id for r in got.collect()} == roots_by_force(rows, 4, 80)
