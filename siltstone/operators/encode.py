@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
-import unicodedata
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,18 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.operators.bpe import apply_merges, bpe_encode, learn_merges, pre_tokens, train_bpe  # noqa: F401
 from siltstone.sources.tables import numbered
 
 #: Characters that the word tokenizer takes for spaces.
 PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n'
 OOV = 1
 CLS, SEP, PAD = 2, 3, 0
-#: The tokens that a byte-pair vocabulary begins with.
-SPECIALS = (
-    "[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", "<claim>", "<location>", "<incident_type>", "<label>", "<fraud_indicators>", "<statement>",
-    "<insured_driver>", "<third_party_driver>", "<insurance_adjuster>", "<witness>", "<police_report>", "<expert_report>", "<vehicle>", "<speed>", "<none>", "<sep_stmt>",
-)
-
 
 def words(c: Column | str) -> Column:
     """Lower-case words between punctuation and spaces."""
@@ -128,144 +120,3 @@ def softmax(logits: Column) -> Column:
 def argmax(values: Column) -> Column:
     """The place of the largest value, from 0; the first of equals."""
     return F.array_position(values, F.array_max(values)) - 1
-
-
-def pre_tokens(x: str | None) -> list[str]:
-    """NFKC, split at white space and around punctuation."""
-    out: list[str] = []
-    word = ""
-    for ch in unicodedata.normalize("NFKC", x or ""):
-        if ch.isspace() or unicodedata.category(ch)[0] in "PS":
-            out += [word] if word else []
-            out += [] if ch.isspace() else [ch]
-            word = ""
-        else:
-            word += ch
-    return out + ([word] if word else [])
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) -> (w, n): pre-tokens with their number, after some ten thousand kinds each time."""
-    held: Counter[str] = Counter()
-
-    def flush() -> pa.RecordBatch:
-        out = pa.record_batch([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["w", "n"])
-        held.clear()
-        return out
-
-    for batch in batches:
-        for i in range(batch.num_rows):
-            held.update(pre_tokens(batch.column(0)[i].as_py()))
-            if len(held) > 50_000:
-                yield flush()
-    if held:
-        yield flush()
-
-
-def learn_merges(words_: pa.ChunkedArray, counts: np.ndarray, vocab_size: int, least: int = 1, specials: Sequence[str] = SPECIALS) -> list[tuple[str, str]]:
-    """Byte-pair merges of distinct words with their counts, until specials, characters and merged tokens are vocab_size
-    or no pair is seen `least` times. Ids go to specials, then characters by code point, then merged tokens; ties go to
-    the pair of smaller ids. Counts are kept up to date pair by pair; places of pairs that are gone drop out when met."""
-    lengths = np.concatenate([pc.utf8_length(x).to_numpy(zero_copy_only=False) for x in words_.chunks] or [np.zeros(0)]).astype(np.int64)
-    chars = np.concatenate([np.frombuffer("".join(x.to_pylist()).encode("utf-32-le"), np.uint32) for x in words_.chunks] or [np.zeros(0, np.uint32)])
-    alphabet, sym = np.unique(chars, return_inverse=True)
-    del chars
-    tokens = [*specials, *(chr(x) for x in alphabet.tolist())]
-    ids = {t: i for i, t in enumerate(tokens)}
-    sym = (sym + len(specials)).astype(np.int32)
-    of = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-    n, wide = len(sym), 1 << 31
-    before, after = np.arange(-1, n - 1, dtype=np.int32), np.arange(1, n + 1, dtype=np.int32)
-    edge = np.cumsum(lengths)[lengths > 0]
-    before[np.concatenate(([0], edge[:-1]))[: len(edge)]] = -1
-    after[edge - 1] = -1
-    total: dict[int, int] = {}
-    places: dict[int, list[np.ndarray]] = {}
-    queue: list[tuple[int, int]] = []
-
-    def add(keys: np.ndarray, at: np.ndarray) -> None:
-        order = np.argsort(keys, kind="stable")
-        keys, at = keys[order], at[order]
-        cut = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1)) if len(keys) else np.zeros(0, np.int64)
-        sums = np.add.reduceat(counts[of[at]], cut).tolist() if len(keys) else []
-        for key, s, i, j in zip(keys[cut].tolist(), sums, cut.tolist(), [*cut[1:].tolist(), len(keys)]):
-            total[key] = total.get(key, 0) + s
-            places.setdefault(key, []).append(at[i:j].copy())
-            heapq.heappush(queue, (-total[key], key))
-
-    at = np.flatnonzero(after >= 0).astype(np.int32)
-    add(sym[at].astype(np.int64) * wide + sym[after[at]], at)
-    out: list[tuple[str, str]] = []
-    while queue and len(tokens) < vocab_size:
-        seen, key = heapq.heappop(queue)
-        if -seen != total.get(key, 0):
-            if total.get(key, 0) > 0:
-                heapq.heappush(queue, (-total[key], key))
-            continue
-        if -seen < max(least, 1):
-            break
-        a, b = divmod(key, wide)
-        at = np.unique(np.concatenate(places.pop(key)))
-        at = at[(sym[at] == a) & (after[at] >= 0)]
-        at = at[sym[after[at]] == b]
-        if a == b and len(at):  # of a row of equal tokens, every second one begins a pair
-            first = np.concatenate(([True], after[at[:-1]] != at[1:]))
-            place = np.arange(len(at))
-            at = at[(place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0]
-        total.pop(key)
-        out.append((tokens[a], tokens[b]))
-        joined = tokens[a] + tokens[b]
-        new = ids.setdefault(joined, len(tokens))
-        if new == len(tokens):
-            tokens.append(joined)
-        right = after[at]
-        left, following = before[at], after[right]
-        inner = np.isin(following, at)  # the pair there is also the one before the next place
-        l, r = left >= 0, (following >= 0) & ~inner
-        gone = np.concatenate((sym[left[l]].astype(np.int64) * wide + a, b * wide + sym[following[r]].astype(np.int64)))
-        weight = counts[of[np.concatenate((at[l], at[r]))]]
-        sym[at], sym[right] = new, -1
-        after[at] = following
-        before[following[following >= 0]] = at[following >= 0]
-        kinds, back = np.unique(gone, return_inverse=True)
-        less = np.zeros(len(kinds), np.int64)
-        np.add.at(less, back, weight)
-        for k, s in zip(kinds.tolist(), less.tolist()):
-            if k in total:
-                total[k] -= s
-        left = before[at]
-        add(np.concatenate((sym[left[l]].astype(np.int64) * wide + new, new * wide + sym[following[r]].astype(np.int64))), np.concatenate((left[l], at[r])))
-    return out
-
-
-def train_bpe(docs: DataFrame, vocab_size: int = 20_000, least: int = 1) -> list[tuple[str, str]]:
-    """Byte-pair merges of docs' (text) words: all distinct words are gathered with their counts, as flat arrays."""
-    counts = docs.select("text").mapInArrow(_count_words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
-    return learn_merges(counts.column("w"), counts.column("n").to_numpy(), vocab_size, least)
-
-
-def apply_merges(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
-    parts = list(word)
-    while len(parts) > 1:
-        rank, i = min((ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:])))
-        if rank == 1 << 60:
-            break
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return parts
-
-
-def bpe_encode(docs: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
-    """docs (id, text) -> (id, tokens)."""
-    ranks = {p: i for i, p in enumerate(merges)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[str]] = {}
-        for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                part = batch.slice(i, 128)
-                if len(known) > 50_000:
-                    known.clear()
-                rows = [[t for w in pre_tokens(x) for t in (known.get(w) or known.setdefault(w, apply_merges(w, ranks)))] for x in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), pa.array(rows, pa.list_(pa.string()))], ["id", "tokens"])
-
-    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, tokens array<string>")
