@@ -6,16 +6,13 @@ n-gram leave enough to share. For candidates the order is cut into fragments, th
 intersected apart, and the partial counts are summed by pair.
 
 Texts with one and the same set are one class and are never paired. Lists of an n-gram with few classes are paired as
-they are. Classes that meet in longer lists are a group, and a group is joined by differences (_within_groups): B are the
-n-grams that most of the group have, D = x ^ B what a set x differs by. As |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|, the pairs
-that need nothing of Dx & Dy are known from sizes alone, and a link to the class nearest to B stands for all of them; the
-others share an element of D, and D is small where sets are near copies. So the work follows the group's size, not its
-square, and no pair that could join two components is left out.
-
-A group in which nothing is in most sets (clusters that texts between them link) is parted: each long list has a hub, and
-each class goes with the hub that most of its lists have (_parted). Pairs within a part are joined as above, by the part's
-own B. For pairs of two parts |x ^ y| >= |B1 ^ B2| - |Dx| - |Dy|: where members of like distance from their B cannot come
-near enough by this, none of them are paired (_between_parts).
+they are. Each longer list has a hub, a class that is in many lists; each class goes with the hub of most of its lists,
+and where two hubs are near, their parts become one (_parted, _merged). Sets are then differences from their hub's:
+D = x ^ B. Within a part |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|, so the pairs that need nothing of Dx & Dy are known from
+sizes alone, and a link to the class nearest to B stands for all of them; the others share an element of D, and D is small
+where sets are near copies (_within_groups). For pairs of two parts |x ^ y| >= |B1 ^ B2| - |Dx| - |Dy|: members of like
+distance from their hubs are compared as one, and only those that can come near enough are paired (_between_parts). So the
+work follows the number of classes, not its square, and no pair that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -35,7 +32,7 @@ from siltstone.llm.wordarrays import BY_SPACE, mix, shingle_sets, span_hashes, s
 FLUSH = 1 << 20
 #: Classes in a list that are paired directly; longer lists make groups. The same within a group.
 FEW, FEW_WITHIN = 16, 256
-#: Hubs that a class tries before it is a part of its own.
+#: Turns in which a class looks for a hub before it is its own.
 HUBS = 3
 #: Classes of a list to a key, where lists are joined with themselves.
 LIST_ROWS = 1024
@@ -295,74 +292,83 @@ def _by_group(left: DataFrame, right: DataFrame, salt: str = "cls") -> DataFrame
     return left.withColumn("salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(every, ["grp", "salt"], "left").drop("salt")
 
 
-def _apart(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items (grp, cls, n, s) with d, s's difference from what most of the group have, and whether that is of use: where
-    it does not halve the sets (few or no elements are in most of them), d is s and stuck is true; the groups' bases
-    (grp, b))."""
+def _apart(items: DataFrame, less: int = 2) -> DataFrame:
+    """items (grp, cls, n, s) with d, s's difference from what most of the group have, and whether that is of use: where
+    it does not make the sets `less` times smaller in all (few or no elements are in most of them), d is s and stuck is
+    true."""
     counts = items.select("grp", F.explode("s").alias("e")).groupBy("grp", "e").agg(F.count(F.lit(1)).alias("c"))
     sizes = items.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.sum(F.size("s")).alias("all"))
     # What the differences have in all, from counts alone.
     split = F.col("c") * 2 > F.col("size")
     known = settle(_by_group(counts, sizes, "e").withColumn("most", split), "counts")
     total = known.groupBy("grp", "all").agg(F.sum(F.when(F.col("most"), F.col("size") - F.col("c")).otherwise(F.col("c"))).alias("rest"))
-    base = _by_group(known.where("most").select("grp", "e"), total.where("2 * rest <= all").select("grp", F.lit(True).alias("use")), "e").where("use").groupBy("grp").agg(F.collect_list("e").alias("b"))
-    base = settle(base, "bases")
+    base = _by_group(known.where("most").select("grp", "e"), total.where(F.lit(less) * F.col("rest") <= F.col("all")).select("grp", F.lit(True).alias("use")), "e").where("use").groupBy("grp").agg(F.collect_list("e").alias("b"))
     moved = F.when(F.col("b").isNull(), F.col("s")).otherwise(F.concat(F.array_except("s", "b"), F.array_except("b", "s")))
     out = settle(_by_group(items, base).select("grp", "cls", "n", moved.alias("d"), F.col("b").isNull().alias("stuck")), "apart")
     drop_settled(known)
-    return out, base
+    return out
+
+
+def _differences(items: DataFrame, homes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(grp, cls, n, d): the difference d of each class (cls, n, s) of homes (cls, grp) from the set of the class grp."""
+    hubs = sets.select(F.col("cls").alias("grp"), F.col("s").alias("b"))
+    named = items.join(homes, "cls")
+    every = hubs.join(homes.select("grp").distinct(), "grp", "left_semi")
+    both = _by_group(named, every)
+    return both.select("grp", "cls", "n", F.concat(F.array_except("s", "b"), F.array_except("b", "s")).alias("d"))
 
 
-def _parted(live: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """live (h, c, cls, ...) of long lists, items (cls, n, s) of groups without a base -> (classes (grp, cls, n, d), bases
-    (grp, b)) of parts that have one: in turns, each with other hubs, classes go with the hub that most of their lists
-    have; what is in no part with a base after HUBS turns is a part of its own."""
-    lists = settle(live.select("h", "c", "cls").join(items.select("cls"), "cls", "left_semi"), "lists")
-    done, bases = [], []
+def _parted(live: DataFrame, items: DataFrame) -> DataFrame:
+    """live (h, c, cls, ...) of long lists, items (cls, n, s) of their classes -> (grp, cls, n, d): each class with a hub,
+    grp, and what it differs by. A list's hub is the class that is in most lists; a class goes with the hub of most of its
+    lists. Those that differ by more than half try others, and after HUBS turns are hubs of their own."""
+    lists, sets, done = settle(live.select("h", "c", "cls"), "lists"), items, []
     for turn in range(HUBS):
-        hubs = _every(lists.groupBy("h", "c").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "cls"), "cls")).getField("cls").alias("hub")))
-        votes = _spread(lists, "cls").join(hubs, ["h", "salt"]).groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("v"))
-        homes = votes.groupBy("cls").agg(F.max(F.struct("v", "hub")).getField("hub").alias("hub"))
-        apart, base = _apart(settle(items.join(homes, "cls").select(F.xxhash64(F.lit(turn), "hub").alias("grp"), "cls", "n", "s"), "items"))
-        done.append(apart.where("not stuck").select("grp", "cls", "n", "d"))
-        bases.append(base)
-        rest = apart.where("stuck").select("cls")
-        items = items.join(rest, "cls", "left_semi")
+        often = lists.groupBy("cls").agg(F.count(F.lit(1)).alias("lists"))
+        best = F.max(F.struct("lists", F.xxhash64(F.lit(turn), "cls"), "cls")).getField("cls")
+        hubs = _every(lists.join(often, "cls").groupBy("h", "c").agg(best.alias("grp")))
+        votes = _spread(lists, "cls").join(hubs, ["h", "salt"]).groupBy("cls", "grp").agg(F.count(F.lit(1)).alias("v"))
+        homes = settle(votes.groupBy("cls").agg(F.max(F.struct("v", F.col("cls") == F.col("grp"), "grp")).getField("grp").alias("grp")), "homes")
+        # A hub stays with itself where others come to it.
+        chosen = homes.select("grp").distinct().select(F.col("grp").alias("cls"), F.col("grp").alias("own"))
+        homes = homes.join(chosen, "cls", "left").select("cls", F.coalesce("own", "grp").alias("grp"))
+        apart = settle(_differences(items, homes, sets).withColumn("near", 2 * F.size("d") <= F.col("n")), "apart")
+        done.append(apart.where("near").drop("near"))
+        rest = apart.where("not near").select("cls")
         if rest.isEmpty():
             break
+        items = items.join(rest, "cls", "left_semi")
         lists = settle(lists.join(rest, "cls", "left_semi"), "lists")
-    own = F.xxhash64(F.lit(HUBS), "cls").alias("grp")
-    done.append(items.select(own, "cls", "n", F.array().cast("array<long>").alias("d")))
-    bases.append(items.select(own, F.col("s").alias("b")))
-    every, all_bases = done[0], bases[0]
-    for x, b in zip(done[1:], bases[1:], strict=True):
-        every, all_bases = every.unionByName(x), all_bases.unionByName(b)
-    return settle(every, "parts"), settle(all_bases, "bases")
-
-
-def _merged(live: DataFrame, items: DataFrame, parts: DataFrame, bases: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """parts and bases, where parts that meet in a list and whose bases would link are one part: each goes to the largest
-    such part that is larger than itself, if that stays and the two have a base together."""
+    else:
+        done.append(items.select(F.col("cls").alias("grp"), "cls", "n", F.array().cast("array<long>").alias("d")))
+    every = done[0]
+    for x in done[1:]:
+        every = every.unionByName(x)
+    return settle(every, "parts")
+
+
+def _merged(live: DataFrame, items: DataFrame, parts: DataFrame, bases: DataFrame) -> DataFrame:
+    """parts, where parts that meet in a list and whose hubs differ by half their sets at most are one: each goes to the
+    largest such part that is larger than itself, if that stays."""
     homes = settle(live.select("h", "cls").join(parts.select("cls", "grp"), "cls").select("h", "grp").distinct(), "homes")
     counted = homes.join(homes.groupBy("h").agg(F.count(F.lit(1)).alias("c")), "h")
     met = _spread(counted.withColumnRenamed("grp", "grp1"), "grp1").join(_every(counted.withColumnRenamed("grp", "grp2")), ["h", "salt"])
     far = _far(met.where("grp1 < grp2").select("grp1", "grp2").distinct(), bases)
-    near = settle(far.where(F.lit(100 + percent) * F.col("far") <= F.lit(100 - percent) * F.col("both")).select("grp1", "grp2"), "near")
+    near = settle(far.where(4 * F.col("far") <= F.col("both")).select("grp1", "grp2"), "near")
     sizes = parts.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
     ways = near.unionByName(near.select(F.col("grp2").alias("grp1"), F.col("grp1").alias("grp2")))
     best = ways.join(sizes.withColumnRenamed("grp", "grp2"), "grp2").groupBy(F.col("grp1").alias("grp")).agg(F.max(F.struct("size", F.col("grp2").alias("to"))).alias("best"))
     moves = settle(best.join(sizes, "grp").where("best > named_struct('size', size, 'to', grp)").select("grp", F.col("best.to").alias("to")), "moves")
     moves = moves.join(moves.select(F.col("grp").alias("to")), "to", "left_anti")
-    moves = settle(moves.unionByName(moves.select(F.col("to").alias("grp"), "to").distinct()), "moves")
+    moved = settle(parts.select("cls", "grp").join(moves, "grp").select("cls", F.col("to").alias("grp")), "moved")
     drop_settled(homes, near)
-    if moves.isEmpty():
-        return parts, bases
-    moved = parts.select("cls", "grp").join(moves, "grp").select("cls", F.col("to").alias("grp"))
-    apart, base = _apart(settle(items.join(moved, "cls").select("grp", "cls", "n", "s"), "items"))
-    good = apart.where("not stuck").select("grp", "cls", "n", "d")
-    gone = moves.join(base.select(F.col("grp").alias("to")), "to", "left_semi").select("grp")
-    every = settle(parts.join(good.select("cls"), "cls", "left_anti").unionByName(good), "parts")
-    return every, settle(bases.join(gone, "grp", "left_anti").unionByName(base), "bases")
+    again = _differences(items, moved, items)
+    return settle(parts.join(moved.select("cls"), "cls", "left_anti").unionByName(again), "parts")
+
+
+def _bases(items: DataFrame, parts: DataFrame) -> DataFrame:
+    """(grp, b): the hubs' sets."""
+    return items.join(parts.select(F.col("grp").alias("cls")).distinct(), "cls", "left_semi").select(F.col("cls").alias("grp"), F.col("s").alias("b"))
 
 
 def _far(pairs: DataFrame, bases: DataFrame) -> DataFrame:
@@ -449,7 +455,7 @@ def _within_groups(items: DataFrame, percent: int) -> list[DataFrame]:
         again = _grouped(many.select("key", "cls")).withColumnRenamed("grp", "sub")
         parent = many.select("cls", "grp").distinct()
         below = again.join(parent, "cls").join(apart.select("grp", "cls", "n", "d"), ["grp", "cls"])
-        items, _ = _apart(settle(below.select(F.xxhash64("grp", "sub").alias("grp"), "cls", "n", F.col("d").alias("s")), "items"))
+        items = _apart(settle(below.select(F.xxhash64("grp", "sub").alias("grp"), "cls", "n", F.col("d").alias("s")), "items"))
         drop_settled(apart, placed)
 
 
@@ -498,29 +504,26 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, common_from:
 def _similar_classes(docs: DataFrame, k: int, percent: int, common_from: int, fragments: int, keep: tuple[str, ...]) -> DataFrame:
     docs, common, slim, live = _prepared(docs, k, percent, common_from, keep)
     pairs = settle(_met(live.where(F.col("c") <= FEW), percent), "pairs")
-    grouped = settle(_grouped(live.where(F.col("c") > FEW).select(F.col("h").alias("key"), "cls")), "groups")
-    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(grouped.select("cls"))
+    long = live.where(F.col("c") > FEW)
+    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(long.select("cls"))
     segments = _fetched(ends, docs, k, common, fragments)
     links = [_verified(pairs, segments, percent)]
-    if not grouped.isEmpty():
-        whole = segments.join(grouped, "cls").groupBy("grp", "cls", "n").agg(F.flatten(F.collect_list("seg")).alias("s"))
+    if not long.isEmpty():
+        whole = segments.join(long.select("cls").distinct(), "cls", "left_semi").groupBy("cls", "n").agg(F.flatten(F.collect_list("seg")).alias("s"))
         items = settle(whole, "items")
-        apart, _ = _apart(items)
-        links += _within_groups(apart.where("not stuck"), percent)
-        mixed = items.join(apart.where("stuck").select("cls"), "cls", "left_semi").select("cls", "n", "s")
-        if not mixed.isEmpty():
-            lists = live.where(F.col("c") > FEW).join(mixed.select("cls"), "cls", "left_semi")
-            parts, bases = _merged(lists, mixed, *_parted(lists, mixed), percent)
-            between = _between_parts(lists, parts, bases, percent)
-            links.append(_verified(between.join(pairs, ["a", "b"], "left_anti"), segments, percent))
-            links += _within_groups(parts.withColumn("stuck", F.lit(False)), percent)
-            drop_settled(parts, bases, between)
-        drop_settled(items, apart)
+        parts = _parted(long, items)
+        parts = _merged(long, items, parts, _bases(items, parts))
+        between = _between_parts(long, parts, _bases(items, parts), percent)
+        links.append(_verified(between.join(pairs, ["a", "b"], "left_anti"), segments, percent))
+        # What most of a part differ from their hub by is the hub's own: without it they differ by less.
+        centred = _apart(parts.select("grp", "cls", "n", F.col("d").alias("s")), less=1)
+        links += _within_groups(centred.withColumn("stuck", F.lit(False)), percent)
+        drop_settled(items, parts, between, centred)
     every = links[0]
     for x in links[1:]:
         every = every.unionByName(x)
     roots = settle(connected_components(every), "roots")
-    drop_settled(live, pairs, grouped, segments, *links)
+    drop_settled(live, pairs, segments, *links)
 
     classes = slim.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
