@@ -32,6 +32,14 @@ def concat_sources(spark, d):
     return both.groupBy("origin").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def json_array(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    at = tables.new_dir(spark, "json_array")
+    tables.write_json_list(docs, at, "doc_id", "text", one_file=True)
+    return tables.read_json_array(spark, at, docs.schema)
+
+
 @query("SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_custkey % 4 <> 0)) WHERE n >= 5 AND n < 105")
 def resume_anti_join(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.concat(F.lit(" "), F.col("c_custkey").cast("string")).alias("key"))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from siltstone.sources.json_array import read_json_array
+
 
 #: Temporary folders of local applications.
 _OWN: dict[str, str] = {}
@@ -28,9 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def new_dir(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again, which ends its lineage."""
-    at = f"{shared_dir(df.sparkSession)}/siltstone/{name}-{uuid.uuid4().hex}"
+    at = new_dir(df.sparkSession, name)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
@@ -49,11 +55,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """A file that is one JSON list of objects; anything else stops the query."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-
-
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, strict: bool = True) -> DataFrame:
     """A JSON object a line, blank lines skipped. A bad line stops the query, or, not strict, gives a row of nulls;
     bad_lines says where they are."""
@@ -140,15 +141,17 @@ def json_list(df: DataFrame, order: str) -> DataFrame:
     return df.groupBy().agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*df.columns).alias("r")))), lambda x: x["r"])).alias("value"))
 
 
-def write_json_list(df: DataFrame, path: str, *order: str) -> None:
-    """Text files that, one after another by name, are one JSON list of the rows in order; no rows are an empty list."""
+def write_json_list(df: DataFrame, path: str, *order: str, one_file: bool = False) -> None:
+    """Text files that, one after another by name, are one JSON list of the rows in order; no rows are an empty list.
+    one_file: a single file, which one task writes."""
     rows = numbered(df, *order, name="_n")
     last = rows.agg(F.max("_n")).first()[0]
     if last is None:
         df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
         return
     value = F.concat(F.when(F.col("_n") == 0, "[").otherwise(""), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])), F.when(F.col("_n") == last, "]").otherwise(","))
-    rows.select("_n", value.alias("value")).repartitionByRange("_n").sortWithinPartitions("_n").select("value").write.mode("overwrite").text(path)
+    listed = rows.select("_n", value.alias("value"))
+    (listed.repartition(1) if one_file else listed.repartitionByRange("_n")).sortWithinPartitions("_n").select("value").write.mode("overwrite").text(path)
 
 
 def last_by_key(df: DataFrame, key: str, position: str) -> DataFrame:
