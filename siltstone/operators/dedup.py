@@ -2,11 +2,15 @@
 
 The greedy rules ("drop a row if an earlier row that was kept has its id or fingerprint", "... is similar") are worked
 out in rounds over all rows: a row that comes first among what is left of everything it competes with is kept, and what
-competes with a kept row goes. No group is gathered, however large.
+competes with a kept row goes. No group is gathered, however large; what is left in the end, if it is little, is gone
+through by one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +32,8 @@ def first_by(df: DataFrame, key: str, position: str) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(F.struct(*rest), position).alias("r")).select(key, "r.*")
 
 
+#: Rows that one task settles in order, where no more are left.
+REMAINDER = 100_000
 #: Rounds' results are written together after so many, so that plans stay small.
 MERGE = 16
 
@@ -50,6 +56,19 @@ class _Parts:
         return out
 
 
+def _kept_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (pos, id, fp) in order those whose id and fp no kept one before has."""
+    ids, fps = set(), set()
+    for batch in batches:
+        good = []
+        for i, (own, fp) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            if own not in ids and fp not in fps:
+                ids.add(own)
+                fps.add(fp)
+                good.append(i)
+        yield batch.take(pa.array(good, pa.int64()))
+
+
 def greedy_dedup(rows: DataFrame) -> DataFrame:
     """rows (pos, id, fp) -> (pos, outcome): kept, id_duplicate (a kept row before has the id) or fp_duplicate. pos tells
     rows apart and orders them; an empty or null id is no one's duplicate. Rows that were dropped register nothing."""
@@ -61,7 +80,10 @@ def greedy_dedup(rows: DataFrame) -> DataFrame:
         now = settle(left.join(ids, "id").join(fps, "fp").where("pos = mi and pos = mf").select("pos", "id", "fp"), "kept")
         found.add(now)
         left = settle(left.join(now.select("id"), "id", "left_anti").join(now.select("fp"), "fp", "left_anti").select("pos", "id", "fp"), "left")
-        if left.isEmpty():
+        size = left.count()
+        if 0 < size <= REMAINDER:  # one task goes through the rest in order
+            found.add(settle(left.repartition(1).sortWithinPartitions("pos").mapInArrow(_kept_in_order, left.schema), "kept"))
+        if size <= REMAINDER:
             break
     kept = found.all()
     by_id = kept.select("id", F.col("pos").alias("ki"))
@@ -69,23 +91,6 @@ def greedy_dedup(rows: DataFrame) -> DataFrame:
     return out.select("pos", F.when(F.col("k"), "kept").when(F.col("ki") < F.col("pos"), "id_duplicate").otherwise("fp_duplicate").alias("outcome"))
 
 
-def greedy_independent(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """nodes (pos), pairs (a, b) of similar ones -> (pos, kept): in order, a node is kept unless similar to a kept one."""
-    edges = settle(pairs.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
-    left, found = edges, _Parts()
-    while not left.isEmpty():  # each round settles at least the first node that is left
-        blocked = left.select(F.col("hi").alias("lo")).distinct()
-        free = left.select("lo").distinct().join(blocked, "lo", "left_anti")
-        gone = settle(left.join(free, "lo", "left_semi").select(F.col("hi").alias("pos")).distinct(), "gone")
-        found.add(gone)
-        left = settle(left.join(gone.select(F.col("pos").alias("lo")), "lo", "left_anti").join(gone.select(F.col("pos").alias("hi")), "hi", "left_anti"), "edges")
-        left = left.join(free, "lo", "left_anti").select("lo", "hi")
-    dropped = found.all()
-    if dropped is None:
-        return nodes.select("pos", F.lit(True).alias("kept"))
-    return nodes.join(dropped.withColumn("gone", F.lit(True)), "pos", "left").select("pos", F.col("gone").isNull().alias("kept"))
-
-
 def shingles(c: Column | str, k: int = 3) -> Column:
     """Distinct k-word shingles of lower-case words of a-z, 0-9, < and >; of fewer words the whole; of none, empty."""
     tokens = F.regexp_extract_all(normalize_text(c), F.lit("[a-z0-9<>]+"), F.lit(0))
@@ -98,26 +103,129 @@ def similar_sets(sets: DataFrame, threshold: float = 0.82) -> DataFrame:
     between different sets. Rows of one and the same set are one class, that of the smallest id; only classes are
     paired, so copies make no pairs. Candidates share one of each set's rarest shingles, as many as a similar set
     cannot all lack (exact, without a cap)."""
-    classes = sets.where(F.size("sh") > 0).withColumn("set", F.sha2(F.array_join(F.array_sort("sh"), "\n").cast("binary"), 256)).groupBy("grp", "set").agg(F.min_by(F.struct("id", "sh"), "id").alias("r")).select("grp", "r.*")
+    classes = sets.where(F.size("sh") > 0).withColumn("set", set_key("sh")).groupBy("grp", "set").agg(F.min_by(F.struct("id", "sh"), "id").alias("r")).select("grp", "r.*")
+    return _similar(classes, threshold)
+
+
+def set_key(sh: str) -> Column:
+    """One and the same text for equal sets."""
+    return F.sha2(F.array_join(F.array_sort(sh), "\n").cast("binary"), 256)
+
+
+#: Rows of a list to a key, where lists are joined with themselves.
+LIST_ROWS = 256
+
+
+def _similar(classes: DataFrame, threshold: float) -> DataFrame:
+    """classes (grp, id, sh) of different sets -> (grp, id_a, id_b, common, total). A pair's first common shingle, in the
+    order of commonness, stands early enough in both sets to leave what they must share, so pairs are only taken from
+    lists where it does; long lists are spread over keys."""
     classes = settle(classes.withColumn("sh", F.transform("sh", lambda x: F.xxhash64(x))).withColumn("n", F.size("sh")), "classes")
     rows = classes.select("grp", "id", "n", F.explode("sh").alias("h"))
     counts = rows.groupBy("grp", "h").agg(F.count(F.lit(1)).alias("df"))
     rank = F.row_number().over(Window.partitionBy("grp", "id").orderBy("df", "h"))
     prefix = rows.join(counts, ["grp", "h"]).withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).where("df > 1")
-    prefix = settle(prefix.select("grp", "id", "n", "h"), "prefix")
-    a, b = prefix.select("grp", "h", F.col("id").alias("id_a"), F.col("n").alias("na")), prefix.select("grp", "h", F.col("id").alias("id_b"), F.col("n").alias("nb"))
-    found = a.join(b, ["grp", "h"]).where("id_a < id_b").where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9).select("grp", "id_a", "id_b").distinct()
+    prefix = settle(prefix.select("grp", "id", "n", "h", (F.col("n") - F.col("rank") + 1).alias("left"), F.floor(F.col("df") / LIST_ROWS).cast("int").alias("keys")), "prefix")
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "left")]
+    a = prefix.select("grp", "h", F.pmod(F.xxhash64("id"), F.col("keys") + 1).cast("int").alias("salt"), *side("a"))
+    b = prefix.select("grp", "h", F.explode(F.sequence(F.lit(0), "keys")).alias("salt"), *side("b"))
+    need = threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    found = a.join(b, ["grp", "h", "salt"]).where("id_a < id_b").where(F.least("left_a", "left_b") >= need)
+    found = found.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9).select("grp", "id_a", "id_b").distinct()
     both = found.join(classes.select("grp", F.col("id").alias("id_a"), F.col("sh").alias("sa")), ["grp", "id_a"]).join(classes.select("grp", F.col("id").alias("id_b"), F.col("sh").alias("sb")), ["grp", "id_b"])
     both = both.withColumn("common", F.size(F.array_intersect("sa", "sb"))).withColumn("total", F.size("sa") + F.size("sb") - F.col("common"))
     return both.where(F.col("common") >= F.col("total") * threshold - 1e-9).select("grp", "id_a", "id_b", F.col("common").cast("long"), F.col("total").cast("long"))
 
 
+def claim_rejects(statements: DataFrame, threshold: float = 0.82) -> DataFrame:
+    """statements (pos, role, text, before) of claims in order of pos -> (pos, kept): a claim is kept unless one of its
+    statements is similar to one of the same role in a claim kept before it. Its own statements are not compared. Claims
+    with before = true were there already: they are kept, and come first. A claim without statements has no row here;
+    statements without a word are similar to none. Equal statements are one class, so copies make no pairs.
+    """
+    sets = statements.select("pos", "before", F.coalesce("role", F.lit("")).alias("grp"), shingles("text").alias("sh"))
+    sets = settle(sets.withColumn("id", F.when(F.size("sh") > 0, F.sha2(F.concat_ws("\n", "grp", set_key("sh")).cast("binary"), 256))), "sets")
+    classes = sets.where("id is not null").groupBy("grp", "id").agg(F.first("sh").alias("sh"))
+    links = _similar(classes, threshold).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    claims = sets.groupBy("pos").agg(F.max("before").alias("before"))
+    gone = greedy_rejects(sets.where("id is not null").select("pos", F.col("id").alias("cls"), "before").distinct(), links)
+    return claims.join(gone.withColumn("gone", F.lit(True)), "pos", "left").select("pos", F.col("gone").isNull().alias("kept"))
+
+
+def greedy_rejects(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members (pos, cls, before), links (a, b) between different classes -> (pos) of those rejected: in order of pos, one
+    that has a class of a kept one before it, or a class linked to such a class. Those with before = true are kept.
+
+    In rounds over all members: what comes first in the neighbourhood of each of its classes is kept, what has a class
+    there goes. A remainder of REMAINDER rows or fewer is settled by one task, so that long chains take no long rounds.
+    """
+    near = settle(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near")
+
+    def around(cls: DataFrame) -> DataFrame:
+        return cls.unionByName(cls.join(near, cls["cls"] == near["a"]).select(F.col("b").alias("cls"))).distinct()
+
+    found = _Parts()
+    kept = members.where("before").select("cls").distinct()
+    left = members.where("not before").select("pos", "cls")
+    while True:
+        hit = settle(left.join(around(kept), "cls", "left_semi").select("pos").distinct(), "rejected")
+        found.add(hit)
+        left = settle(left.join(hit, "pos", "left_anti"), "left")
+        size = left.count()
+        if not size:
+            return found.all()
+        own = near.join(left.select(F.col("cls").alias("a")).distinct(), "a", "left_semi")
+        if size <= REMAINDER and own.limit(REMAINDER + 1).count() <= REMAINDER:
+            found.add(_in_order(left, own))
+            return found.all()
+        first = left.groupBy("cls").agg(F.min("pos").alias("first"))
+        there = first.unionByName(first.join(near, first["cls"] == near["a"]).select(F.col("b").alias("cls"), "first"))
+        reach = there.groupBy("cls").agg(F.min("first").alias("reach"))
+        blocked = left.join(reach, "cls").where("reach < pos").select("pos").distinct()
+        free = settle(left.join(blocked, "pos", "left_anti"), "kept")
+        kept = free.select("cls").distinct()
+        left = left.join(free.select("pos").distinct(), "pos", "left_anti")
+
+
+def _in_order(left: DataFrame, near: DataFrame) -> DataFrame:
+    """greedy_rejects in one task, for a bounded number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        covered: set[str] = set()
+        held: list[tuple[str, list[str]]] = []
+        at, bad, out = None, False, []
+
+        def close() -> None:
+            if bad:
+                out.append(at)
+            else:
+                for cls, others in held:
+                    covered.update([cls, *others])
+
+        for batch in batches:
+            for pos, cls, others in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if pos != at:
+                    if at is not None:
+                        close()
+                    at, bad, held = pos, False, []
+                bad = bad or cls in covered
+                held.append((cls, others))
+        if at is not None:
+            close()
+        yield pa.record_batch([pa.array(out, pa.int64())], ["pos"])
+
+    others = near.groupBy(F.col("a").alias("cls")).agg(F.collect_list("b").alias("others"))
+    rows = left.join(others, "cls", "left").select(F.col("pos").cast("long").alias("pos"), "cls", F.coalesce("others", F.array().cast("array<string>")).alias("others"))
+    return rows.repartition(1).sortWithinPartitions("pos").mapInArrow(run, "pos long")
+
+
 def near_duplicates(sets: DataFrame, threshold: float = 0.82) -> DataFrame:
     """sets (id, grp, sh) -> (id, kept): in order of id a row is kept unless similar to a kept row of its group. Copies
     of a class share its fate, but for its first row."""
-    key = F.sha2(F.array_join(F.array_sort("sh"), "\n").cast("binary"), 256)
-    firsts = sets.where(F.size("sh") > 0).withColumn("set", key).groupBy("grp", "set").agg(F.min("id").alias("pos"))
-    pairs = similar_sets(sets, threshold).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    kept = greedy_independent(firsts.select("pos"), pairs)
-    out = sets.withColumn("set", key).join(kept, F.col("id") == F.col("pos"), "left")
-    return out.select("id", F.when(F.size("sh") == 0, True).otherwise(F.coalesce("kept", F.lit(False))).alias("kept"))
+    named = sets.withColumn("set", F.when(F.size("sh") > 0, F.sha2(F.concat_ws("\n", F.col("grp").cast("string"), set_key("sh")).cast("binary"), 256)))
+    firsts = settle(named.where("set is not null").groupBy("grp", "set").agg(F.min("id").alias("pos"), F.first("sh").alias("sh")), "firsts")
+    links = _similar(firsts.select("grp", F.col("set").alias("id"), "sh"), threshold).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    gone = greedy_rejects(firsts.select(F.col("pos").cast("long").alias("pos"), F.col("set").alias("cls"), F.lit(False).alias("before")), links)
+    kept = firsts.select("pos").join(gone, "pos", "left_anti").withColumn("kept", F.lit(True))
+    out = named.select("id", "set").join(kept, F.col("id") == F.col("pos"), "left")
+    return out.select("id", F.when(F.col("set").isNull(), True).otherwise(F.coalesce("kept", F.lit(False))).alias("kept"))

@@ -156,6 +156,23 @@ def near_dup_reject(spark, d):
     return dedup.near_duplicates(_sets(spark, d)).select(F.col("id").alias("doc_id"), "kept")
 
 
+_CLAIM_SETS = f"""t AS (SELECT conv_id, role, regexp_extract_all({nt('text')}, '[a-z0-9<>]+') AS t FROM s),
+sh AS MATERIALIZED (SELECT row_number() OVER () AS i, conv_id, role, list_distinct(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 3 THEN [array_to_string(t, ' ')] ELSE list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i + 2], ' ')) END) AS sh FROM t),
+e AS (SELECT i, conv_id, role, len(sh) AS n, unnest(sh) AS h FROM sh),
+x AS (SELECT x.conv_id AS a, y.conv_id AS b, x.n + y.n AS s, count(*) AS common FROM e x JOIN e y ON x.role = y.role AND x.h = y.h AND x.conv_id <> y.conv_id GROUP BY x.i, y.i, x.conv_id, y.conv_id, x.n, y.n),
+m AS MATERIALIZED (SELECT b, list(DISTINCT a) AS near FROM x WHERE common >= 0.82::DOUBLE * (s - common) - 1e-9::DOUBLE GROUP BY b),
+c AS MATERIALIZED (SELECT row_number() OVER (ORDER BY conv_id) AS i, conv_id, coalesce(near, CAST([] AS BIGINT[])) AS near FROM (SELECT DISTINCT conv_id FROM sh WHERE conv_id % 7 <> 0) LEFT JOIN m ON b = conv_id),
+g AS (SELECT CAST(0 AS BIGINT) AS i, list(DISTINCT conv_id) FILTER (conv_id % 7 = 0) AS kept FROM sh
+UNION ALL SELECT c.i, CASE WHEN list_has_any(c.near, g.kept) THEN g.kept ELSE list_append(g.kept, c.conv_id) END FROM g JOIN c ON c.i = g.i + 1),
+last AS (SELECT unnest(kept) AS conv_id FROM (SELECT kept FROM g ORDER BY i DESC LIMIT 1))"""
+
+
+@query(with_(S, _CLAIM_SETS).replace("WITH", "WITH RECURSIVE", 1) + "SELECT DISTINCT conv_id, conv_id IN (SELECT conv_id FROM last) AS kept FROM sh")
+def claim_reject(spark, d):
+    s = b.statements(spark, d).select(F.col("conv_id").cast("long").alias("pos"), "role", "text", (F.col("conv_id") % 7 == 0).alias("before"))
+    return dedup.claim_rejects(s).select(F.col("pos").alias("conv_id"), "kept")
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'dent,crack,' || (doc_id % 3) ELSE 'crack,' || (doc_id % 3) END AS value FROM documents")
 def ordered_union_distinct(spark, d):
     n = F.pmod("doc_id", F.lit(3)).cast("string")

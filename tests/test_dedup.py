@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from siltstone.operators import dedup
 
 
@@ -65,3 +67,55 @@ def test_near_duplicates(spark):
         if out[i]:
             kept.append((i, g, sh))
     assert {r.id: r.kept for r in dedup.near_duplicates(df).collect()} == out
+
+
+def jaccard(a, b):
+    words = lambda t: [w for w in "".join(c if c.isascii() and (c.isalnum() or c in "<>") else " " for c in t.lower()).split()]
+    sh = lambda w: {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
+    a, b = sh(words(a)), sh(words(b))
+    return len(a & b) / len(a | b) if a and b else 0
+
+
+def claims_in_order(statements, threshold=0.82):
+    kept, out = [], {}
+    for pos in sorted({s[0] for s in statements}, key=lambda p: (not any(s[3] for s in statements if s[0] == p), p)):
+        own = [s for s in statements if s[0] == pos]
+        out[pos] = own[0][3] or not any(s[1] == k[1] and jaccard(s[2], k[2]) >= threshold for s in own for k in kept)
+        if out[pos]:
+            kept += own
+    return out
+
+
+@pytest.mark.parametrize("remainder", [0, 100_000])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_claims_of_several_statements(spark, monkeypatch, remainder, seed):
+    monkeypatch.setattr(dedup, "REMAINDER", remainder)
+    rng = random.Random(seed)
+    base = [rng.choices([f"w{i}" for i in range(60)], k=24) for _ in range(6)]
+    rows = []
+    for pos in range(70):
+        before = rng.random() < 0.15
+        for _ in range(rng.randint(1, 3)):
+            t = list(rng.choice(base)) if rng.random() < 0.6 else rng.choices([f"v{i}" for i in range(400)], k=24)
+            for _ in range(rng.randint(0, 2)):
+                t[rng.randrange(24)] = rng.choice(["zz", "yy"])
+            rows.append((pos, rng.choice("ab"), " ".join(t) if rng.random() < 0.95 else rng.choice(["", "?", "one"]), before))
+    got = dedup.claim_rejects(spark.createDataFrame(rows, "pos long, role string, text string, before boolean"))
+    assert {r.pos: r.kept for r in got.collect()} == claims_in_order(rows)
+
+
+def test_a_long_chain_is_settled_in_order(spark):
+    n = 3000
+    members = spark.range(n).selectExpr("id as pos", "string(id) as cls", "false as before")
+    links = spark.range(n - 1).selectExpr("string(id) as a", "string(id + 1) as b")
+    assert sorted(r.pos for r in dedup.greedy_rejects(members, links).collect()) == list(range(1, n, 2))
+    rows = [(i, f"i{(i + 1) // 2}", f"f{i // 2}") for i in range(n)]
+    assert run(spark, rows) == greedy(rows)
+
+
+@pytest.mark.parametrize("remainder", [0, 7])
+def test_rounds_alone_give_the_sequential_rule(spark, monkeypatch, remainder):
+    monkeypatch.setattr(dedup, "REMAINDER", remainder)
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["", *"abcdefgh"]), rng.choice("stuvwxyz")) for i in range(40)]
+    assert run(spark, rows) == greedy(rows)
