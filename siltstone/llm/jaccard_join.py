@@ -41,7 +41,7 @@ SALTS = 32
 #: Steps of commonness; a bitmap for each.
 STEPS = 3
 #: Bytes of text to a range of n-grams that are counted together; from WIDE bytes on they are told apart by longer keys.
-RANGE_BYTES, WIDE = 32 << 20, 1 << 40
+RANGE_BYTES, WIDE = 8 << 20, 1 << 40
 U = np.uint64
 
 
