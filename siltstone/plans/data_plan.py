@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import labels, text
-from siltstone.operators import dedup, encode, metrics, pairs, sampling
+from siltstone.operators import dedup, encode, metrics, pairs, sampling, scoring
 from siltstone.plans import bindings as b
 from siltstone.plans.bindings import D, P, R, S, C, ns, nt, with_
 from siltstone.plans.claims_plan import _INC, _REL
@@ -32,6 +32,41 @@ def concat_sources(spark, d):
     return both.groupBy("origin").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT 'lines' AS source, count(*) AS n, false AS skipped FROM documents UNION ALL VALUES ('missing', NULL, true), ('broken', NULL, true)")
+def load_sources(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    good, bad = tables.new_dir(spark, "lines"), tables.new_dir(spark, "broken")
+    tables.write_jsonl(docs, good)
+    docs.select(F.when(F.pmod("doc_id", F.lit(100)) == 42, '{"doc_id": ').otherwise(F.to_json(F.struct("doc_id", "text"))).alias("value")).write.text(bad)
+    read = lambda path: lambda: tables.read_jsonl(spark, path, docs.schema)
+    rows, report = tables.load_sources(spark, {"lines": read(good), "missing": read(good + "-none"), "broken": read(bad)})
+    counted = rows.groupBy(F.col("origin").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    return report.select("source", F.col("reason").isNotNull().alias("skipped")).join(counted, "source", "left").select("source", "n", "skipped")
+
+
+def _length_model(fails: bool):
+    """A model for the query: refuses, or breaks down at, some documents in its first run."""
+
+    def load():
+        def call(rows: list[dict]) -> list:
+            if fails and any(r["doc_id"] % 50 == 7 for r in rows):
+                raise RuntimeError("overloaded")
+            return [ValueError("refused") if fails and r["doc_id"] % 50 == 9 else {"score": len(r["text"] or "") % 97} for r in rows]
+
+        return call
+
+    return load
+
+
+@query("SELECT doc_id, length(coalesce(text, '')) % 97 AS score, CASE WHEN doc_id % 50 IN (7, 9) THEN 2 ELSE 1 END AS run FROM documents")
+def model_score(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    sink, dead = tables.new_dir(spark, "scores"), tables.new_dir(spark, "dead")
+    for run in (1, 2):
+        scoring.score_missing(docs, "doc_id", _length_model(run == 1), "score long", sink, dead, ["doc_id"], run)
+    return scoring.read_scored(spark, sink, "doc_id long, score long, run int")
+
+
 @query("SELECT doc_id, text, lang, source, n_chars FROM documents")
 def json_array(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
@@ -191,6 +226,15 @@ def within_claim_pairs(spark, d):
 _POOL = f"w AS (SELECT conv_id || '-' || turn AS id, claim_id, role, {ns('text')} AS text FROM s), q AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || id), id) - 1 AS n FROM w WHERE text <> '' AND role <> '')"
 
 
+@query(with_(S, _POOL, "z AS (SELECT count(*) AS size, CAST('0x' || substr(md5('42:shift'), 1, 8) AS BIGINT) AS shift FROM q)",
+    "j AS (SELECT r * size + x.n AS t, x.id AS id_a, y.id AS id_b, x.claim_id AS claim_id_a, y.claim_id AS claim_id_b, least(x.text, y.text) AS u, greatest(x.text, y.text) AS v FROM q x, z, range(6) AS o(r), q y WHERE y.n = (x.n + 1 + (r + shift) % (size - 1)) % size AND x.claim_id <> y.claim_id AND r * size + x.n < greatest(50 * size, 1000))",
+    "k AS (SELECT *, row_number() OVER (PARTITION BY u, v ORDER BY t) AS first FROM j)", "l AS (SELECT *, row_number() OVER (ORDER BY t) AS i FROM k WHERE first = 1)") + "SELECT 'NEUTRAL-' || lpad(CAST(i AS VARCHAR), 6, '0') AS pair_id, id_a, id_b, claim_id_a, claim_id_b FROM l, z WHERE i <= size")
+def neutral_sample(spark, d):
+    s = b.statements(spark, d).select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"), "claim_id", "role", text.normalize_space("text").alias("text"))
+    n = s.where((F.col("text") != "") & (F.col("role") != "")).count()
+    return pairs.neutral_sample(s, n).select("pair_id", "id_a", "id_b", "claim_id_a", "claim_id_b")
+
+
 @query(with_(S, _POOL, "j AS (SELECT x.n, t.step, x.id AS id_a, y.id AS id_b, x.claim_id AS claim_id_a, y.claim_id AS claim_id_b, least(x.text, y.text) AS u, greatest(x.text, y.text) AS v FROM q x, (VALUES (1), (2), (3)) AS t(step), q y WHERE x.n + t.step = y.n AND x.claim_id <> y.claim_id)", "k AS (SELECT *, row_number() OVER (PARTITION BY u, v ORDER BY step, n) AS r FROM j)") + "SELECT id_a, id_b, claim_id_a, claim_id_b, step FROM k WHERE r = 1")
 def neutral_pairs(spark, d):
     s = b.statements(spark, d).select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"), "claim_id", "role", text.normalize_space("text").alias("text"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TAGGED = "image string, file_path string, damage_types array<string>, raw array<struct<tag:string,score:double>>"
+from siltstone.operators.scoring import score
+
+TAGS = "damage_types array<string>, raw array<struct<tag:string,score:double>>"
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -22,21 +23,35 @@ def stored_path(case_id: str, name: str):
     return F.concat(F.lit("uploads/case_"), F.col(case_id).cast("string"), F.lit("_"), F.col(name))
 
 
-def tag_images(images: DataFrame, tagger: Callable[[bytes], list[tuple[str, float]]], threshold: float) -> DataFrame:
-    """images (image, case_id, name, content) -> (image, file_path, damage_types, raw). tagger gives an image's (tag, score)
-    pairs; damage_types are the tags of threshold or more, each once, in the tagger's order. No content gives no tags."""
+def tag_batches(images: DataFrame, load: Callable[[], Callable[[list[bytes]], list[list[tuple[str, float]]]]], threshold: float, rows: int = 16, tries: int = 1) -> DataFrame:
+    """images (image, case_id, name, content) -> (image, file_path, damage_types, raw, reason). load builds a tagger, once
+    in a worker, that gives the (tag, score) pairs of each of a list of images, `rows` of them and 8 MB at most;
+    damage_types are the tags of threshold or more, each once, in the tagger's order. No content gives no tags. reason
+    says why an image could not be tagged; null otherwise."""
+
+    def build():
+        tagger = load()
+
+        def call(batch: list[dict]) -> list[dict]:
+            there = [r["content"] for r in batch if r["content"]]
+            found = iter(tagger(there) if there else [])
+            out = []
+            for r in batch:
+                raw = next(found) if r["content"] else []
+                out.append({"damage_types": list(dict.fromkeys(t for t, s in raw if s >= threshold)), "raw": [{"tag": t, "score": float(s)} for t, s in raw]})
+            return out
+
+        return call
+
     src = images.select("image", stored_path("case_id", "name").alias("file_path"), "content")
+    return score(src, ["image", "file_path"], build, TAGS, rows=rows, tries=tries).drop("tries")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw_type = pa.list_(pa.struct([("tag", pa.string()), ("score", pa.float64())]))
-        for batch in batches:
-            for i in range(batch.num_rows):  # an image at a time: they may be large
-                content = batch.column(2)[i].as_py()
-                raw = tagger(content) if content else []
-                kinds = list(dict.fromkeys(t for t, s in raw if s >= threshold))
-                yield pa.record_batch([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([kinds], pa.list_(pa.string())), pa.array([[{"tag": t, "score": float(s)} for t, s in raw]], raw_type)], ["image", "file_path", "damage_types", "raw"])
 
-    return src.mapInArrow(run, TAGGED)
+def tag_images(images: DataFrame, tagger: Callable[[bytes], list[tuple[str, float]]], threshold: float) -> DataFrame:
+    """tag_batches with a tagger of one image; an image that it fails on stops the query."""
+    tagged = tag_batches(images, lambda: lambda contents: [tagger(c) for c in contents], threshold)
+    failed = F.raise_error(F.concat(F.lit("image not tagged: "), F.col("reason")))
+    return tagged.withColumn("raw", F.when(F.col("reason").isNotNull(), failed.cast("void").cast(tagged.schema["raw"].dataType)).otherwise(F.col("raw"))).drop("reason")
 
 
 def merge_damages(cases: DataFrame, found: DataFrame) -> DataFrame:

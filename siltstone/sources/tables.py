@@ -6,6 +6,7 @@ import json
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -214,6 +215,20 @@ def concat_sources(named: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def load_sources(spark: SparkSession, readers: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, DataFrame]:
+    """(rows, report): the rows of all sources that can be read whole, with a column `origin`, and a row (source, n, reason)
+    for each source in order: how many rows it gave, or, with null for n, why it was skipped. A source is read once, into
+    the shared folder, so one that breaks off in its middle gives nothing. rows is None if none can be read."""
+    good, report = {}, []
+    for name, read in readers.items():
+        try:
+            good[name] = settle(read(), "source")
+            report.append((name, good[name].count(), None))
+        except Exception as e:  # noqa: BLE001  whatever a source raises is its reason
+            report.append((name, None, f"{type(e).__name__}: {str(e).strip().splitlines()[0] if str(e).strip() else ''}"))
+    return (concat_sources(good) if good else None), spark.createDataFrame(report, "source string, n long, reason string")
+
+
 def dead_letters(df: DataFrame, ok: str, reason: str, payload: list[str]) -> tuple[DataFrame, DataFrame]:
     """(good rows, failed rows as (reason, payload as JSON))."""
     return df.where(F.col(ok)), df.where(~F.coalesce(F.col(ok), F.lit(False))).select(F.col(reason).alias("reason"), F.to_json(F.struct(*payload)).alias("payload"))
