@@ -76,12 +76,6 @@ def raw_score(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     return ((expanded(x) - model["centre"]) / model["scale"]) @ model["w"]
 
 
-def score(model: dict[str, np.ndarray], x: np.ndarray, threshold: float) -> np.ndarray:
-    """Scores from 0 to 1; the cut quantile is at the threshold."""
-    s = ((expanded(x) - model["centre"]) / model["scale"]) @ model["w"]
-    return 1 / (1 + np.exp(-np.clip((s - model["cut"]) * model["slope"] + np.log(threshold / (1 - threshold)), -30, 30)))
-
-
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, parts: int = 5, fit_most: int = FIT_ROWS) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, held_out, score, predicted), one row for each row of docs.
 
