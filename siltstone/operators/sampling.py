@@ -17,12 +17,11 @@ def hash_order(seed: int, key: Column | str) -> Column:
 
 def ranked(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """df with h, rank (from 1 within the label, in hash order) and n (the label's rows)."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy(F.col(label).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.withColumn("_base", F.coalesce(before, F.lit(0)))
+    sizes = running(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), [label], {"_upto": "n"})
+    sizes = settle(sizes.withColumn("_base", F.col("_upto") - F.col("n")).drop("_upto"), "sizes")
     rows = numbered(df.withColumn("h", hash_order(seed, key)), label, "h", key)
     same = rows[label].eqNullSafe(sizes[label])
-    return rows.join(F.broadcast(sizes), same).drop(sizes[label]).withColumn("rank", F.col("_n") - F.col("_base") + 1).drop("_n", "_base")
+    return rows.join(sizes, same).drop(sizes[label]).withColumn("rank", F.col("_n") - F.col("_base") + 1).drop("_n", "_base")
 
 
 def balanced(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
@@ -49,20 +48,28 @@ def three_way(df: DataFrame, label: str, key: str, train: float = 0.7, val: floa
     return r.withColumn("split", F.when(F.col("rank") <= a, "train").when(F.col("rank") <= a + b, "validation").otherwise("test")).drop("n", "rank", "h")
 
 
+def _largest_remainders(sizes: DataFrame, label: str, of: str, total: int, wanted: int, name: str) -> DataFrame:
+    """sizes with `name`: wanted shared out in proportion to column `of`, which adds up to total; what rounding down leaves
+    goes to the largest remainders, of equals to the first labels. No row is compared with all others in one task."""
+    share = F.col(of) * F.lit(wanted).cast("long") / F.lit(total).cast("long")
+    parts = settle(sizes.withColumn("_low", F.floor(share)).withColumn("_less", -F.round(share - F.floor(share), 9)), "parts")
+    extra = wanted - parts.agg(F.sum("_low")).first()[0]
+    placed = numbered(parts, "_less", label, name="_place", start=1)
+    return placed.withColumn(name, F.col("_low") + F.when(F.col("_place") <= extra, 1).otherwise(0)).drop("_low", "_less", "_place")
+
+
 def two_stage(df: DataFrame, label: str, key: str, held: float = 0.2, seed: int = 42) -> DataFrame:
     """split by label in proportion: ceil(N * held) rows held out by largest remainder, of which ceil(half) are test."""
     r = ranked(df, label, key, seed)
-    total = Window.partitionBy()
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).withColumn("t", F.sum("n").over(total))
-    sizes = sizes.withColumn("w", F.ceil(F.round(F.col("t") * held, 6)))
-    share = F.col("n") * F.col("w") / F.col("t")
-    sizes = sizes.withColumn("low", F.floor(share)).withColumn("part", F.round(share - F.floor(share), 9)).withColumn("extra", F.col("w") - F.sum("low").over(total))
-    sizes = sizes.withColumn("q", F.col("low") + F.when(F.row_number().over(Window.orderBy(F.desc("part"), label)) <= F.col("extra"), 1).otherwise(0))
-    sizes = sizes.withColumn("w2", F.ceil(F.col("w") / 2))
-    share2 = F.col("q") * F.col("w2") / F.col("w")
-    sizes = sizes.withColumn("low2", F.floor(share2)).withColumn("part2", F.round(share2 - F.floor(share2), 9)).withColumn("extra2", F.col("w2") - F.sum("low2").over(total))
-    sizes = sizes.withColumn("q2", F.col("low2") + F.when(F.row_number().over(Window.orderBy(F.desc("part2"), label)) <= F.col("extra2"), 1).otherwise(0)).select(F.col(label).alias("_l"), "q", "q2")
-    out = r.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_l")))
+    sizes = settle(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), "sizes")
+    total = sizes.agg(F.sum("n").alias("t")).select("t", F.ceil(F.round(F.col("t") * held, 6)).alias("w")).first()
+    if total.t:
+        sizes = _largest_remainders(sizes, label, "n", total.t, total.w, "q")
+        sizes = _largest_remainders(sizes, label, "q", total.w, -(-total.w // 2), "q2")
+    else:
+        sizes = sizes.withColumns({"q": F.lit(0), "q2": F.lit(0)})
+    sizes = settle(sizes.select(F.col(label).alias("_l"), "q", "q2"), "quotas")
+    out = r.join(sizes, F.col(label).eqNullSafe(F.col("_l")))
     return out.withColumn("split", F.when(F.col("rank") <= F.col("q2"), "test").when(F.col("rank") <= F.col("q"), "validation").otherwise("train")).drop("n", "rank", "h", "_l", "q", "q2")
 
 
