@@ -470,18 +470,38 @@ def _diversity(r):
     return r.withColumns({"bucket": F.concat_ws("|", F.least("role_a", "role_b"), F.greatest("role_a", "role_b")), "diversity": F.concat_ws("|", F.least("claim_a", "claim_b"), F.greatest("claim_a", "claim_b"), "label")})
 
 
-@query()
+def _drawn(k: str, where: str, total: int) -> tuple[str, ...]:
+    """Diverse sampling row by row, as {k}o (id): quotas by turns over the buckets, then each bucket's rows in hash order,
+    then all rows in another; what was taken goes along in lists."""
+    return (
+        f"{k}p AS MATERIALIZED (SELECT id, concat_ws('|', least(role_a, role_b), greatest(role_a, role_b)) AS bucket, concat_ws('|', least(claim_a, claim_b), greatest(claim_a, claim_b), label) AS diversity FROM r WHERE {where})",
+        f"{k}n AS MATERIALIZED (SELECT bucket, count(*) AS n FROM {k}p GROUP BY bucket)",
+        f"{k}t AS MATERIALIZED (SELECT t, full_ FROM (SELECT t, CAST(sum(least(n, t)) AS BIGINT) AS full_ FROM {k}n, range(0, {total + 2}) AS g(t) GROUP BY t) WHERE full_ <= {total} ORDER BY t DESC LIMIT 1)",
+        f"{k}q AS MATERIALIZED (SELECT bucket, least(n, t) + CASE WHEN n > t AND sum(CASE WHEN n > t THEN 1 ELSE 0 END) OVER (ORDER BY bucket) <= {total} - full_ THEN 1 ELSE 0 END AS quota FROM {k}n, {k}t)",
+        f"{k}s AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY phase, bucket, h, id) AS i FROM (SELECT 1 AS phase, bucket, md5('42:' || id) AS h, id, diversity, quota FROM {k}p JOIN {k}q USING (bucket) UNION ALL SELECT 2, NULL, md5('43:' || id), id, diversity, NULL FROM {k}p))",
+        f"""{k}g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS seen, CAST([] AS BIGINT[]) AS ids, CAST(NULL AS VARCHAR) AS bucket, CAST(0 AS BIGINT) AS c
+UNION ALL SELECT i, CASE WHEN ok THEN list_append(seen, diversity) ELSE seen END, CASE WHEN ok THEN list_append(ids, id) ELSE ids END, bucket, CASE WHEN ok THEN c + 1 ELSE c END FROM (SELECT *, NOT list_contains(seen, diversity) AND len(ids) < {total} AND (phase = 2 OR c < quota) AS ok
+FROM (SELECT s.i, s.phase, s.id, s.diversity, s.bucket, s.quota, g.seen, g.ids, CASE WHEN s.bucket IS DISTINCT FROM g.bucket THEN CAST(0 AS BIGINT) ELSE g.c END AS c FROM {k}g g JOIN {k}s s ON s.i = g.i + 1)))""",
+        f"{k}o AS (SELECT unnest(ids) AS id FROM (SELECT ids FROM {k}g ORDER BY i DESC LIMIT 1))",
+    )
+
+
+@query(with_(R, *_drawn("a_", "label = 'supports'", 60)).replace("WITH", "WITH RECURSIVE", 1) + "SELECT id, bucket, diversity FROM a_p JOIN a_o USING (id)")
 def diverse_sample(spark, d):
     r = _diversity(b.relations(spark, d).where("label = 'supports'"))
     return sampling.diverse(r, "bucket", "diversity", "id", 60).select("id", "bucket", "diversity")
 
 
-@query()
+_GOLD_PARTS = [("supports", None, 20), ("neutral", None, 20), ("contradicts", "damage_mismatch", 7), ("contradicts", "dynamics_mismatch", 9), ("contradicts", "phantom_vehicle", 4)]
+_GOLD_SQL = [_drawn(k, f"label = '{y}'" + (f" AND inconsistency_type = '{kind}'" if kind else ""), n) for k, (y, kind, n) in zip(("a_", "b_", "c_", "d_", "e_"), _GOLD_PARTS)]
+
+
+@query(with_(R, *[x for one in _GOLD_SQL for x in one], "o AS (" + " UNION ALL ".join(f"SELECT id FROM {k}_o" for k in "abcde") + ")").replace("WITH", "WITH RECURSIVE", 1)
+    + "SELECT 'GOLD-' || lpad(CAST(row_number() OVER (ORDER BY md5('43:' || id), id) AS VARCHAR), 6, '0') AS gold_pair_id, id AS source_pair_id, label AS weak_label, inconsistency_type AS weak_inconsistency_type, 'pending' AS annotation_status FROM o JOIN r USING (id)")
 def gold_candidates(spark, d):
     r = _diversity(b.relations(spark, d))
-    parts = [("supports", None, 20), ("neutral", None, 20), ("contradicts", "damage_mismatch", 7), ("contradicts", "dynamics_mismatch", 9), ("contradicts", "phantom_vehicle", 4)]
     out = None
-    for y, kind, n in parts:
+    for y, kind, n in _GOLD_PARTS:
         pool = r.where(F.col("label") == y)
         one = sampling.diverse(pool if kind is None else pool.where(F.col("inconsistency_type") == kind), "bucket", "diversity", "id", n).select("id", F.col("label").alias("weak_label"), F.col("inconsistency_type").alias("weak_inconsistency_type"))
         out = one if out is None else out.unionByName(one)
