@@ -73,6 +73,39 @@ def parse_fragments(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: fragments(x or ""))
 
 
+def strict_fragments(raw: str) -> tuple[list[str] | None, str | None]:
+    """(objects, None) of a text that is a JSON value, or JSON values with other text before and between them; of an
+    object with a list `annotations`, that list's. (None, reason) where nothing is there, a value breaks off, or anything
+    but objects is found. Nothing is skipped for not parsing; fragments() does that."""
+    text, values, at = raw.strip(), [], 0
+    if not text:
+        return None, "empty"
+    try:
+        values.append(json.loads(text))
+        alone = True
+    except ValueError:
+        alone = False
+        while m := re.compile(r"[\[{]").search(text, at):
+            try:
+                value, at = json.JSONDecoder().raw_decode(text, m.start())
+            except ValueError:
+                return None, f"no JSON value at {m.start()}"
+            values.append(value)
+    out: list[str] = []
+    for value in values:
+        if isinstance(value, dict):
+            value = value["annotations"] if isinstance(value.get("annotations"), list) else [value]
+        if not isinstance(value, list) or not all(isinstance(x, dict) for x in value):
+            return None, "not all values are objects"
+        out += [json.dumps(x, ensure_ascii=False) for x in value]
+    return (out, None) if out or alone else (None, "no objects")
+
+
+@F.pandas_udf(T.StructType([T.StructField("objects", T.ArrayType(T.StringType())), T.StructField("reason", T.StringType())]))
+def parse_strictly(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([strict_fragments(x or "") for x in texts], columns=["objects", "reason"])
+
+
 def vary(text: str, key: str, seed: int = 42) -> str:
     """Each phrase, with a chance of APPLY_SHARE a text, by an alternative drawn for each place; a capital stays."""
     for i, (pattern, options) in enumerate(PHRASES.items()):

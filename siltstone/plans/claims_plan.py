@@ -156,6 +156,15 @@ def parse_fragments(spark, d):
     return table(spark, d, "events").select("event_id", F.explode(jsonx.parse_fragments(raw)).alias("j")).select("event_id", F.get_json_object("j", "$.k").cast("long").alias("k"))
 
 
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 END AS n, CASE event_id % 4 WHEN 0 THEN event_id + 1 WHEN 1 THEN event_id END AS k, CASE event_id % 4 WHEN 2 THEN 'no JSON value at ' || (length(CAST(event_id AS VARCHAR)) + 8) WHEN 3 THEN 'not all values are objects' END AS reason FROM events")
+def parse_strictly(spark, d):
+    n, e = F.col("event_id") % 4, F.col("event_id").cast("string")
+    raw = F.when(n == 0, F.concat(F.lit('so: {"k": '), e, F.lit('} and [{"k": 1}].'))).when(n == 1, F.concat(F.lit('{"annotations": [{"k": '), e, F.lit("}]}"))).when(n == 2, F.concat(F.lit('{"k": '), e, F.lit("} {bad"))).otherwise(F.concat(F.lit('[1, {"k": '), e, F.lit("}]")))
+    x = table(spark, d, "events").select("event_id", jsonx.parse_strictly(raw).alias("p"))
+    k = F.aggregate("p.objects", F.lit(0).cast("long"), lambda s, j: s + F.get_json_object(j, "$.k").cast("long"))
+    return x.select("event_id", F.when(F.col("p.objects").isNotNull(), F.size("p.objects")).alias("n"), k.alias("k"), "p.reason")
+
+
 @query("SELECT event_id, k FROM (SELECT event_id, unnest(CASE event_id % 3 WHEN 0 THEN [event_id, 1] WHEN 1 THEN [event_id] ELSE [2, event_id] END) AS k FROM events)")
 def list_unwrap(spark, d):
     n, e = F.col("event_id") % 3, F.col("event_id").cast("string")

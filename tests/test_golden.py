@@ -47,3 +47,13 @@ def test_spaces_and_words(spark):
 def test_supports_may_be_inconsistent(spark):
     df = spark.createDataFrame([("hard_fraud_staged", ["Overly consistent", "physics mismatch"])], "l string, i array<string>")
     assert tuple(df.select(labels.relation_label("l", "i"), labels.inconsistency_type("l", "i")).first()) == ("supports", "dynamics_mismatch")
+
+
+def test_strict_fragments():
+    from siltstone.functions.jsonx import strict_fragments as strict
+
+    assert strict('{"a": 1}') == (['{"a": 1}'], None) and strict("[]") == ([], None)
+    assert strict('x {"a": 1} y [{"b": 2}, {"c": 3}] z') == (['{"a": 1}', '{"b": 2}', '{"c": 3}'], None)
+    assert strict('{"annotations": [{"a": 1}]}')[0] == ['{"a": 1}'] and strict('{"annotations": 1}')[0] == ['{"annotations": 1}']
+    assert strict(" ") == (None, "empty") and strict("words") == (None, "no objects")
+    assert strict('{"a": 1} {bad')[1] == "no JSON value at 9" and strict("5")[1] == strict("[1]")[1] == strict('{"a": 1} [2]')[1] == "not all values are objects"
