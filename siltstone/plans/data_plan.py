@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import labels, text
-from siltstone.operators import dedup, encode, metrics, pairs, sampling, scoring
+from siltstone.operators import dedup, encode, metrics, pairs, sampling, scoring, timeline
 from siltstone.plans import bindings as b
 from siltstone.plans.bindings import D, P, R, S, C, ns, nt, with_
 from siltstone.plans.claims_plan import _INC, _REL
@@ -214,6 +214,20 @@ def ordered_union_distinct(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(F.array_distinct(F.concat(F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("dent"), F.lit("crack"))).otherwise(F.array(F.lit("crack"))), F.array(F.lit("crack"), n))), ",").alias("value"))
 
 
+# Along a time line (extensions).
+@query("SELECT x.event_id, x.user_id, e.event_id AS last_event_id, e.value AS last_value FROM (SELECT * FROM events WHERE event_type = 'purchase') x ASOF LEFT JOIN (SELECT user_id, ts, arg_max(event_id, event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_type <> 'purchase' GROUP BY user_id, ts) e ON x.user_id = e.user_id AND x.ts >= e.ts")
+def asof_join(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    bought = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    others = e.where("event_type <> 'purchase'").select("event_id", "user_id", "ts", "value")
+    return timeline.asof(bought, others, "user_id", "ts", "event_id").select("event_id", "user_id", "last_event_id", "last_value")
+
+
+@query("SELECT user_id, min(ts) AS start, max(ts) AS \"end\", count(*) AS n FROM (SELECT *, sum(CASE WHEN before IS NULL OR epoch_us(ts) - epoch_us(before) > 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)) GROUP BY user_id, s")
+def session_windows(spark, d):
+    return timeline.sessions(table(spark, d, "events"), "user_id", "ts", 6 * 3600)
+
+
 # Pairs and joins.
 @query(with_(S, C, f"y AS (SELECT conv_id, {_REL} AS relation, {_INC} AS kind FROM c)", "j AS (SELECT a.conv_id, a.turn AS pos_a, b.turn AS pos_b, a.role AS role_a, b.role AS role_b, a.text AS ta, b.text AS tb FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.role = 'insured_driver' AND b.role <> 'insured_driver')") + f"SELECT 'PAIR-' || lpad(CAST(row_number() OVER (ORDER BY j.conv_id, pos_a, pos_b) AS VARCHAR), 6, '0') AS pair_id, j.conv_id, pos_a, pos_b, '<insured_driver> ' || {ns('ta')} AS text_a, CASE role_b WHEN 'impartial_witness' THEN '<witness> ' ELSE '<' || role_b || '> ' END || {ns('tb')} AS text_b, relation AS label, kind AS inconsistency_type FROM j JOIN y ON j.conv_id = y.conv_id")
 def within_claim_pairs(spark, d):
