@@ -11,6 +11,7 @@ the next round begins. What the driver holds does not grow with the corpus.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 import unicodedata
@@ -32,38 +33,32 @@ SPECIALS = (
 #: Different pieces of words that the driver takes in a round, and pairs that it looks at.
 SEGMENTS, PAIRS = 200_000, 100_000
 #: Words in a block of the table, and words that a worker remembers.
-BLOCK_WORDS, REMEMBERED = 50_000, 200_000
+BLOCK_WORDS, REMEMBERED = 50_000, 400_000
 #: A pair of ids as one number.
 WIDE = 1 << 31
 POINTS = 0x110000
 BLOCK_KIND = "counts binary, lengths binary, symbols binary"
 
 
-def _class(categories: str) -> str:
-    """Characters of the given kinds as ranges of a character class."""
-    out, start = [], None
-    for c in range(POINTS + 1):
-        inside = c < POINTS and unicodedata.category(chr(c))[0] in categories and not chr(c).isspace()
-        if inside and start is None:
-            start = c
-        elif not inside and start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return "".join(out)
+#: Punctuation and symbols beyond ASCII, and the pattern that splits around those of ASCII and some of these.
+_FAR = frozenset(c for c in map(chr, range(128, POINTS)) if unicodedata.category(c)[0] in "PS")
+_NEAR = "".join(c for c in map(chr, range(128)) if unicodedata.category(c)[0] in "PS")
 
 
-_PUNCTUATION = _class("PS")
-_SPACE = "".join(re.escape(chr(c)) for c in range(POINTS) if chr(c).isspace())
-_PARTS = re.compile(f"[{_PUNCTUATION}]|[^{_SPACE}{_PUNCTUATION}]+").findall
-_ASCII = "".join(re.escape(chr(c)) for c in range(128) if unicodedata.category(chr(c))[0] in "PS")
-_ASCII_PARTS = re.compile(f"[{_ASCII}]|[^{_ASCII}\\s\x1c-\x1f]+").findall
+@functools.lru_cache(maxsize=1024)
+def _parts(far: frozenset[str]):
+    own = re.escape(_NEAR + "".join(sorted(far)))
+    return re.compile(f"[{own}]|[^{own}\\s]+").findall
 
 
 def pre_tokens(x: str | None) -> list[str]:
     """NFKC, split at white space and around punctuation."""
     if not x:
         return []
-    return _ASCII_PARTS(x) if x.isascii() else _PARTS(unicodedata.normalize("NFKC", x))
+    if x.isascii():
+        return _parts(frozenset())(x)
+    x = unicodedata.normalize("NFKC", x)
+    return _parts(_FAR.intersection(x))(x)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,12 +334,17 @@ def train_bpe(docs: DataFrame, vocab_size: int = 20_000, least: int = 1, special
 
 
 def apply_merges(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
-    parts = list(word)
-    while len(parts) > 1:
-        rank, i = min((ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:])))
-        if rank == 1 << 60:
-            break
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    """The word's tokens: the earliest merge first, of its places the leftmost."""
+    parts, none = list(word), 1 << 60
+    order = [ranks.get(p, none) for p in zip(parts, word[1:])]
+    while order and (rank := min(order)) < none:
+        i = order.index(rank)
+        parts[i] += parts.pop(i + 1)
+        del order[i]
+        if i:
+            order[i - 1] = ranks.get((parts[i - 1], parts[i]), none)
+        if i < len(order):
+            order[i] = ranks.get((parts[i], parts[i + 1]), none)
     return parts
 
 
