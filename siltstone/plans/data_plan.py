@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import labels, text
-from siltstone.operators import dedup, encode, metrics, pairs, sampling, scoring, timeline
+from siltstone.operators import dedup, encode, metrics, pairs, sampling, scoring, sketches, timeline
 from siltstone.plans import bindings as b
 from siltstone.plans.bindings import D, P, R, S, C, ns, nt, with_
 from siltstone.plans.claims_plan import _INC, _REL
@@ -228,6 +228,20 @@ def session_windows(spark, d):
     return timeline.sessions(table(spark, d, "events"), "user_id", "ts", 6 * 3600)
 
 
+@query("SELECT event_type, count(*) AS n, true AS distinct_near, true AS median_near FROM events GROUP BY event_type")
+def sketch_states(spark, d):
+    e = table(spark, d, "events").select("event_type", F.to_date("ts").alias("day"), "user_id", "value")
+    days = tables.settle(sketches.states(e, ["event_type", "day"], "user_id", "value"), "states")
+    found = sketches.estimates(sketches.merged(days, ["event_type"]), ["event_type"], [0.5], 3).select("event_type", F.col("rows").alias("n"), "distinct", F.col("quantiles")[0].alias("median"))
+    exact = e.join(F.broadcast(found), "event_type").groupBy("event_type", "n", "distinct").agg(F.count_distinct("user_id").alias("exact"), F.avg((F.col("value") <= F.col("median")).cast("int")).alias("rank"))
+    return exact.select("event_type", "n", (F.abs(F.col("distinct") - F.col("exact")) <= 0.05 * F.col("exact")).alias("distinct_near"), (F.abs(F.col("rank") - 0.5) <= 0.03).alias("median_near"))
+
+
+@query(with_(R) + "SELECT grouping(label, inconsistency_type, role_a, role_b) AS grain, label, inconsistency_type, role_a, role_b, count(*) AS n, min(id) AS first FROM r GROUP BY GROUPING SETS ((label), (label, inconsistency_type), (role_a, role_b), (label, role_a), ())")
+def multi_grain(spark, d):
+    return metrics.grains(b.relations(spark, d), [["label"], ["label", "inconsistency_type"], ["role_a", "role_b"], ["label", "role_a"], []], ["label", "inconsistency_type", "role_a", "role_b"], F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+
+
 # Pairs and joins.
 @query(with_(S, C, f"y AS (SELECT conv_id, {_REL} AS relation, {_INC} AS kind FROM c)", "j AS (SELECT a.conv_id, a.turn AS pos_a, b.turn AS pos_b, a.role AS role_a, b.role AS role_b, a.text AS ta, b.text AS tb FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.role = 'insured_driver' AND b.role <> 'insured_driver')") + f"SELECT 'PAIR-' || lpad(CAST(row_number() OVER (ORDER BY j.conv_id, pos_a, pos_b) AS VARCHAR), 6, '0') AS pair_id, j.conv_id, pos_a, pos_b, '<insured_driver> ' || {ns('ta')} AS text_a, CASE role_b WHEN 'impartial_witness' THEN '<witness> ' ELSE '<' || role_b || '> ' END || {ns('tb')} AS text_b, relation AS label, kind AS inconsistency_type FROM j JOIN y ON j.conv_id = y.conv_id")
 def within_claim_pairs(spark, d):
