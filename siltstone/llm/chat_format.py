@@ -147,8 +147,9 @@ def format_turns(conversations: DataFrame, template: Callable[[Turns], str] = in
     changed what it had put out before this turn).
 
     Turns go by turn (null last), then role and text, so ties and repeated rows have a defined order and are all
-    formatted. A null role or text is empty; a null conv_id is a conversation of its own. An empty table gives no
-    rows; other columns are ignored. Rows are streamed in order, but the turns of one
+    formatted. A null role or text is empty. conv_id is taken as a long: a string that is no number stops the query. All
+    rows with a null conv_id are one conversation, held in one task. An empty table gives no rows; other columns are
+    ignored. Rows are streamed in order, but the turns of one
     conversation are held while it is formatted, and each of its prefixes is rendered: the work grows with the square of
     a conversation's length.
     """
