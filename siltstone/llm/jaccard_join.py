@@ -17,265 +17,28 @@ work follows the number of classes, not its square, and no pair that could join
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import MOST_KEYS, bitmap_of, bits_for, drop_settled, in_bitmap, modest_batches, settle, text_chunks, with_columns
+from siltstone.llm.common import drop_settled, modest_batches, settle
 from siltstone.llm.components import connected_components
-from siltstone.llm.wordarrays import BY_SPACE, mix, shingle_sets, span_hashes, spans
+from siltstone.operators.set_join import Rule, candidates, fetched, on_a_salt, on_every_salt, overlaps, prepared
 
-#: N-grams whose counts are kept before they are sorted and counted.
-FLUSH = 1 << 20
 #: Classes in a list that are paired directly; longer lists make groups. The same within a group.
 FEW, FEW_WITHIN = 16, 256
 #: Turns in which a class looks for a hub before it is its own.
 HUBS = 3
-#: Classes of a list to a key, where lists are joined with themselves.
-LIST_ROWS = 1024
 #: A hot group's rows are spread over so many keys where they meet the group's own row.
 SALTS = 32
-#: Steps of commonness; a bitmap for each.
-STEPS = 3
-#: Bytes of text to a range of n-grams that are counted together; from WIDE bytes on they are told apart by longer keys.
-RANGE_BYTES, WIDE = 8 << 20, 1 << 40
-U = np.uint64
-
-
-def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    for i, _, data, off in text_chunks(texts):
-        starts, ends, first = spans(data, off, BY_SPACE)
-        yield i, shingle_sets(span_hashes(data, starts, ends), first, k)
-
-
-def _class(s: np.ndarray) -> int:
-    """A set's 64-bit key; never 0."""
-    with np.errstate(over="ignore"):
-        x = mix(np.array([np.sum(mix(s ^ U(0xA0761D6478BD642F)), dtype=U) + U(len(s)) * U(0xE7037ED1A0B428DB)], U))
-    return int(x.view(np.int64)[0]) or 1
-
-
-def _counted(k: int, range_bits: int, key: type):
-    """Texts -> (r, keys, c): n-grams of different sets with their counts, dealt by the first range_bits of the hash; a
-    key is the bits that follow. Sorted and counted after some megabytes each time."""
-
-    def dealt(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        x = np.sort(np.concatenate(held))
-        at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-        c = np.minimum(np.diff(np.append(at, len(x))), 255).astype(np.uint8)
-        x = x[at]
-        r = np.arange(1 << range_bits)
-        edges = np.append(np.searchsorted(x, r.astype(U) << U(64 - range_bits)), len(x))
-        keys = ((x << U(range_bits)) >> U(64 - 8 * np.dtype(key).itemsize)).astype(key)
-        for i in range(0, len(r), 64):
-            part = [j for j in r[i : i + 64].tolist() if edges[j + 1] > edges[j]]
-            yield pa.record_batch([pa.array(part, pa.int32()), pa.array([keys[edges[j] : edges[j + 1]].tobytes() for j in part], pa.binary()), pa.array([c[edges[j] : edges[j + 1]].tobytes() for j in part], pa.binary())], ["r", "keys", "c"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}  # copies count once
-        size = 0
-        for batch in batches:
-            for _, sets in _sets(batch.column(0), k):
-                for s in sets:
-                    if len(s) and (name := _class(s)) not in held:
-                        held[name] = s
-                        size += len(s)
-                if size > FLUSH:
-                    yield from dealt([*held.values()])
-                    held, size = {}, 0
-        if size:
-            yield from dealt([*held.values()])
-
-    return run
-
-
-def _often(least: int, range_bits: int, key: type):
-    """The n-grams of a range (their first bits as a long) in `least` sets or more."""
-
-    def run(group: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [], []
-        for batch in batches:
-            keys += [np.frombuffer(x, key) for x in batch.column("keys").to_pylist()]
-            counts += [np.frombuffer(x, np.uint8) for x in batch.column("c").to_pylist()]
-        x, c = np.concatenate(keys), np.concatenate(counts)
-        keys.clear()
-        order = np.argsort(x)
-        x = x[order]
-        at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-        total = np.add.reduceat(c[order].astype(np.int64), at)
-        many = total >= least
-        h = (x[at[many]].astype(U) << U(64 - 8 * np.dtype(key).itemsize) >> U(range_bits)) | (U(group[0].as_py()) << U(64 - range_bits))
-        yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(total[many])], ["h", "c"])
-
-    return run
-
-
-def _keys(s: np.ndarray, bitmaps: list[np.ndarray]) -> np.ndarray:
-    """The n-grams' places in the global order, as sorted longs: 62 bits of hash after two bits of how common it is."""
-    step = np.zeros(len(s), U)
-    for b in bitmaps:  # each holds what the next one holds
-        step += in_bitmap(b, s, (8 * len(b)).bit_length() - 1)
-    key = ((s >> U(2)) | (step << U(62))) ^ U(1 << 63)
-    return np.concatenate([key[step == U(i)] for i in range(STEPS + 1)]).view(np.int64)
-
-
-def _bitmaps(common: list[bytes]) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint8) for x in common]
-
-
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)), pa.array(flat))
-
-
-def _prefixes(k: int, percent: int, common: list[bytes], names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmaps = _bitmaps(common)
-        for batch in batches:
-            for i, sets in _sets(batch.column(1), k):
-                n = [len(s) for s in sets]
-                keys = [_class(s) if len(s) else None for s in sets]
-                parts = [_keys(s, bitmaps)[: m - (percent * m + 99) // 100 + 1] if m else np.zeros(0, np.int64) for s, m in zip(sets, n, strict=True)]
-                rest = [c.slice(i, len(sets)) for c in batch.columns[2:]]
-                yield pa.record_batch([batch.column(0).slice(i, len(sets)), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), _lists(parts), *rest], names)
-
-    return run
-
-
-def _shared_only(lists: bytes, bits: int):
-    """Of prefixes the n-grams that the bitmap holds, and their places in the prefix."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(lists, np.uint8)
-        for batch in batches:
-            prefix = batch.column(2)
-            flat, edges = prefix.flatten().to_numpy(), prefix.offsets.to_numpy()
-            row = np.repeat(np.arange(len(prefix)), np.diff(edges))
-            place = np.arange(len(flat)) - (edges[:-1] - edges[0])[row]
-            good = in_bitmap(bitmap, flat.view(U) << U(2), bits)
-            at = pa.array(row[good])
-            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(flat[good]), pa.array(place[good].astype(np.int64))], ["cls", "n", "h", "pos"])
-
-    return run
-
-
-def _segments(k: int, wanted: bytes, bits: int, common: list[bytes], fragments: int):
-    """The wanted classes' sets, cut where the global order's fragments meet."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, done = np.frombuffer(wanted, np.uint8), set()
-        bitmaps = _bitmaps(common)
-        edges = np.array([(i << 62) // (fragments - STEPS) - (1 << 63) for i in range(1, fragments - STEPS)] + [(i << 62) - (1 << 63) for i in range(1, STEPS + 1)], np.int64)
-        for batch in batches:
-            for _, sets in _sets(batch.column(0), k):
-                keys = np.array([_class(s) if len(s) else 0 for s in sets], np.int64)
-                for j in np.flatnonzero((keys != 0) & in_bitmap(bitmap, keys.view(U), bits)).tolist():
-                    key = int(keys[j])
-                    if key in done:
-                        continue
-                    if len(done) > 1_000_000:
-                        done.clear()
-                    done.add(key)
-                    s = _keys(sets[j], bitmaps)
-                    at = np.concatenate(([0], np.searchsorted(s, edges), [len(s)])).astype(np.int32)
-                    yield pa.record_batch([pa.array([key] * fragments), pa.array([len(s)] * fragments, pa.int64()), pa.array(range(fragments), pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(s))], ["cls", "n", "frag", "seg"])
-
-    return run
-
-
-def _batched(run, rows: int = 512, most: int = 4 << 20):
-    """Joins small record batches into larger ones, up to so many of them or bytes."""
-
-    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in run(batches):
-            held.append(b)
-            size += b.nbytes
-            if len(held) >= rows or size > most:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, size = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return out
-
-
-def _common_ngrams(docs: DataFrame, k: int, least: int) -> list[bytes]:
-    """Bitmaps with the n-grams in `least` sets or more, in 8 times and in 64 times as many. All n-grams are counted, by
-    ranges of their hash. Where there are too many for a bitmap the least count doubles until they fill an eighth of it;
-    what is taken for rarer or more common than it is only changes its place in the order, and so no result."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    range_bits, key = min(max(int(size // RANGE_BYTES).bit_length(), 4), 16), np.uint32 if size < WIDE else np.uint64
-    counted = docs.select("text").mapInArrow(_counted(k, range_bits, key), "r int, keys binary, c binary")
-    counts = settle(counted.groupBy("r").applyInArrow(_often(least, range_bits, key), "h long, c long"), "common")
-    steps = {r.s: r.n for r in counts.groupBy(F.floor(F.log2(F.col("c") / least)).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    step = 0
-    while (n := sum(m for s, m in steps.items() if s >= step)) > MOST_KEYS:
-        step += 1
-    out = [bitmap_of(counts.where(F.col("c") >= least << step << 3 * i), "h", bits_for(n)) for i in range(STEPS)]
-    drop_settled(counts)
-    return out
-
-
-def _may_begin(nx: str, ny: str, px: str, py: str, percent: int):
-    """Sets of nx and ny n-grams whose first common one is at places px and py can be similar enough. Each similar pair
-    meets in the list of its first common n-gram, where this holds, so no pair is lost by asking it in every list."""
-    left = F.least(F.col(nx) - F.col(px), F.col(ny) - F.col(py))
-    return (F.lit(100 + percent) * left >= F.lit(percent) * (F.col(nx) + F.col(ny))) & (F.lit(100) * F.least(nx, ny) >= F.lit(percent) * F.greatest(nx, ny))
-
 
-def _met(live: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that meet in a list of live (h, c, cls, n, pos) where it can be their first."""
-    left = _spread(live.select("h", "c", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")), "a")
-    right = _every(live.select("h", "c", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")))
-    return left.join(right, ["h", "salt"]).where("a < b").where(_may_begin("na", "nb", "pa", "pb", percent)).select("a", "b").distinct()
 
-
-def _spread(rows: DataFrame, by: str) -> DataFrame:
-    """rows of lists (h) of c rows, with one of the salts that a list of c has."""
-    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.floor(F.col("c") / LIST_ROWS) + 1).cast("int")).drop("c")
-
-
-def _every(rows: DataFrame) -> DataFrame:
-    """rows of lists (h) of c rows, with each of the salts that a list of c has."""
-    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.floor(F.col("c") / LIST_ROWS).cast("int")))).drop("c")
-
-
-def _fetched(classes: DataFrame, docs: DataFrame, k: int, common: list[bytes], fragments: int) -> DataFrame:
-    """(cls, n, frag, seg) of the classes, each fragment once."""
-    ends = settle(classes.distinct(), "ends")
-    bits = bits_for(ends.count())
-    found = docs.select("text").mapInArrow(_batched(_segments(k, bitmap_of(ends, "cls", bits), bits, common, fragments)), "cls long, n long, frag int, seg array<long>")
-    out = settle(found.join(ends, "cls", "left_semi").dropDuplicates(["cls", "frag"]), "segments")
-    drop_settled(ends)
-    return out
+def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those whose sets are similar enough."""
+    return settle(overlaps(pairs, segments, percent).select("a", "b"), "links")
 
 
-def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose sets are similar enough: partial overlaps by fragment, summed by pair."""
-    left = segments.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "frag", F.col("seg").alias("sb"))
-    right = segments.select(F.col("cls").alias("a"), F.col("n").alias("na"), "frag", F.col("seg").alias("sa"))
-    partial = pairs.join(left, "b").join(right, ["a", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("o"))
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
-    return settle(total.where(F.lit(100) * F.col("o") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b"), "links")
-
-
-def _prepared(docs: DataFrame, k: int, percent: int, common_from: int, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[bytes], DataFrame, DataFrame]:
-    """(docs, common n-grams, rows with their class, classes in the lists (h, c classes) of their prefixes' n-grams)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in keep])
-    common = _common_ngrams(docs, k, common_from)
-    schema = with_columns([docs.schema[c] for c in keep], "doc_id long, n long, cls long, prefix array<long>", kept_first=False)
-    slim = settle(docs.mapInArrow(_prefixes(k, percent, common, ["doc_id", "n", "cls", "prefix", *keep]), schema), "prefixes")
-    reps = settle(slim.where("cls is not null").select("cls", "n", "prefix").dropDuplicates(["cls"]), "reps")
-    lists = settle(reps.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "lists")
-    bits = bits_for(lists.count())
-    shared = bitmap_of(lists.select(F.shiftleft("h", 2).alias("h")), "h", bits)
-    live = settle(reps.mapInArrow(_shared_only(shared, bits), "cls long, n long, h long, pos long").join(lists, "h"), "live")
-    drop_settled(lists, reps)
-    return docs, common, slim, live
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("text", F.col("text").cast("string"))
 
 
 def _grouped(lists: DataFrame) -> DataFrame:
@@ -326,8 +89,8 @@ def _parted(live: DataFrame, items: DataFrame) -> DataFrame:
     for turn in range(HUBS):
         often = lists.groupBy("cls").agg(F.count(F.lit(1)).alias("lists"))
         best = F.max(F.struct("lists", F.xxhash64(F.lit(turn), "cls"), "cls")).getField("cls")
-        hubs = _every(lists.join(often, "cls").groupBy("h", "c").agg(best.alias("grp")))
-        votes = _spread(lists, "cls").join(hubs, ["h", "salt"]).groupBy("cls", "grp").agg(F.count(F.lit(1)).alias("v"))
+        hubs = on_every_salt(lists.join(often, "cls").groupBy("h", "c").agg(best.alias("grp")))
+        votes = on_a_salt(lists, "cls").join(hubs, ["h", "salt"]).groupBy("cls", "grp").agg(F.count(F.lit(1)).alias("v"))
         homes = settle(votes.groupBy("cls").agg(F.max(F.struct("v", F.col("cls") == F.col("grp"), "grp")).getField("grp").alias("grp")), "homes")
         # A hub stays with itself where others come to it.
         chosen = homes.select("grp").distinct().select(F.col("grp").alias("cls"), F.col("grp").alias("own"))
@@ -352,7 +115,7 @@ def _merged(live: DataFrame, items: DataFrame, parts: DataFrame, bases: DataFram
     largest such part that is larger than itself, if that stays."""
     homes = settle(live.select("h", "cls").join(parts.select("cls", "grp"), "cls").select("h", "grp").distinct(), "homes")
     counted = homes.join(homes.groupBy("h").agg(F.count(F.lit(1)).alias("c")), "h")
-    met = _spread(counted.withColumnRenamed("grp", "grp1"), "grp1").join(_every(counted.withColumnRenamed("grp", "grp2")), ["h", "salt"])
+    met = on_a_salt(counted.withColumnRenamed("grp", "grp1"), "grp1").join(on_every_salt(counted.withColumnRenamed("grp", "grp2")), ["h", "salt"])
     far = _far(met.where("grp1 < grp2").select("grp1", "grp2").distinct(), bases)
     near = settle(far.where(4 * F.col("far") <= F.col("both")).select("grp1", "grp2"), "near")
     sizes = parts.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
@@ -393,7 +156,7 @@ def _between_parts(live: DataFrame, parts: DataFrame, bases: DataFrame, percent:
     cells = settle(cells, "cells")
     counted = cells.join(cells.groupBy("h").agg(F.count(F.lit(1)).alias("c")), "h")
     x, y = (counted.select("h", "c", *[F.col(c).alias(f"{c}{k}") for c in ("grp", "cell", "v", "left", "least", "most")]) for k in "12")
-    met = _spread(x, "grp1").join(_every(y), ["h", "salt"]).where("grp1 < grp2")
+    met = on_a_salt(x, "grp1").join(on_every_salt(y), ["h", "salt"]).where("grp1 < grp2")
     met = met.where(F.lit(q) * F.least("left1", "left2") >= F.lit(percent) * (F.col("least1") + F.col("least2")))
     met = met.where((100 * F.col("most1") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least1")))
     met = settle(met.select("h", "grp1", "cell1", "v1", "grp2", "cell2", "v2"), "cells_met")
@@ -471,10 +234,10 @@ def similar_pairs(docs: DataFrame, k: int = 5, percent: int = 80, common_from: i
 
 
 def _similar_pairs(docs: DataFrame, k: int, percent: int, common_from: int, fragments: int) -> tuple[DataFrame, DataFrame]:
-    docs, common, slim, live = _prepared(docs, k, percent, common_from)
-    pairs = settle(_met(live, percent), "pairs")
+    docs, common, slim, live = prepared(_texts(docs), Rule(k), percent, common_from)
+    pairs = settle(candidates(live, percent), "pairs")
     ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
-    segments = _fetched(ends, docs, k, common, fragments)
+    segments = fetched(ends, docs, Rule(k), common, fragments)
     links = _verified(pairs, segments, percent)
     drop_settled(live, pairs, segments)
     sizes = slim.where("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("c"))
@@ -502,11 +265,11 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, common_from:
 
 
 def _similar_classes(docs: DataFrame, k: int, percent: int, common_from: int, fragments: int, keep: tuple[str, ...]) -> DataFrame:
-    docs, common, slim, live = _prepared(docs, k, percent, common_from, keep)
-    pairs = settle(_met(live.where(F.col("c") <= FEW), percent), "pairs")
+    docs, common, slim, live = prepared(_texts(docs), Rule(k), percent, common_from, keep)
+    pairs = settle(candidates(live.where(F.col("c") <= FEW), percent), "pairs")
     long = live.where(F.col("c") > FEW)
     ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(long.select("cls"))
-    segments = _fetched(ends, docs, k, common, fragments)
+    segments = fetched(ends, docs, Rule(k), common, fragments)
     links = [_verified(pairs, segments, percent)]
     if not long.isEmpty():
         whole = segments.join(long.select("cls").distinct(), "cls", "left_semi").groupBy("cls", "n").agg(F.flatten(F.collect_list("seg")).alias("s"))

@@ -8,14 +8,17 @@ through by one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import normalize_text
-from siltstone.sources.tables import settle
+from siltstone.operators import set_join
+from siltstone.sources.batches import modest_batches
+from siltstone.sources.tables import drop_settled, settle
 
 
 def claim_fingerprint(location: Column | str, incident: Column | str, damages: Column, statements: Column, label: Column | None = None) -> Column:
@@ -98,13 +101,45 @@ def shingles(c: Column | str, k: int = 3) -> Column:
     return F.array_distinct(F.array_remove(runs, ""))
 
 
+#: 1 for the bytes of shingles' words in lower-case texts.
+BY_CLAIM = np.zeros(256, np.uint8)
+BY_CLAIM[list(b"abcdefghijklmnopqrstuvwxyz0123456789<>")] = 1
+
+
+def _classed(sets: DataFrame, percent: int) -> tuple:
+    """set_join.prepared's results for sets (id, grp, sh), and (cls, id, grp) of the classes, by the smallest id."""
+    rule = set_join.Rule(3, BY_CLAIM, grouped=True)
+    docs = sets.select(F.lit(0).alias("doc_id"), F.col("sh").alias("text"), F.xxhash64(F.col("grp").cast("string")).alias("group_key"), "id", "grp")
+    docs, common, slim, live = set_join.prepared(docs, rule, percent, 4, ("id", "grp"))
+    names = settle(slim.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("grp").alias("grp")), "classes")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = settle(pairs, "pairs")
+        ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
+        segments = set_join.fetched(ends, docs, rule, common, 8)
+        out = settle(set_join.overlaps(pairs, segments, percent), "links")
+        drop_settled(pairs, segments)
+        return out
+
+    return slim, live, names, linked
+
+
+def _whole_percent(threshold: float) -> int:
+    return int(threshold * 100 + 1e-9)
+
+
 def similar_sets(sets: DataFrame, threshold: float = 0.82) -> DataFrame:
-    """sets (id, grp, sh: array) -> (id_a, id_b, common, total): pairs within a group with Jaccard of threshold or more
-    between different sets. Rows of one and the same set are one class, that of the smallest id; only classes are
-    paired, so copies make no pairs. Candidates share one of each set's rarest shingles, as many as a similar set
-    cannot all lack (exact, without a cap)."""
-    classes = sets.where(F.size("sh") > 0).withColumn("set", set_key("sh")).groupBy("grp", "set").agg(F.min_by(F.struct("id", "sh"), "id").alias("r")).select("grp", "r.*")
-    return _similar(classes, threshold)
+    """sets (id, grp, sh) -> (grp, id_a, id_b, common, total): pairs within a group with Jaccard of threshold or more
+    between different sets. sh: the shingles, or a lower-case text whose shingles they are; of a text nothing is stored
+    but the prefix of its set. Rows of one and the same set are one class, that of the smallest id; only classes are
+    paired, so copies make no pairs. Candidates share one of each set's rarest shingles, as many as a similar set cannot
+    all lack (exact, without a cap). Rows whose group is null are in no pair."""
+    with modest_batches(sets.sparkSession):
+        _, live, names, linked = _classed(sets, _whole_percent(threshold))
+        links = linked(set_join.candidates(live, _whole_percent(threshold)))
+    side = lambda k: names.where("grp is not null").select(F.col("cls").alias(k), F.col("id").alias(f"id_{k}"), *(["grp"] if k == "a" else []))
+    both = links.withColumn("total", F.col("na") + F.col("nb") - F.col("o")).where(F.col("o") >= F.col("total") * threshold - 1e-9).join(side("a"), "a").join(side("b"), "b")
+    return both.select("grp", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.col("o").alias("common"), "total")
 
 
 def set_key(sh: str) -> Column:
@@ -219,13 +254,56 @@ def _in_order(left: DataFrame, near: DataFrame) -> DataFrame:
     return rows.repartition(1).sortWithinPartitions("pos").mapInArrow(run, "pos long")
 
 
+#: Classes of lists with more than LONG are looked at by lists' first rows, in so many rounds at most.
+LONG, ROUNDS = 512, 6
+
+
 def near_duplicates(sets: DataFrame, threshold: float = 0.82) -> DataFrame:
     """sets (id, grp, sh) -> (id, kept): in order of id a row is kept unless similar to a kept row of its group. Copies
-    of a class share its fate, but for its first row."""
-    named = sets.withColumn("set", F.when(F.size("sh") > 0, F.sha2(F.concat_ws("\n", F.col("grp").cast("string"), set_key("sh")).cast("binary"), 256)))
-    firsts = settle(named.where("set is not null").groupBy("grp", "set").agg(F.min("id").alias("pos"), F.first("sh").alias("sh")), "firsts")
-    links = _similar(firsts.select("grp", F.col("set").alias("id"), "sh"), threshold).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    gone = greedy_rejects(firsts.select(F.col("pos").cast("long").alias("pos"), F.col("set").alias("cls"), F.lit(False).alias("before")), links)
-    kept = firsts.select("pos").join(gone, "pos", "left_anti").withColumn("kept", F.lit(True))
-    out = named.select("id", "set").join(kept, F.col("id") == F.col("pos"), "left")
-    return out.select("id", F.when(F.col("set").isNull(), True).otherwise(F.coalesce("kept", F.lit(False))).alias("kept"))
+    of a class share its fate, but for its first row. sh is as in similar_sets; a row whose group is null is similar to
+    none but its copies.
+
+    A class that comes first in each list of candidates that it is in is kept, and is compared with what is in those; what
+    it is similar to goes. That is done for the classes of long lists, so that a large group of near copies makes no pairs
+    of its own. What is left is paired as in similar_sets and goes through greedy_rejects.
+    """
+    percent = _whole_percent(threshold)
+    with modest_batches(sets.sparkSession):
+        slim, live, names, linked = _classed(sets, percent)
+        similar = lambda pairs: linked(pairs).where(F.col("o") >= (F.col("na") + F.col("nb") - F.col("o")) * threshold - 1e-9)
+        order = names.where("grp is not null").select("cls", F.col("id").cast("long").alias("at"))
+        gone, left = _Parts(), live
+        if not live.where(F.col("c") > LONG).isEmpty():
+            kept = _first_in_lists(live, order, similar, gone, percent)
+            left = live.join(kept.unionByName(gone.all()), "cls", "left_anti")
+        links = similar(set_join.candidates(left, percent)).select("a", "b").join(order.select(F.col("cls").alias("a"), F.col("at").alias("at_a")), "a").join(order.select(F.col("cls").alias("b"), F.col("at").alias("at_b")), "b")
+        links = settle(links.select(F.col("at_a").cast("string").alias("a"), F.col("at_b").cast("string").alias("b")), "links")
+    ends = links.select("a").unionByName(links.select(F.col("b").alias("a"))).distinct()
+    members = ends.select(F.col("a").cast("long").alias("pos"), F.col("a").alias("cls"), F.lit(False).alias("before"))
+    gone.add(greedy_rejects(members, links).join(order.select("cls", F.col("at").alias("pos")), "pos").select("cls"))
+    out = slim.select("id", "cls").join(names.select("cls", F.col("id").alias("first")), "cls", "left").join(gone.all().withColumn("gone", F.lit(True)), "cls", "left")
+    return out.select("id", F.when(F.col("cls").isNull(), True).otherwise(F.coalesce(F.col("id") == F.col("first"), F.lit(False)) & F.col("gone").isNull()).alias("kept"))
+
+
+def _first_in_lists(live: DataFrame, order: DataFrame, similar: Callable[[DataFrame], DataFrame], gone: _Parts, percent: int) -> DataFrame:
+    """near_duplicates' rounds over the classes of long lists and over what shares a list with one: the classes (cls) kept;
+    those rejected are added to gone. All lists of such a class are looked at, so only such classes can be found first."""
+    hot = settle(live.where(F.col("c") > LONG).select("cls").distinct(), "hot")
+    lists = live.join(hot, "cls", "left_semi").select("h").distinct()
+    left = settle(live.join(lists, "h", "left_semi").join(order, "cls").join(hot.withColumn("hot", F.lit(True)), "cls", "left"), "region")
+    kept = _Parts()
+    for _ in range(ROUNDS):
+        firsts = left.groupBy("h", "c").agg(F.min("at").alias("first"))
+        there = set_join.on_a_salt(left.where("hot"), "cls").join(set_join.on_every_salt(firsts), ["h", "salt"])
+        free = settle(there.groupBy("cls").agg(F.max(F.col("at") > F.col("first")).alias("later")).where("not later").select("cls"), "kept")
+        kept.add(free)
+        heads = set_join.on_every_salt(left.join(free, "cls", "left_semi").select("h", "c", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")))
+        rest = left.join(free, "cls", "left_anti")
+        pairs = set_join.on_a_salt(rest, "cls").join(heads, ["h", "salt"]).where(set_join.may_begin("na", "n", "pa", "pos", percent)).select("a", F.col("cls").alias("b")).distinct()
+        hit = settle(similar(pairs).select(F.col("b").alias("cls")).distinct(), "rejected")
+        gone.add(hit)
+        before, left = left, settle(rest.join(hit, "cls", "left_anti"), "region")
+        drop_settled(before)
+        if left.where(F.col("c") > LONG).groupBy("h").count().where(F.col("count") > LONG).isEmpty():
+            break
+    return kept.all()

@@ -164,8 +164,8 @@ def shingles(spark, d):
     return x.select("doc_id", F.size("sh").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("sh"), "|").cast("binary")).alias("digest"))
 
 
-def _sets(spark, d):
-    return tables.settle(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("grp"), dedup.shingles("text").alias("sh")), "sets")
+def _texts(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("grp"), F.lower("text").alias("sh"))
 
 
 _PAIRS = """cl AS (SELECT lang, min(doc_id) AS id, list_sort(sh) AS sh FROM sh WHERE len(sh) > 0 GROUP BY lang, list_sort(sh)),
@@ -175,7 +175,7 @@ o AS (SELECT x.lang AS grp, x.id AS id_a, y.id AS id_b, x.n + y.n AS s, count(*)
 
 @query(with_(_SH, _PAIRS) + "SELECT grp, id_a, id_b, common, s - common AS total FROM o WHERE common >= 0.82::DOUBLE * (s - common) - 1e-9::DOUBLE")
 def jaccard_pairs(spark, d):
-    return dedup.similar_sets(_sets(spark, d))
+    return dedup.similar_sets(_texts(spark, d))
 
 
 #: Classes in order of their first row; those before that are similar go along as a list.
@@ -188,7 +188,7 @@ last AS (SELECT unnest(kept) AS id FROM (SELECT kept FROM g ORDER BY i DESC LIMI
 
 @query(with_(_SH, _PAIRS, _REJECT).replace("WITH", "WITH RECURSIVE", 1) + "SELECT doc_id, len(sh) = 0 OR doc_id IN (SELECT id FROM last) AS kept FROM sh")
 def near_dup_reject(spark, d):
-    return dedup.near_duplicates(_sets(spark, d)).select(F.col("id").alias("doc_id"), "kept")
+    return dedup.near_duplicates(_texts(spark, d)).select(F.col("id").alias("doc_id"), "kept")
 
 
 _CLAIM_SETS = f"""t AS (SELECT conv_id, role, regexp_extract_all({nt('text')}, '[a-z0-9<>]+') AS t FROM s),

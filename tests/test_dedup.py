@@ -119,3 +119,52 @@ def test_rounds_alone_give_the_sequential_rule(spark, monkeypatch, remainder):
     rng = random.Random(4)
     rows = [(i, rng.choice(["", *"abcdefgh"]), rng.choice("stuvwxyz")) for i in range(40)]
     assert run(spark, rows) == greedy(rows)
+
+
+def all_pairs(rows):
+    """{(id_a, id_b): (common, total)} of rows (id, grp, words) by loops: classes of equal sets, by their first id."""
+    first = {}
+    for i, g, ws in rows:
+        sh = frozenset(tuple(ws[j : j + 3]) for j in range(max(1, len(ws) - 2))) if ws else None
+        if sh and g is not None:
+            first.setdefault((g, sh), i)
+    own = sorted((i, g, sh) for (g, sh), i in first.items())
+    return {(i, j): (len(x & y), len(x | y)) for i, g, x in own for j, g2, y in own if i < j and g == g2 and len(x & y) >= 0.82 * len(x | y) - 1e-9}, {i for i, _, _ in own}
+
+
+def texts_of_many_copies(seed):
+    rng = random.Random(seed)
+    base = [rng.choices([f"w{i}" for i in range(60)], k=40) for _ in range(3)]
+    rows = []
+    for i in range(120):
+        ws = list(rng.choice(base)) if i % 4 else rng.choices(["a", "b", "c<", "d9"], k=rng.randint(0, 4))
+        for _ in range(rng.randint(0, 2) if len(ws) == 40 else 0):
+            ws[rng.choice([0, 1, 38, 39, 20])] = rng.choice(["zz", "yy", "w1"])
+        rows.append((i, rng.choice(["x", "x", "y", None]), ws))
+    return rows
+
+
+@pytest.mark.parametrize("long", [2, 256])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_texts_are_joined_without_stored_sets(spark, monkeypatch, seed, long):
+    monkeypatch.setattr(dedup, "LONG", long)  # 2: kept rows are found by lists' first rows
+    rows = texts_of_many_copies(seed)
+    want, firsts = all_pairs(rows)
+    df = spark.createDataFrame([(i, g, ".,- "[i % 4].join(ws)) for i, g, ws in rows], "id long, grp string, sh string")
+    settled, real = [], dedup.settle
+    monkeypatch.setattr(dedup, "settle", lambda x, name: settled.append(x.columns) or real(x, name))
+    got = dedup.similar_sets(df).collect()
+    assert {(r.id_a, r.id_b): (r.common, r.total) for r in got} == want and len(got) == len(want) > 50
+    grp = {i: g for i, g, _ in rows}
+    assert all(r.grp == grp[r.id_a] for r in got)
+    kept = set()
+    for i in sorted(firsts):
+        if not any((k, i) in want for k in kept):
+            kept.add(i)
+    nulls = {}
+    for i, g, ws in rows:
+        if g is None and ws:
+            nulls.setdefault(frozenset(tuple(ws[j : j + 3]) for j in range(max(1, len(ws) - 2))), i)
+    kept |= set(nulls.values()) | {i for i, _, ws in rows if not ws}
+    assert {r.id for r in dedup.near_duplicates(df).collect() if r.kept} == kept
+    assert settled and not any({"sh", "text"} & set(c) for c in settled)
