@@ -110,11 +110,12 @@ def _classed(sets: DataFrame, percent: int) -> tuple:
     """set_join.prepared's results for sets (id, grp, sh), and (cls, id, grp) of the classes, by the smallest id."""
     rule = set_join.Rule(3, BY_CLAIM, grouped=True)
     docs = sets.select(F.lit(0).alias("doc_id"), F.col("sh").alias("text"), F.xxhash64(F.col("grp").cast("string")).alias("group_key"), "id", "grp")
-    docs, common, slim, live = set_join.prepared(docs, rule, percent, 4, ("id", "grp"))
+    docs, common, slim, live = set_join.prepared(docs, rule, percent, 4, ("id", "grp"), sketch=True)
     names = settle(slim.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("grp").alias("grp")), "classes")
+    sketches = settle(slim.where("cls is not null").select("cls", "n", "sketch").join(live.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "sketches")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = settle(pairs, "pairs")
+        pairs = settle(set_join.able(pairs, sketches, percent), "pairs")
         ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
         segments = set_join.fetched(ends, docs, rule, common, 8)
         out = settle(set_join.overlaps(pairs, segments, percent), "links")

@@ -27,6 +27,8 @@ FLUSH = 1 << 20
 LIST_ROWS = 1024
 #: Steps of commonness; a bitmap for each.
 STEPS = 3
+#: Parts of a set's sketch.
+BUCKETS = 128
 #: Bytes of text to a range of elements that are counted together; from WIDE bytes on they are told apart by longer keys.
 RANGE_BYTES, WIDE = 8 << 20, 1 << 40
 U = np.uint64
@@ -144,6 +146,31 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)), pa.array(flat))
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """How many elements of a set are in each of BUCKETS parts of their hashes; 255 is that or more."""
+    return np.minimum(np.bincount((s >> U(20)).astype(np.int64) & (BUCKETS - 1), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
+def _may_share(percent: int):
+    """Of pairs (a, b, na, nb, ska, skb) those (a, b) whose sketches leave enough to share: two sets have no more in common
+    than the lesser of their counts in each part. Where a count is full nothing is known, and the pair stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BUCKETS) for k in ("ska", "skb"))
+            least, both = np.minimum(x, y), batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            good = (least == 255).any(1) | ((100 + percent) * least.sum(1, dtype=np.int64) >= percent * both)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    return run
+
+
+def able(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those that can be similar enough by the classes' sketches (cls, n, sketch); none that is goes."""
+    side = lambda k: sketches.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"sk{k}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ska", "skb").mapInArrow(_may_share(percent), "a long, b long")
+
+
 def _prefixes(rule: Rule, percent: int, common: list[bytes], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmaps = _bitmaps(common)
@@ -153,7 +180,8 @@ def _prefixes(rule: Rule, percent: int, common: list[bytes], names: list[str]):
                 keys = [_class(s) if len(s) else None for s in sets]
                 parts = [_keys(s, bitmaps)[: m - (percent * m + 99) // 100 + 1] if m else np.zeros(0, np.int64) for s, m in zip(sets, n, strict=True)]
                 rest = [c.slice(i, len(sets)) for c in batch.columns[1 + len(rule.columns) :]]
-                yield pa.record_batch([batch.column(0).slice(i, len(sets)), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), _lists(parts), *rest], names)
+                own = [pa.array([_sketch(s) for s in sets], pa.binary())] if "sketch" in names else []
+                yield pa.record_batch([batch.column(0).slice(i, len(sets)), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), _lists(parts), *own, *rest], names)
 
     return run
 
@@ -276,12 +304,12 @@ def overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return total.where(F.lit(100) * F.col("o") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("o")))
 
 
-def prepared(docs: DataFrame, rule: Rule, percent: int, common_from: int, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[bytes], DataFrame, DataFrame]:
-    """(docs, common n-grams, rows with their class, classes in the lists (h, c classes) of their prefixes' n-grams)."""
+def prepared(docs: DataFrame, rule: Rule, percent: int, common_from: int, keep: tuple[str, ...] = (), sketch: bool = False) -> tuple[DataFrame, list[bytes], DataFrame, DataFrame]:
+    """With sketch, the rows have it too. (docs, common n-grams, rows with their class, classes in the lists (h, c classes) of their prefixes' n-grams)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *rule.columns, *[F.col(f"`{c}`") for c in keep])
     common = _common_ngrams(docs, rule, common_from)
-    schema = with_columns([docs.schema[c] for c in keep], "doc_id long, n long, cls long, prefix array<long>", kept_first=False)
-    slim = settle(docs.mapInArrow(_prefixes(rule, percent, common, ["doc_id", "n", "cls", "prefix", *keep]), schema), "prefixes")
+    schema = with_columns([docs.schema[c] for c in keep], "doc_id long, n long, cls long, prefix array<long>" + ", sketch binary" * sketch, kept_first=False)
+    slim = settle(docs.mapInArrow(_prefixes(rule, percent, common, ["doc_id", "n", "cls", "prefix", *["sketch"] * sketch, *keep]), schema), "prefixes")
     reps = settle(slim.where("cls is not null").select("cls", "n", "prefix").dropDuplicates(["cls"]), "reps")
     lists = settle(reps.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "lists")
     bits = bits_for(lists.count())
