@@ -187,7 +187,7 @@ def _encoded(share, ends: int, total: int, distinct: int, fragment_bits: int):
     return run
 
 
-def _parts(batches: Iterator[pa.RecordBatch], at: int, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], at: int, most: int = 1 << 17) -> Iterator[pa.RecordBatch]:
     """Rows of about `most` tokens at a time; a longer text is a part of its own. Column `at` has the tokens."""
     for batch in batches:
         off, i = batch.column(at).offsets.to_numpy().astype(np.int64), 0
