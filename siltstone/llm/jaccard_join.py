@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import drop_settled, modest_batches, settle
 from siltstone.llm.components import connected_components
-from siltstone.operators.set_join import Rule, candidates, fetched, on_a_salt, on_every_salt, overlaps, prepared
+from siltstone.operators.set_join import Rule, candidates, fetched, may_begin, on_a_salt, on_every_salt, overlaps, prepared
 
 #: Classes in a list that are paired directly; longer lists make groups. The same within a group.
 FEW, FEW_WITHIN = 16, 256
@@ -164,7 +164,7 @@ def _between_parts(live: DataFrame, parts: DataFrame, bases: DataFrame, percent:
     far = settle(far.select("grp1", "grp2", (F.lit(q) * F.col("far")).alias("far")), "far")
     able = met.join(far, ["grp1", "grp2"]).where("v1 + v2 >= far").select("h", "grp1", "cell1", "grp2", "cell2", "far")
     x, y = (rows.select("h", *[F.col(c).alias(f"{c}{k}") for c in ("grp", "cell", "cls", "n", "pos", "v")]) for k in "12")
-    pairs = able.join(x, ["h", "grp1", "cell1"]).join(y, ["h", "grp2", "cell2"]).where("v1 + v2 >= far").where(_may_begin("n1", "n2", "pos1", "pos2", percent))
+    pairs = able.join(x, ["h", "grp1", "cell1"]).join(y, ["h", "grp2", "cell2"]).where("v1 + v2 >= far").where(may_begin("n1", "n2", "pos1", "pos2", percent))
     out = settle(pairs.select(F.least("cls1", "cls2").alias("a"), F.greatest("cls1", "cls2").alias("b")).distinct(), "pairs")
     drop_settled(rows, cells, met, far)
     return out

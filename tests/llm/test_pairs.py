@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import corpus_pipeline
 from siltstone.llm import jaccard_join
 
 
@@ -152,3 +153,11 @@ def test_clusters_that_chain_across_parts(spark):
     rows = [(i, " ".join(t)) for i, t in enumerate(rows)]
     got = jaccard_join.similar_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), k=4, percent=80)
     assert {r.doc_id: r.component_id for r in got.collect()} == roots_by_force(rows, 4, 80)
+
+
+def test_near_copies_in_long_lists_leave_the_pipeline(spark):
+    rows = linked_clusters(random.Random(2), 24, k=2)
+    docs = spark.createDataFrame([(d, t, "web") for d, t in rows] + [(900, None, "web"), (901, " ", "web")], "doc_id long, text string, source string")
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(r.doc_id for r in out.collect()) == sorted({*roots_by_force(rows, 5, 80).values(), 900, 901})
