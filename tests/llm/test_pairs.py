@@ -5,7 +5,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
-from siltstone.llm import jaccard_join
+from siltstone.llm import jaccard_join, queries
 
 
 def sets(text, k):
@@ -155,6 +155,21 @@ def test_clusters_that_chain_across_parts(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == roots_by_force(rows, 4, 80)
 
 
+def test_the_query_joins_parts_of_long_lists(spark, tmp_path):
+    """One text becomes another in steps that just link: lists of more than FEW classes, whose ends are far apart."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    x, y = rng.choices(words, k=200), rng.choices(words, k=200)
+    steps = [" ".join([*y[: 12 * j], *x[12 * j :]]) for j in range(17)]
+    texts = [t + f" own{i}" for j, t in enumerate(steps) for i in range(20 if j % 16 == 0 else 3)]
+    rows = [(7 * i % 1009 + 5, t) for i, t in enumerate(texts)] + [(2000, " ".join(rng.choices(words, k=9))), (1, ""), (2, None)]
+    want = roots_by_force(rows, 4, 85)
+    assert Counter(want.values()).most_common(1)[0][1] == len(texts)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op5_ngram_jaccard(spark, str(tmp_path)).collect()}
+    assert got == {d: (len(sets(t, 4)), want[d]) for d, t in rows}
+
+
 def test_near_copies_in_long_lists_leave_the_pipeline(spark):
     rows = linked_clusters(random.Random(2), 24, k=2)
     docs = spark.createDataFrame([(d, t, "web") for d, t in rows] + [(900, None, "web"), (901, " ", "web")], "doc_id long, text string, source string")
